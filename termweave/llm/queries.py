@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -38,6 +44,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+_OP2 = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i : i + 19], ' ')) AS w
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS i FROM docs WHERE len(words) >= 20)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1
+), removed AS (
+  SELECT DISTINCT doc_id, i + o AS place FROM later, range(20) r(o)
+), flat AS (
+  SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS place FROM docs
+), kept AS (
+  SELECT f.doc_id, string_agg(word, ' ' ORDER BY f.place) AS kept_text, count(*) AS n
+  FROM flat f LEFT JOIN removed r ON r.doc_id = f.doc_id AND r.place = f.place WHERE r.place IS NULL GROUP BY f.doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.kept_text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 _OP4 = r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -74,9 +101,10 @@ FROM placed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op7_token_files": op7_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {"op4_curriculum_mix": _OP4}
+ORACLES: dict[str, str] = {"op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4}
