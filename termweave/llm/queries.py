@@ -31,6 +31,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), default_vocabulary()))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_jaccard_components
+
+    return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     from .tokens import default_vocabulary
@@ -100,11 +106,33 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+_OP9 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, least(len(words), 1)))) AS i FROM docs)
+), sizes AS (
+  SELECT d.doc_id, count(s.s)::BIGINT AS n FROM docs d LEFT JOIN shingles s USING (doc_id) GROUP BY d.doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * both_have >= 75 * (p.n + q.n - both_have)
+), reach AS (
+  SELECT doc_id AS start, doc_id AS at FROM docs UNION SELECT r.start, l.y FROM reach r JOIN links l ON l.x = r.at
+)
+SELECT z.doc_id, z.n AS n_shingles, min(r.at) AS component_id FROM sizes z JOIN reach r ON r.start = z.doc_id GROUP BY 1, 2
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op7_token_files": op7_token_files,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4}
+ORACLES: dict[str, str] = {"op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4, "op9_ngram_jaccard": _OP9}
