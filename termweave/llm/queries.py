@@ -24,6 +24,13 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality, trusted_documents
+
+    judged = quality(_table(spark, sf_dir, "documents"), trusted_documents(_table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_token_files, write_token_files
     from .tokens import default_vocabulary
@@ -130,6 +137,7 @@ SELECT z.doc_id, z.n AS n_shingles, min(r.at) AS component_id FROM sizes z JOIN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_curriculum_mix": op4_curriculum_mix,
+    "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
