@@ -31,6 +31,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_token_files, write_token_files
     from .tokens import default_vocabulary
@@ -138,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_token_files": op7_token_files,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
