@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
@@ -44,6 +50,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), default_vocabulary()))
 
 
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_jaccard_components
 
@@ -63,6 +75,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+_OP1 = r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
+QUALIFY rank <= 5 WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+
 _OP2 = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -141,13 +165,16 @@ SELECT z.doc_id, z.n AS n_shingles, min(r.at) AS component_id FROM sizes z JOIN
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ball_tree_top_k": op1_ball_tree_top_k,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_token_files": op7_token_files,
+    "op8_factorisation_machine": op8_factorisation_machine,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4, "op9_ngram_jaccard": _OP9}
+ORACLES: dict[str, str] = {"op1_ball_tree_top_k": _OP1, "op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4, "op9_ngram_jaccard": _OP9}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._anchors import anchored_runs
 from ._store import written
-from ._words import chunks, gram_hashes, to_signed, word_hashes
+from ._words import chunks, gram_hashes, mix, to_signed, word_hashes
 
 #: Words of an anchor.
 GRAM = 5
@@ -30,7 +30,12 @@ _NO_ID = -(1 << 63)
 
 
 def phrases(docs: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
-    """anchor, checks (32 bits of each window of the phrase), doc, start (word of its first window)."""
+    """anchor, checks (32 bits of each window of the phrase), doc, start (word of its first window), windows, ref.
+
+    Within a few hundred documents at a time only the first of equal phrases is kept whole. The others, whose ``ref``
+    then names that one, need no index: they have no checks, and anchors that differ, so that a phrase which very many
+    documents repeat stays in no single block.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -39,29 +44,42 @@ def phrases(docs: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
             anchor, index, size, doc, start = anchored_runs(grams, gram, window, counts)
             if not len(anchor):
                 continue
-            checks = gram_hashes(words, window, 0xC2B2AE3D27D4EB4F).astype(np.uint32)
-            ends = np.cumsum(size)
-            data = checks[np.repeat(index - (ends - size), size) + np.arange(ends[-1])]
-            offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+            hashes = gram_hashes(words, window, 0xC2B2AE3D27D4EB4F)
+            doc = batch.column(0).to_numpy()[doc]
+            with np.errstate(over="ignore"):  # first and last window overlap, so both hashes stand for the whole phrase
+                same = mix(mix(hashes[index]) + hashes[index + size - 1] * np.uint64(31) + size.astype(np.uint64))
+            order = np.lexsort((start, doc, same))
+            fresh = np.r_[True, same[order][1:] != same[order][:-1]]
+            leader = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+            lead = np.empty_like(order)
+            lead[order] = leader
+            repeat = (doc[lead] != doc) | (start[lead] != start)
+            key = np.where(repeat, mix(same + mix(doc.view(np.uint64)) + start.astype(np.uint64)), grams[anchor])
+            kept = np.where(repeat, 0, size)
+            ends = np.cumsum(kept)
+            data = hashes.astype(np.uint32)[np.repeat(index - (ends - kept), kept) + np.arange(ends[-1])]
+            offsets = np.r_[0, 4 * ends].astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(to_signed(grams[anchor])), binary, batch.column(0).take(pa.array(doc)), pa.array(start.astype(np.int32))], ["anchor", "checks", "doc", "start"])
+            columns = [pa.array(to_signed(key)), binary, pa.array(doc), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(doc[lead], mask=~repeat), pa.array(start[lead].astype(np.int32), mask=~repeat)]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "checks", "doc", "start", "windows", "ref_doc", "ref_start"])
 
-    return docs.mapInArrow(cut, "anchor bigint, checks binary, doc bigint, start int")
+    found = docs.mapInArrow(cut, "anchor bigint, checks binary, doc bigint, start int, windows int, ref_doc bigint, ref_start int")
+    return found.select("anchor", F.when(F.col("ref_doc").isNull(), F.col("checks")).alias("checks"), "doc", "start", "windows", F.when(F.col("ref_doc").isNotNull(), F.struct(F.col("ref_doc").alias("doc"), F.col("ref_start").alias("start"))).alias("ref"))
 
 
 def matches(docs: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
-    """doc, start, windows, ref_doc, ref_start: runs of windows that also start earlier, with the first place."""
+    """doc, start, windows, ref_doc, ref_start: runs of windows that also start earlier, with an earlier place."""
     by_phrase = Window.partitionBy("anchor", "checks").orderBy("doc", "start")
     by_anchor = Window.partitionBy("anchor")
     found = (
         phrases(docs, window, gram)
-        .withColumn("ref", F.first(F.struct("doc", "start")).over(by_phrase.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("ref", F.coalesce("ref", F.first(F.struct("doc", "start")).over(by_phrase.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
         .withColumn("others", F.min("checks").over(by_anchor) != F.max("checks").over(by_anchor))
         .withColumn("repeats", (F.col("ref.doc") != F.col("doc")) | (F.col("ref.start") != F.col("start")))
         .where("repeats or others")
     )
     only_ends = ~F.col("repeats")
-    found = written(found.select("repeats", F.when(only_ends, F.col("anchor")).alias("anchor"), F.when(only_ends, F.col("checks")).alias("checks"), (F.length("checks") / 4).cast("int").alias("windows"), "doc", "start", F.when(F.col("repeats"), F.col("ref")).alias("ref")), "phrases")
+    found = written(found.select("repeats", F.when(only_ends, F.col("anchor")).alias("anchor"), F.when(only_ends, F.col("checks")).alias("checks"), "windows", "doc", "start", F.when(F.col("repeats"), F.col("ref")).alias("ref")), "phrases")
     whole = found.where("repeats").select("doc", "start", "windows", F.col("ref.doc").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     ends = found.where("not repeats").select("anchor", "doc", "start", "checks", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("i"))
     single = ends.select("anchor", F.substring("checks", F.col("i") * 4 + 1, F.lit(4)).alias("check"), "doc", (F.col("start") + F.col("i")).alias("start"))
