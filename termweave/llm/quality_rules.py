@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import written
+
 #: Buckets of words and as many of word pairs; the table of weights has one row of two numbers for each bucket.
 BUCKETS = 1 << 16
 #: Labelled good documents that are used at most: those with the least hash of doc_id.
@@ -96,7 +98,8 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -
     base = base_counts(own).drop("text")
     matched = base.join(scored.withColumnRenamed("doc_id", "_id").withColumnRenamed("_text_hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
     score = F.round(F.coalesce("score", F.lit(0.0)), 9)
-    return matched.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # a table of its own: a later filter on kept, moved down, would repeat the counts for each word
+    return written(matched.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)), "judged")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
