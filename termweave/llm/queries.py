@@ -24,6 +24,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_bytes
+
+    return dedup_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -167,6 +173,7 @@ SELECT z.doc_id, z.n AS n_shingles, min(r.at) AS component_id FROM sizes z JOIN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree_top_k": op1_ball_tree_top_k,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii_surrogates": op6_pii_surrogates,
