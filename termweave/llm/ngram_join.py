@@ -7,9 +7,10 @@ if it has more than H(n) of them, some non-empty segment is equal in both: its h
 
 Allocation goes by cost. For each width of segments the sets' segments are counted first; the widest one for which every
 set has more than H non-empty segments is taken, down to a single shingle for each segment, for which that always holds
-(there the neighbours of a segment by one deletion are the empty one and itself, so none are indexed). Among its
-segments a set may leave out all but H + 1; it leaves out those with the most members, in an order that is the same for
-all sets, which keeps the least common signature of every linked pair. Candidates are verified on whole sets.
+(there the neighbours of a segment by one deletion are the empty one and itself, so none are indexed). Linked sets have more equal segments than
+one: all but H of the non-empty ones. So a set may leave out some; it leaves out those with the most members, in an order
+that is the same for all sets, which spares the rest of every linked pair. Pairs that share too few of these are no
+candidates; candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import written
@@ -29,10 +30,14 @@ from .components import connected_components
 DENSITIES = (0.45, 0.6, 0.9, 0)
 #: Sets up to this size always have each shingle as a segment.
 SMALL = 96
-#: Signatures gathered before they are dealt to buckets, and buckets for each shuffle partition.
-GATHER, BUCKETS_A_PARTITION = 2_000_000, 4
+#: Signatures gathered before they are dealt to buckets.
+GATHER = 2_000_000
+#: Low bytes of a signature that travel; its bucket stands for more. Signatures taken for one only add candidates.
+KEPT_BYTES = 6
 #: Representatives up to which their ids are broadcast (16 bytes each); beyond, their texts are found by a shuffled join.
 BROADCAST_IDS = 500_000
+#: Rounds that pair the sets of a signature with one leader, another each time, before all still apart are paired.
+STAR_ROUNDS = 3
 #: Candidates of one representative that one task verifies.
 VERIFY_GROUP = 2_000
 
@@ -119,21 +124,22 @@ def _signatures(source: DataFrame, size: int, percent: int, density: float, buck
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        held: list[tuple[np.ndarray, int, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int, int]] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
             signature = np.concatenate([x[0] for x in held])
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[0]) for x in held])
             about = np.array([x[1:] for x in held], np.int64)
-            bucket = (signature >> np.uint64(20)) % np.uint64(buckets)
+            bucket = (signature >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, signature, owner = bucket[order], signature[order], owner[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             rows = []
             for a, b in zip(first, np.r_[first[1:], len(bucket)], strict=True):
                 here, which = np.unique(owner[a:b], return_inverse=True)
-                rows.append(b"".join((np.array([len(here), b - a], np.int64).tobytes(), about[here].tobytes(), signature[a:b].tobytes(), which.astype(np.uint32).tobytes())))
+                small = np.uint16 if len(here) < 1 << 16 else np.uint32
+                rows.append(b"".join((np.array([len(here), b - a], np.int64).tobytes(), about[here].tobytes(), signature[a:b].view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes(), which.astype(small).tobytes())))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
@@ -143,7 +149,7 @@ def _signatures(source: DataFrame, size: int, percent: int, density: float, buck
                     segment, content = segments(own, bands.largest(band), density)
                     with np.errstate(over="ignore"):
                         signature = mix(content + segment * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
-                    held.append((signature, _fingerprint(own), len(own), len(segment) - most - 1))
+                    held.append((signature, _fingerprint(own), len(own), len(segment) - most - 1, band))
                     total += len(signature)
             if total >= GATHER:
                 yield flush()
@@ -155,26 +161,29 @@ def _signatures(source: DataFrame, size: int, percent: int, density: float, buck
 
 
 def _groups(packed: DataFrame) -> DataFrame:
-    """signature, node, n, spare, members: sets of every signature that two or more different sets have."""
+    """signature, node, n, spare, band, members: sets of every signature that two or more different sets have."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
             for own, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if own != bucket:
-                    yield from found(held)
+                    yield from found(bucket, held)
                     bucket, held = own, []
                 held.append(raw.as_py())
-        yield from found(held)
+        yield from found(bucket, held)
 
-    def found(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def found(bucket: int | None, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         signatures, abouts = [], []
         for raw in held:
             n, m = np.frombuffer(raw, np.int64, 2).tolist()
-            about = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(n, 3)
-            at = 16 + 24 * n
-            signatures.append(np.frombuffer(raw, np.uint64, m, at))
-            abouts.append(about[np.frombuffer(raw, np.uint32, m, at + 8 * m)])
+            about = np.frombuffer(raw, np.int64, 4 * n, 16).reshape(n, 4)
+            at = 16 + 32 * n
+            whole = np.zeros((m, 8), np.uint8)
+            whole[:, :KEPT_BYTES] = np.frombuffer(raw, np.uint8, KEPT_BYTES * m, at).reshape(m, KEPT_BYTES)
+            whole[:, KEPT_BYTES:] = np.array([bucket], np.uint32).view(np.uint8)[: 8 - KEPT_BYTES]
+            signatures.append(whole.view(np.uint64).ravel())
+            abouts.append(about[np.frombuffer(raw, np.uint16 if n < 1 << 16 else np.uint32, m, at + KEPT_BYTES * m)])
         if not held:
             return
         signature, about = np.concatenate(signatures), np.concatenate(abouts)
@@ -195,11 +204,27 @@ def _groups(packed: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
         size = np.diff(np.r_[first, len(signature)])
         keep = np.repeat(size > 1, size)
-        leader = np.repeat(about[first], size, axis=0)
-        columns = [to_signed(signature)[keep], *(about[keep].T), np.repeat(size, size)[keep], *(leader[keep, :2].T)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["signature", "node", "n", "spare", "members", "lead", "lead_n"])
+        columns = [to_signed(signature)[keep], *(about[keep].T), np.repeat(size, size)[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["signature", "node", "n", "spare", "band", "members"])
 
-    return packed.mapInArrow(gathered, "signature bigint, node bigint, n bigint, spare bigint, members bigint, lead bigint, lead_n bigint")
+    return packed.mapInArrow(gathered, "signature bigint, node bigint, n bigint, spare bigint, band bigint, members bigint")
+
+
+def _left_out(spare: Column) -> Column:
+    """How many of its most common signatures a set leaves out, of those it may."""
+    return F.floor(spare * 3 / 4)
+
+
+def _likely(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``rows``, one for each signature that both keep, that may link.
+
+    Linked sets have more than ``spare`` non-empty segments in common, and what one of them leaves out the other's order
+    leaves out first too; so all but ``_left_out`` of the larger spare remain.
+    """
+    near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    spare = F.greatest("spare_a", "spare_b")
+    shared = rows.where(near).groupBy("a", "b", "band").agg(F.count("*").alias("shared"), F.max(spare).alias("spare"))
+    return shared.where(F.col("shared") > F.col("spare") - _left_out(F.col("spare"))).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, source: DataFrame, representatives: DataFrame, size: int, percent: int) -> DataFrame:
@@ -255,8 +280,8 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75)
     component's smallest, and stands only where all ids of a component are null. An empty table gives no rows. Other
     columns are not read.
 
-    Candidates of a signature are paired with one leader, verified and joined into components; then only sets of one
-    signature that are still in different components are paired, after each set has left out the signatures that it may.
+    The sets of a signature are paired with one leader, verified and joined into components; so again with other
+    leaders, for signatures whose sets are still in different components. Only what is apart after that is paired.
     Nodes are 64-bit fingerprints of the sets, checked again on the sets when a pair is verified.
     """
     spark = docs.sparkSession
@@ -265,23 +290,42 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75)
     fits = nodes.agg(F.coalesce(F.bit_and("fits"), F.lit(1)).alias("fits")).first()["fits"]
     density = next(d for i, d in enumerate(DENSITIES) if fits >> i & 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = _signatures(source, size, percent, density, parts * BUCKETS_A_PARTITION).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    packed = _signatures(source, size, percent, density, parts).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     groups = written(_groups(packed), "groups")
     representatives = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    near = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    pairs = written(groups.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "n", F.col("lead_n").alias("m")).where(near).select("a", "b").distinct(), "pairs")
+    hottest = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.col("members").desc(), "signature"))
+    kept = written(groups.withColumn("rank", hottest).where(F.col("rank") > _left_out(F.col("spare"))).select("signature", "node", "n", "spare", "band"), "kept")
+    lead = F.min(F.struct("node", "n", "spare")).over(Window.partitionBy("signature"))
+    pairs = written(_likely(kept.withColumn("lead", lead).where("lead.node <> node").select(F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.spare").alias("spare_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("spare").alias("spare_b"), "band"), percent), "pairs")
     links = written(_verified(pairs, source, representatives, size, percent), "verified")
     found = written(connected_components(links), "components")
 
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("members").desc(), "signature"))
-    kept = groups.where("members > 2").withColumn("rank", rank).where("rank > spare").select("signature", "node", "n")
-    kept = kept.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = kept.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("signature")
-    apart = written(kept.join(mixed, "signature").repartition("signature"), "apart")
-    other = apart.select("signature", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("component_b"))
-    more = apart.withColumnRenamed("node", "a").join(other, "signature").where("a < b and component <> component_b").where(near).select("a", "b").distinct()
-    more = written(more.join(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
+    def still_apart() -> DataFrame:
+        """Kept signatures whose sets lie in two or more components, with these."""
+        placed = kept.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("signature")
+        return written(placed.join(mixed, "signature"), "apart")
+
+    def fresh(rows: DataFrame) -> DataFrame:
+        """Likely pairs of ``rows`` that no round before has verified."""
+        ordered = _likely(rows, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return written(ordered.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
+
+    tried = pairs
+    for round_ in range(STAR_ROUNDS + 1):
+        apart = still_apart()
+        if apart.isEmpty():
+            break
+        if round_ < STAR_ROUNDS:
+            lead = F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("by"), "node", "n", "spare", "component")).over(Window.partitionBy("signature"))
+            rows = apart.withColumn("lead", lead).where("lead.component <> component").select(F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.spare").alias("spare_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("spare").alias("spare_b"), "band")
+        else:
+            left, right = (apart.select("signature", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("spare").alias(f"spare_{x}"), F.col("component").alias(f"component_{x}"), *(["band"] if x == "a" else [])) for x in "ab")
+            rows = left.join(right, "signature").where("a < b and component_a <> component_b")
+        more = fresh(rows)
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
         links = written(links.unionByName(_verified(more, source, representatives, size, percent)), "verified")
         found = written(connected_components(links), "components")
 
