@@ -5,9 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from termweave.plans import catalogue
+from termweave.plans import catalogue, translation
 
 TABLES = Path("/root/testdata/sf0.001")
+QUERIES, ORACLES = catalogue.QUERIES | translation.QUERIES, catalogue.ORACLES | translation.ORACLES
 
 
 def canonical(rows):
@@ -15,13 +16,13 @@ def canonical(rows):
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
-    got = catalogue.QUERIES[name](spark, str(TABLES))
+    got = QUERIES[name](spark, str(TABLES))
     con = duckdb.connect()
     for table in TABLES.glob("*.parquet"):
         con.execute(f"create view {table.stem} as select * from '{table}'")
-    expected = con.execute(catalogue.ORACLES[name])
+    expected = con.execute(ORACLES[name])
     columns = [c[0] for c in expected.description]
     assert sorted(columns) == sorted(got.columns)
     assert canonical(tuple(r) for r in got.select(*columns).collect()) == canonical(expected.fetchall())
@@ -30,4 +31,4 @@ def test_oracle(spark, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.queries().keys() >= catalogue.QUERIES.keys()
+    assert entry.queries().keys() >= QUERIES.keys()
