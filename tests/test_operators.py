@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
-from termweave.operators import glossary, layout, units, usage
+from termweave.operators import glossary, layout, translation, units, usage
 from termweave.sources.documents import line_blocks, read_usage_log, text_paragraphs
 from termweave.streaming.usage import daily_jobs, read_usage_stream, to_memory
 
@@ -74,3 +74,34 @@ def test_layout(spark):
     assert layout.without_chrome(lines).count() == 12
     assert layout.body_sizes(lines).first().body == 10.0
     assert [(r.size, r.level) for r in layout.heading_levels(lines).collect()] == [(20.0, 1)]
+
+
+def test_wire_keeps_tokens(spark):
+    rows = [(1, 0, 0, "See `x` now"), (1, 1, 0, "plain"), (1, 2, 0, "and `y` or {z}"), (2, 0, 0, "one")]
+    sent = translation.encoded(spark.createDataFrame(rows, "doc_id long, unit_idx int, segment int, text string"))
+    got = {r.doc_id: r for r in sent.collect()}
+    assert got[1].wire == "[[1]] See ⟦P1⟧ now\n[[2]] plain\n[[3]] and ⟦P2⟧ or ⟦P3⟧" and got[1].spans == ["`x`", "`y`", "{z}"]
+    for raw, ok in ((got[1].wire, True), (got[1].wire.replace("⟦P2⟧", ""), False), (got[1].wire + "\n[[3]] again ⟦P2⟧ ⟦P3⟧", True), ("[[2]] plain\n" + got[1].wire, False), ("", False), (None, False)):
+        answers = spark.createDataFrame([(1, 0, raw)], "doc_id long, segment int, raw string")
+        assert translation.decoded_ok(sent, answers).where("doc_id = 1").first().ok is ok, raw
+
+
+def test_retry_and_failures(spark):
+    long = "a long text that has more than forty characters in it"
+    units_ = spark.createDataFrame([(1, 0, 0, long), (1, 1, 1, "short"), (2, 0, 0, long + " x"), (3, 0, 0, "Ada Byron And Grace Hopper And Alan Turing")], "doc_id long, unit_idx int, block_idx int, text string")
+    model = lambda text, strict: F.when(F.col("doc_id") == 1, F.when(strict, F.upper(text)).otherwise(text)).when(F.col("doc_id") == 3, text)
+    out = translation.translated(units_, model)
+    assert [(r.output == r.text.upper(), r.calls, r.failed) for r in out.orderBy("doc_id", "unit_idx").collect()] == [(True, 2, False), (False, 1, False), (False, 2, True), (False, 1, False)]
+    assert [tuple(r) for r in translation.failed_blocks(out).collect()] == [(2, 0)]
+
+
+def test_tagged_runs(spark):
+    pieces = [(1, 0, "a", None, True, False, False), (1, 1, "b", None, True, False, False), (1, 2, "c", 1, True, True, False), (1, 3, "d", 1, False, False, True), (1, 4, "e", 2, False, False, False), (1, 5, "f", None, False, False, False)]
+    got = translation.tagged(spark.createDataFrame(pieces, "key long, pos int, text string, link int, bold boolean, italic boolean, underline boolean")).first()
+    assert got.text == "<b>ab</b><a1><b><i>c</i></b><u>d</u></a1><a2>e</a2>f"
+
+
+def test_structure_and_models(spark):
+    a = spark.createDataFrame([(1, 0, "table", "x | y"), (2, 0, "paragraph", "p"), (3, 0, "paragraph", "p")], "doc_id long, block_idx int, kind string, text string")
+    b = spark.createDataFrame([(1, 0, "table", "x | y | z"), (2, 0, "paragraph", "q | r"), (3, 0, "paragraph", "p"), (3, 1, "paragraph", "p")], "doc_id long, block_idx int, kind string, text string")
+    assert dict(map(tuple, translation.same_structure(a, b).collect())) == {1: False, 2: True, 3: False}
