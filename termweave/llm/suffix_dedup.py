@@ -24,7 +24,7 @@ from ._store import written
 from ._words import _BYTE, chunks, gram_hashes, mix, to_signed
 
 #: Bytes of an anchor, bytes of a shard, and bytes of text whose transforms are merged at once.
-GRAM, SHARD_BYTES, BUCKET_BYTES = 32, 1 << 16, 1 << 18
+GRAM, SHARD_BYTES, BUCKET_BYTES = 32, 1 << 14, 1 << 16
 _NO_ID = -(1 << 63)
 
 
