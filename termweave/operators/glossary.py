@@ -44,3 +44,25 @@ def misses(matches: DataFrame, answers: DataFrame, targets: DataFrame) -> DataFr
     found = match_words(answers, targets).withColumnRenamed("n", "m")
     joined = matches.join(found, ["doc_id", "unit_idx", "row"], "left")
     return joined.where(F.coalesce("m", F.lit(0)) < F.col("n")).select("doc_id", "unit_idx", "row")
+
+
+def match_phrases(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, unit_idx, row, n: occurrences of terms of one or more words, where longer terms claim their place first.
+
+    Texts and terms are cut into words and what stands between them; the last word may be inflected. A place in a text
+    meets the terms that begin so by an equi join. Of overlapping finds the longest term stays, then the one with the
+    smaller row, then the earlier place; a unit's finds are folded in that order. Empty terms are ignored.
+    """
+    cut = lambda text: F.regexp_extract_all(casefolded(text), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    forms = word_forms(terms.where("length(source) > 0").select("row", "source")).distinct().join(terms.select("row", F.length("source").alias("chars")), "row")
+    forms = forms.withColumn("want", cut(F.col("form"))).withColumn("token", F.element_at("want", 1)).select("row", "chars", "want", "token")
+    about = forms.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("want")), F.lit(1)).alias("longest")).first()
+    forms = F.broadcast(forms) if about["n"] <= BROADCAST_TERMS else forms
+    tokens = units.select("doc_id", "unit_idx", cut(F.col("text")).alias("all"))
+    places = tokens.select("doc_id", "unit_idx", F.explode(F.transform("all", lambda t, i: F.struct(i.alias("at"), t.alias("token"), F.slice("all", i + 1, F.lit(about["longest"])).alias("next")))).alias("p"))
+    met = places.select("doc_id", "unit_idx", "p.at", "p.token", "p.next").join(forms, "token").where(F.slice("next", F.lit(1), F.size("want")) == F.col("want"))
+    find = F.struct((-F.col("chars")).alias("by"), "row", "at", (F.col("at") + F.size("want")).alias("end"))
+    finds = met.groupBy("doc_id", "unit_idx").agg(F.sort_array(F.collect_set(find)).alias("finds"))
+    none = F.slice("finds", F.lit(1), F.lit(0))
+    claimed = F.aggregate("finds", none, lambda kept, f: F.when(F.exists(kept, lambda k: (k["at"] < f["end"]) & (f["at"] < k["end"])), kept).otherwise(F.concat(kept, F.array(f))))
+    return finds.select("doc_id", "unit_idx", F.explode(claimed).alias("f")).groupBy("doc_id", "unit_idx", F.col("f.row").alias("row")).agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as fn
 from termweave.operators import translation as tr
 from termweave.operators import units as un
-from termweave.operators import usage
+from termweave.operators import glossary, usage
 from termweave.plans import catalogue as c
 from termweave.sources.documents import line_blocks
 
@@ -16,6 +16,8 @@ SYSTEM = "Translate each line."
 # Models of a registry and tags that are installed.
 MODELS = [("small", "Alpha:1b"), ("medium", "beta:4b"), ("large", "gamma:9b")]
 INSTALLED = [("alpha:1B",), ("GAMMA:9b",), ("other",)]
+# Terms of two words beside the single ones.
+PHRASES = [(20, "and the", "und der"), (21, "for the", "für den"), (22, "was the", "war der")]
 PALETTE = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2")
 
 
@@ -90,6 +92,8 @@ QUERIES = {
     "tags_strip": lambda s, d: _tagged(s, d).select("conv_id", "turn", fn.without_tags(F.col("text")).alias("text")),
     "model_availability": lambda s, d: tr.available(s.createDataFrame(MODELS, "key string, tag string"), s.createDataFrame(INSTALLED, "tag string")),
     "skip_target_language": _foreign,
+    "term_match_single": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS)),
+    "term_match_longest": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS + PHRASES)),
 }
 
 _NAME = r"(len(regexp_extract_all(text, '\p{L}+')) = 0 OR len(list_filter(regexp_extract_all(text, '\p{L}+'), lambda w: regexp_matches(w, '^\p{Lu}'))) * 10 >= len(regexp_extract_all(text, '\p{L}+')) * 7)"
@@ -106,6 +110,7 @@ _COLORS = ", ".join(f"'{p}'" for p in PALETTE)
 _PACKED = c.ORACLES["pack_segments"].split(" SELECT doc_id, segment, count(*)")[0]
 
 ORACLES = {
+    "term_match_single": c.ORACLES["glossary_match"],
     "usage_status_errors": c._EV + "SELECT status, count(*) AS jobs FROM ev WHERE event = 'job_end' GROUP BY status",
     "usage_user_colors": c._EV + ", " + c._FIRST + f'SELECT "user", [{_COLORS}][place] AS color FROM first WHERE place <= {len(PALETTE)}',
     "elapsed": c._EV + "SELECT pos, printf('%02d:%02d', floor(duration_s)::INTEGER // 60, floor(duration_s)::INTEGER % 60) AS elapsed FROM ev WHERE duration_s IS NOT NULL",

@@ -105,3 +105,11 @@ def test_structure_and_models(spark):
     a = spark.createDataFrame([(1, 0, "table", "x | y"), (2, 0, "paragraph", "p"), (3, 0, "paragraph", "p")], "doc_id long, block_idx int, kind string, text string")
     b = spark.createDataFrame([(1, 0, "table", "x | y | z"), (2, 0, "paragraph", "q | r"), (3, 0, "paragraph", "p"), (3, 1, "paragraph", "p")], "doc_id long, block_idx int, kind string, text string")
     assert dict(map(tuple, translation.same_structure(a, b).collect())) == {1: False, 2: True, 3: False}
+
+
+def test_longest_phrase_claims(spark):
+    sheet = spark.createDataFrame([(2, "board", "x"), (3, "board member", "y"), (4, "Member", "z"), (5, "", "w")], "row int, source string, target string")
+    texts = spark.createDataFrame([(1, 0, "Board members met the boards; a board, member of it. board member"), (2, 0, "onboarding"), (3, 0, None)], "doc_id long, unit_idx int, text string")
+    got = glossary.match_phrases(texts, sheet).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 2, 2), (1, 0, 3, 2), (1, 0, 4, 1)]
+    assert glossary.match_phrases(texts, sheet.limit(0)).count() == 0
