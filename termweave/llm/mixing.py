@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import written
+
 #: Base weights, dealt to the sources in order and repeated.
 WEIGHTS = (5, 2, 1)
 #: Slope of each weight's schedule w(t) = 1 + slope * (2t - 1): the first falls, the last rises.
@@ -112,3 +114,20 @@ def in_training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     copies = mixed.where("copies > 0").select(*columns, "slope", "_share", "pass_length", copy)
     share = F.least(F.lit(1.0), F.col("_share") + F.col("_copy") * F.col("pass_length"))
     return copies.select(*columns, position(share, F.col("slope")).alias("position")).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def training_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The mix of ``docs`` (doc_id, text, source) without texts, and its copies in training order, both written.
+
+    Both have _row, which names a row of the mix: doc_ids may be null or repeat.
+    """
+    mixed = mix(docs.select("doc_id", "text", "source")).drop("text").withColumn("_row", F.monotonically_increasing_id())
+    mixed = written(mixed, "mixed")
+    return mixed, written(in_training_order(mixed, ["_row", "doc_id", "source"]), "training-order")
+
+
+def taken_words(mixed: DataFrame, ordered: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every row of ``mixed``: the words of its copies in ``ordered``."""
+    copies = ordered.groupBy("_row").agg(F.count("position").alias("_copies"))
+    taken = F.coalesce(F.col("_copies"), F.lit(0)) * F.col("size")
+    return mixed.join(copies, "_row", "left").select("doc_id", "size", "source_size", "target", taken.alias("taken"))

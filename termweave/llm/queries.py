@@ -31,9 +31,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import taken_words, training_order
 
-    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(*training_order(_table(spark, sf_dir, "documents")))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes: what op4_curriculum_mix counts, with positions."""
+    from .mixing import training_order
+
+    return training_order(_table(spark, sf_dir, "documents"))[1].select("doc_id", "source", "position")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_curriculum_mix": op4_curriculum_mix,
+    "op4_training_order": op4_training_order,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_token_files": op7_token_files,
