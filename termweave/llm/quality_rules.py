@@ -14,8 +14,6 @@ from ._store import written
 
 #: Buckets of words and as many of word pairs; the table of weights has one row of two numbers for each bucket.
 BUCKETS = 1 << 16
-#: Labelled good documents that are used at most: those with the least hash of doc_id.
-TRUSTED_LIMIT = 20_000
 #: Least mean log-likelihood ratio of a kept document.
 THRESHOLD = -0.25
 #: The target's prior: so many n-grams dealt as the raw corpus has them.
@@ -68,15 +66,15 @@ def _grams(docs: DataFrame, *keys: str) -> DataFrame:
     return words.withColumn("_grams", ngram_buckets(F.col("_words"), F.size("_words"))).select(*keys, F.explode_outer("_grams").alias("bucket"))
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
+def ratio_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """bucket, weight: log(target / raw) for every bucket that the corpus has; at most two rows for each of BUCKETS.
 
-    ``trusted`` has doc_id of good documents; at most ``limit`` of them (16 bytes each) are broadcast. Raw counts are
-    over all documents.
+    ``trusted`` has doc_id of good documents; the target counts all of them, raw counts all documents.
     """
-    some = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("good", F.lit(1))
-    flagged = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left").select("text", "good")
-    counts = _grams(flagged, "good").where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
+    good = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    grams = _grams(docs.select("text", F.lit(None).cast("int").alias("good")), "good").unionByName(_grams(good.select("text", F.lit(1).alias("good")), "good"))
+    counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count_if(F.col("good").isNull()).alias("raw"), F.count("good").alias("target"))
     kind = counts.withColumn("pair", F.col("bucket") >= BUCKETS)
     totals = kind.groupBy("pair").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     share = F.col("raw") / F.col("all_raw")

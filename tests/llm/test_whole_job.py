@@ -2,9 +2,12 @@
 
 import hashlib
 import math
+from collections import Counter
 
 import duckdb
-from termweave.llm import mixing, queries
+from pyspark.sql import functions as F
+
+from termweave.llm import mixing, quality_rules, queries
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -36,3 +39,21 @@ def test_mix_counts_copies_in_training_order(spark, monkeypatch):
     assert sorted(map(tuple, queries.op4_curriculum_mix(spark, TABLES).collect())) == sorted(expected)
     monkeypatch.setattr(mixing, "in_training_order", lambda mixed, columns: in_order(mixed, columns).where("position < 0.5"))
     assert 0 < sum(r.taken for r in queries.op4_curriculum_mix(spark, TABLES).collect()) < sum(r[4] for r in expected)
+
+
+def test_quality_target_counts_all_trusted_documents(spark):
+    # more than 20,000 of them; as they are the corpus, no n-gram is likelier in one than in the other
+    docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 7), F.lit("and"), F.concat(F.lit("v"), F.col("id") % 11)).alias("text"))
+    weights = [r.weight for r in quality_rules.ratio_weights(docs, docs.select("doc_id")).collect()]
+    assert len(weights) > 18 and max(map(abs, weights)) < 1e-9
+
+    # ids and texts that are null or repeat, and trusted ids without a document, against plain counts
+    rows = [(1, "a b a"), (1, "c"), (2, "a c"), (None, "a d"), (3, None), (4, "")]
+    trusted = spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
+    got = {r.bucket: r.weight for r in quality_rules.ratio_weights(spark.createDataFrame(rows, "doc_id long, text string"), trusted).collect()}
+    raw, target = Counter(w for _, t in rows for w in (t or "").split()), Counter("abac")
+    words = spark.createDataFrame([(w,) for w in raw], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(quality_rules.BUCKETS)).alias("bucket")).collect()
+    for r in words:
+        share = raw[r.w] / raw.total()
+        expected = math.log((target[r.w] + quality_rules.PRIOR * share) / (target.total() + quality_rules.PRIOR) / share)
+        assert math.isclose(got[r.bucket], expected, abs_tol=1e-12)
