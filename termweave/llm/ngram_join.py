@@ -114,9 +114,9 @@ def _nodes(source: DataFrame, size: int, percent: int) -> DataFrame:
                         if len(segments(own, bands.largest(band), density)[0]) <= most:
                             fit &= ~(1 << i)
                 fits.append(fit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(fits, pa.int32())], ["doc_id", "n_shingles", "node", "fits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(fits, pa.int32())], ["doc_id", "text_hash", "n_shingles", "node", "fits"])
 
-    return source.mapInArrow(sets, "doc_id bigint, n_shingles bigint, node bigint, fits int")
+    return source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sets, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, fits int")
 
 
 def _signatures(source: DataFrame, size: int, percent: int, density: float, buckets: int) -> DataFrame:
@@ -230,9 +230,11 @@ def _likely(rows: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, source: DataFrame, representatives: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` (a table) that link, decided on whole sets."""
     spark = pairs.sparkSession
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(representatives, "node").select("node", "doc_id")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(representatives, "node").select("node", "doc_id", "text_hash")
     involved = written(involved, "candidates")
-    ids = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
+    few = involved.count() <= BROADCAST_IDS
+    with_id, without = (rows.select("node", key) for rows, key in ((involved.where("doc_id is not null"), "doc_id"), (involved.where("doc_id is null"), "text_hash")))
+    ids, hashes = (F.broadcast(rows) if few else rows for rows in (with_id, without))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -240,6 +242,9 @@ def _verified(pairs: DataFrame, source: DataFrame, representatives: DataFrame, s
 
     # rows that repeat a representative's doc_id may have other texts; the fingerprint tells which is meant
     texts = source.join(ids, "doc_id").select("node", "text")
+    # sets that only rows without an id hold are found by their text, one of its copies for all
+    unnamed = source.where("doc_id is null and text is not null").select("text").distinct()
+    texts = texts.unionByName(unnamed.join(hashes, F.xxhash64("text") == F.col("text_hash")).select("node", "text"))
     known = written(texts.mapInArrow(sets, "node bigint, shingles binary"), "sets")
     group = F.floor(F.row_number().over(Window.partitionBy("a", "salt").orderBy("b")) / VERIFY_GROUP)
     split = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64))).withColumn("part", group)
@@ -284,6 +289,14 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75)
     leaders, for signatures whose sets are still in different components. Only what is apart after that is paired.
     Nodes are 64-bit fingerprints of the sets, checked again on the sets when a pair is verified.
     """
+    return row_components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """``ngram_jaccard_components`` with text_hash (xxhash64 of the text) and component, a number of the component.
+
+    The number is never null for a row with shingles, whatever the ids are, and null for one without.
+    """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = written(_nodes(source, size, percent), "nodes")
@@ -292,7 +305,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = _signatures(source, size, percent, density, parts).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     groups = written(_groups(packed), "groups")
-    representatives = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    representatives = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
     hottest = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.col("members").desc(), "signature"))
     kept = written(groups.withColumn("rank", hottest).where(F.col("rank") > _left_out(F.col("spare"))).select("signature", "node", "n", "spare", "band"), "kept")
     lead = F.min(F.struct("node", "n", "spare")).over(Window.partitionBy("signature"))
@@ -331,5 +344,6 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75)
 
     members = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = members.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = members.where("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = members.where("n_shingles > 0").join(least, "component").select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+    alone = nodes.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)

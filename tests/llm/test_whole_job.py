@@ -2,12 +2,13 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
 
-from termweave.llm import mixing, quality_rules, queries
+from termweave.llm import mixing, ngram_join, quality_rules, queries
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -57,3 +58,32 @@ def test_quality_target_counts_all_trusted_documents(spark):
         share = raw[r.w] / raw.total()
         expected = math.log((target[r.w] + quality_rules.PRIOR * share) / (target.total() + quality_rules.PRIOR) / share)
         assert math.isclose(got[r.bucket], expected, abs_tol=1e-12)
+
+
+def chain(seed):
+    """Three texts of 200 words: neighbours differ in three words and link, the ends do not."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [words]
+    for at in (20, 120):
+        words = list(words)
+        for k in range(5):
+            words[at + 12 * k % 80] = f"x{at}{k}"
+        texts.append(words)
+    return [" ".join(t) for t in texts]
+
+
+def test_join_links_rows_without_id(spark):
+    a, b, c = chain(1)
+    d, e, f = chain(2)
+    rows = [(1, a), (None, b), (None, b), (7, c), (None, d), (None, e), (None, f), (None, None), (None, ""), (9, f"{chain(3)[0]}")]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in (a, b, c))]
+    link = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    assert link(sets[0], sets[1]) and link(sets[1], sets[2]) and not link(sets[0], sets[2])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.ngram_jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(1, 196, 1), (None, 196, 1), (None, 196, 1), (7, 196, 1), *[(None, 196, None)] * 3, (None, 0, None), (None, 0, None), (9, 196, 9)], key=str)
+    groups = {}
+    for r in ngram_join.row_components(docs).where("n_shingles > 0").collect():
+        groups[r.component] = groups.get(r.component, 0) + 1
+    assert sorted(groups.values()) == [1, 3, 4]
