@@ -134,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "term_hit_rate": term_hit_rate,
     "lang_profiles": lambda s, d: language.profiles(_read(s, d, "documents").where("doc_id % 2 = 0")),
     "lang_detect": lambda s, d: language.detect(_docs(s, d).where("doc_id % 2 = 1"), language.profiles(_read(s, d, "documents").where("doc_id % 2 = 0"))),
+    # the whole table; the two above learn from one half and judge the other, as their SQL does
+    "lang_profiles_whole": lambda s, d: language.gram_counts(_read(s, d, "documents")),
+    "lang_detect_whole": lambda s, d: language.detect_bayes(_docs(s, d), language.gram_counts(_read(s, d, "documents"))),
     "context_carry": lambda s, d: units.context_pairs(_read(s, d, "conversations")),
     "assemble_blocks": lambda s, d: units.assemble(line_blocks(_docs(s, d)), _answers(_units(s, d)).where("doc_id % 5 <> 0").select("doc_id", "block_idx", "cell", "text")),
     "markdown_render": lambda s, d: units.markdown(line_blocks(_docs(s, d))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as fn
 from termweave.operators import translation as tr
 from termweave.operators import units as un
-from termweave.operators import glossary, usage
+from termweave.operators import glossary, language, usage
 from termweave.plans import catalogue as c
 from termweave.sources.documents import line_blocks
 
@@ -69,6 +69,13 @@ def _foreign(s: SparkSession, d: str) -> DataFrame:
     return long.select("doc_id").join(found, "doc_id", "left_anti")
 
 
+def _foreign_whole(s: SparkSession, d: str) -> DataFrame:
+    """All documents that are long enough and not yet in the target language, judged on whole texts."""
+    long = c._docs(s, d).where(F.length("text") >= tr.MIN_CHARS)
+    found = language.detect_bayes(long, language.gram_counts(c._read(s, d, "documents")), None)
+    return found.where("lang is null or lang <> 'en'").select("doc_id")
+
+
 def _elapsed(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("int")
     return F.format_string("%02d:%02d", F.floor(whole / 60), whole % 60)
@@ -92,6 +99,7 @@ QUERIES = {
     "tags_strip": lambda s, d: _tagged(s, d).select("conv_id", "turn", fn.without_tags(F.col("text")).alias("text")),
     "model_availability": lambda s, d: tr.available(s.createDataFrame(MODELS, "key string, tag string"), s.createDataFrame(INSTALLED, "tag string")),
     "skip_target_language": _foreign,
+    "skip_target_language_whole": _foreign_whole,
     "term_match_single": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS)),
     "term_match_longest": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS + PHRASES)),
 }
