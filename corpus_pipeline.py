@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm import mixing, ngram_join, packing, pii, quality_rules, tokens
@@ -20,11 +20,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links by shingles the document with the least doc_id; one of rows that repeat it."""
-    groups = ngram_join.ngram_jaccard_components(docs)
-    kept = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))))
-    return one.where("_row = 1").drop("_row").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group that links by shingles: that of the least doc_id (none is last), then text hash.
+
+    Rows that share a doc_id are judged each by its own text. Rows without words link with nothing and stay.
+    """
+    rows = ngram_join.row_components(docs).where("component is not null")
+
+    def keys(text_hash: Column) -> dict[str, Column]:
+        return {"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_hash": text_hash}
+
+    first = rows.groupBy("component").agg(F.min(F.struct(*[c.alias(k) for k, c in keys(F.col("text_hash")).items()])).alias("key")).select("key.*")
+    named = docs.withColumns(keys(F.xxhash64("text"))).join(first, ["_null", "_id", "_hash"])
+    one = named.groupBy("_null", "_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return one.unionByName(docs.where(wordless))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

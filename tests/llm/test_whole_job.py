@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from termweave.llm import mixing, ngram_join, quality_rules, queries
 
 TABLES = "/root/testdata/sf0.001"
@@ -87,3 +88,17 @@ def test_join_links_rows_without_id(spark):
     for r in ngram_join.row_components(docs).where("n_shingles > 0").collect():
         groups[r.component] = groups.get(r.component, 0) + 1
     assert sorted(groups.values()) == [1, 3, 4]
+
+
+def test_near_duplicates_decide_by_row(spark):
+    a, near, _ = chain(1)
+    d, e, f = chain(2)
+    b, g = chain(3)[0], chain(4)[0]
+    rows = [(5, a), (5, b), (6, near), (7, g), (7, g), (None, d), (None, e), (None, f), (None, f), (8, ""), (8, None), (None, "single words"), (9, "single words"), (4, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, TABLES).collect()), key=str)
+    unnamed = [r for r in got if r[0] is None]
+    assert len(unnamed) == 1 and unnamed[0][1] in (d, e, f)
+    assert [r for r in got if r[0] is not None] == sorted([(5, a), (4, b + " more"), (7, g), (8, ""), (8, None), (9, "single words")], key=str)
+    other = spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, other, TABLES).count() == 2
