@@ -65,7 +65,7 @@ STAGES = [
     ("best-fit packing", sequences),
 ]
 
-#: Hashed weights, keyed surrogates and a tokenizer are beyond SQL; tests hold the stages against brute force.
+#: Hashed weights, keyed surrogates and a tokenizer are beyond SQL; of the stages, a test covers near duplicates only.
 ORACLE_SQL = None
 
 
