@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import removed, written
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = large.where("u <> v").distinct()
         small = _with_least(large)
-        edges = written(small.select(F.explode(F.array(F.struct("v", "least"), F.struct(F.col("u").alias("v"), "least"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.least").alias("v")).where("u <> v").distinct(), "stars")
+        old, edges = edges, written(small.select(F.explode(F.array(F.struct("v", "least"), F.struct(F.col("u").alias("v"), "least"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.least").alias("v")).where("u <> v").distinct(), "stars")
+        removed(old)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == before:
             break

@@ -1,16 +1,20 @@
 """Exact n-gram Jaccard self-join by universe partition and pigeonhole.
 
-A document's set are its distinct word shingles. Sizes fall into bands so wide that linked sets lie in one band or two
-neighbouring ones; the smaller set's band fixes into how many segments the universe of shingles is hashed. Two linked
-sets of which one has n shingles differ in at most H(n) of them, so at most H(n) of its non-empty segments differ, and
-if it has more than H(n) of them, some non-empty segment is equal in both: its hash is a signature that finds the pair.
-
-Allocation goes by cost. For each width of segments the sets' segments are counted first; the widest one for which every
-set has more than H non-empty segments is taken, down to a single shingle for each segment, for which that always holds
-(there the neighbours of a segment by one deletion are the empty one and itself, so none are indexed). Linked sets have more equal segments than
-one: all but H of the non-empty ones. So a set may leave out some; it leaves out those with the most members, in an order
-that is the same for all sets, which spares the rest of every linked pair. Pairs that share too few of these are no
-candidates; candidates are verified on whole sets.
+A document's set are its distinct word shingles, and the universe of shingles is hashed into segments so narrow that a
+segment holds one shingle of a set. Linked sets lie in one size band or two neighbouring ones. If a set of n shingles
+links with another, at most H(n) of its non-empty segments are empty in the other one; so of any H(n) + 1 segments to
+which it gives threshold 1, some segment is equal in both and its signature finds the pair.
+
+Allocation goes by cost. A segment costs as many candidates as other sets have it. Segments that no other set has cost
+nothing and are given a threshold first: they use up H at once. The rest of the H(n) + 1 thresholds goes to the rarest
+segments, in an order that is the same for all sets, and all others, such as a passage that many documents share, get
+none. The neighbours by one deletion of a segment with one shingle are the empty segment, which all other sets have: its
+cost is the whole corpus, so threshold 2 is never allotted. (Wider segments make these neighbourhoods useful, but must
+be given a threshold nearly all, common ones too, before some pair is sure to be found.)
+
+Sets of a signature and band are paired with one leader, the one whose segments are the most common: the centre of a
+group of near copies. What lies in different components after that is paired again, where counts still allow a link.
+Candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -19,27 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import removed, written
 from ._words import chunks, gram_hashes, mix, to_signed, word_hashes
 from .components import connected_components
 
-#: Segments for each shingle of a band's largest set, from wide segments to narrow; 0: each shingle is a segment.
-DENSITIES = (0.45, 0.6, 0.9, 0)
-#: Sets up to this size always have each shingle as a segment.
-SMALL = 96
 #: Signatures gathered before they are dealt to buckets.
 GATHER = 2_000_000
 #: Low bytes of a signature that travel; its bucket stands for more. Signatures taken for one only add candidates.
 KEPT_BYTES = 6
-#: Representatives up to which their ids are broadcast (16 bytes each); beyond, their texts are found by a shuffled join.
-BROADCAST_IDS = 500_000
-#: Rounds that pair the sets of a signature with one leader, another each time, before all still apart are paired.
-STAR_ROUNDS = 3
-#: Candidates of one representative that one task verifies.
-VERIFY_GROUP = 2_000
+#: Sets of one gathering that share a signature from which on it is dealt apart from its bucket.
+HOT = 128
+#: Rounds, after the first, that pair the sets of a signature with a leader before all that are still apart are paired.
+STAR_ROUNDS = 1
+#: Bits of a set's sketch.
+SKETCH = 512
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -49,7 +49,10 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     out, at = [], 0
     for n in counts.tolist():
         if n >= size:
-            out.append(np.unique(grams[at : at + n - size + 1]))
+            own = np.sort(grams[at : at + n - size + 1])
+            fresh = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            out.append(own[fresh])
         elif n:
             out.append(gram_hashes(words[at : at + n], n) + np.uint64(n))
         else:
@@ -58,136 +61,132 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-class Bands:
-    """Size bands for a threshold of percent: a linked set of band b has its partner in b - 1, b or b + 1."""
-
-    def __init__(self, percent: int):
-        self.percent, self.lower = percent, [1]
-
-    def band(self, n: int) -> int:
-        while self.lower[-1] <= n:
-            last = self.lower[-1]
-            self.lower.append(max(last + 1, -(-last * 100 // self.percent)))
-        return int(np.searchsorted(self.lower, n, "right")) - 1
-
-    def largest(self, band: int) -> int:
-        return self.lower[band + 1] - 1
-
-    def roles(self, n: int) -> list[tuple[int, int]]:
-        """(band, H): as a member of its own band, where the partner may be larger, and as the larger of the band below."""
-        own, t = self.band(n), self.percent
-        roles = [(own, (100 - t) * n // t)]
-        if own and t * n <= 100 * self.largest(own - 1):
-            roles.append((own - 1, 2 * (100 - t) * n // (100 + t)))
-        return roles
-
-
-def segments(shingles: np.ndarray, largest: int, density: float) -> tuple[np.ndarray, np.ndarray]:
-    """The non-empty segments of a set and a hash of what each holds."""
-    if not density or largest <= SMALL:
-        return shingles, mix(shingles)
-    count = max(1, int(np.ceil(density * largest)))
-    of = ((mix(shingles) >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-    order = np.argsort(of, kind="stable")
-    of, values = of[order], mix(shingles[order] ^ np.uint64(0xA5A5A5A55A5A5A5A))
-    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+def _fingerprint(shingles: np.ndarray, seed: int = 0x51ED270B35A1C6F3) -> int:
     with np.errstate(over="ignore"):
-        return of[first], mix(np.add.reduceat(values, first))
+        return int(mix(np.array([mix(shingles ^ np.uint64(seed)).sum() + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
-def _fingerprint(shingles: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(shingles ^ np.uint64(0x51ED270B35A1C6F3)).sum() + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+def _nodes(source: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node (a fingerprint of the set) and check (another one) for every row."""
 
-
-def _nodes(source: DataFrame, size: int, percent: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch, texts in chunks(batches):
-            n, node, fits = [], [], []
-            for own in shingle_sets(texts, size):
-                n.append(len(own))
-                node.append(_fingerprint(own))
-                fit = (1 << len(DENSITIES)) - 1
-                for band, most in bands.roles(len(own)) if len(own) else ():
-                    for i, density in enumerate(DENSITIES):
-                        if len(segments(own, bands.largest(band), density)[0]) <= most:
-                            fit &= ~(1 << i)
-                fits.append(fit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(fits, pa.int32())], ["doc_id", "text_hash", "n_shingles", "node", "fits"])
+            found = shingle_sets(texts, size)
+            columns = [[len(s) for s in found], [_fingerprint(s) for s in found], [_fingerprint(s, 0x2F0B4C47A1D3E695) for s in found]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "text_hash", "n_shingles", "node", "check"])
+
+    return source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sets, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, check bigint")
 
-    return source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sets, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, fits int")
 
+def _signatures(source: DataFrame, size: int, buckets: int) -> DataFrame:
+    """bucket, hot, packed: the sets that have signatures in a bucket, and (signature, which set) for each.
 
-def _signatures(source: DataFrame, size: int, percent: int, density: float, buckets: int) -> DataFrame:
-    """bucket, packed: per bucket the sets that have signatures there, and (signature, which set) for each."""
+    A signature of ``HOT`` or more sets gathered at once goes to any bucket, marked as hot; in its own bucket stands one
+    row of no set, so that it isn't taken for a signature that only one set has.
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        held: list[tuple[np.ndarray, int, int, int, int]] = []
+        held: dict[int, np.ndarray] = {}
         total = 0
 
+        def packed(signature: np.ndarray, owner: np.ndarray, about: np.ndarray) -> bytes:
+            here, which = np.unique(owner, return_inverse=True)
+            small = np.uint16 if len(here) < 1 << 16 else np.uint32
+            return b"".join((np.array([len(here), len(signature)], np.int64).tobytes(), about[here].tobytes(), signature.view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes(), which.astype(small).tobytes()))
+
         def flush() -> pa.RecordBatch:
-            signature = np.concatenate([x[0] for x in held])
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[0]) for x in held])
-            about = np.array([x[1:] for x in held], np.int64)
-            bucket = (signature >> np.uint64(40)) % np.uint64(buckets)
+            sets = list(held.values())
+            # the last entry is the row of no set
+            about = np.array([*((node, len(s)) for node, s in held.items()), (0, 0)], np.int64)
+            signature = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+            order = np.argsort(signature)
+            signature, owner = signature[order], owner[order]
+            first = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
+            run = np.diff(first, append=len(signature))
+            hot = np.repeat(run >= HOT, run)
+            rows, keys, is_hot = [], [], []
+            # the top bits deal signatures to buckets, in order
+            if hot.any():
+                own, theirs = signature[hot], owner[hot]
+                edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                for i, (a, b) in enumerate(zip(edges, np.r_[edges[1:], len(own)], strict=True)):
+                    own_bucket = int(((own[a] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32))
+                    rows.append(_whole(own[a : a + 1].view(np.uint8).reshape(1, 8)[:, :KEPT_BYTES], own_bucket).tobytes() + packed(own[a:b], theirs[a:b], about))
+                    keys.append(int(mix(own[a : a + 1] + np.uint64(about[0, 0] & 0xFFFF) + np.uint64(i))[0] % np.uint64(buckets)))
+                    is_hot.append(True)
+                signature, owner = np.r_[signature[~hot], own[edges]], np.r_[owner[~hot], np.full(len(edges), len(sets), np.uint32)]
+            bucket = ((signature >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
             bucket, signature, owner = bucket[order], signature[order], owner[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            rows = []
             for a, b in zip(first, np.r_[first[1:], len(bucket)], strict=True):
-                here, which = np.unique(owner[a:b], return_inverse=True)
-                small = np.uint16 if len(here) < 1 << 16 else np.uint32
-                rows.append(b"".join((np.array([len(here), b - a], np.int64).tobytes(), about[here].tobytes(), signature[a:b].view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes(), which.astype(small).tobytes())))
+                rows.append(packed(signature[a:b], owner[a:b], about))
+                keys.append(int(bucket[a]))
+                is_hot.append(False)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(is_hot), pa.array(rows, pa.binary())], ["bucket", "hot", "packed"])
 
         for _, texts in chunks(batches):
             for own in shingle_sets(texts, size):
-                for band, most in bands.roles(len(own)) if len(own) else ():
-                    segment, content = segments(own, bands.largest(band), density)
-                    with np.errstate(over="ignore"):
-                        signature = mix(content + segment * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
-                    held.append((signature, _fingerprint(own), len(own), len(segment) - most - 1, band))
-                    total += len(signature)
+                node = _fingerprint(own) if len(own) else 0
+                if len(own) and node not in held:
+                    held[node] = mix(own)
+                    total += len(own)
             if total >= GATHER:
                 yield flush()
                 total = 0
         if held:
             yield flush()
 
-    return source.mapInArrow(dealt, "bucket int, packed binary")
+    return source.mapInArrow(dealt, "bucket int, hot boolean, packed binary")
+
+
+def _whole(low: np.ndarray, bucket: int) -> np.ndarray:
+    whole = np.empty((len(low), 8), np.uint8)
+    whole[:, :KEPT_BYTES] = low
+    whole[:, KEPT_BYTES:] = np.array([bucket], np.uint32).view(np.uint8)[: 8 - KEPT_BYTES]
+    return whole.view(np.uint64).ravel()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Low bytes of the signatures as rows, and node and n of their sets."""
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    about = np.frombuffer(raw, np.int64, 2 * n, 16).reshape(n, 2)
+    at = 16 + 16 * n
+    low = np.frombuffer(raw, np.uint8, KEPT_BYTES * m, at).reshape(m, KEPT_BYTES)
+    return low, about[np.frombuffer(raw, np.uint16 if n < 1 << 16 else np.uint32, m, at + KEPT_BYTES * m)]
 
 
 def _groups(packed: DataFrame) -> DataFrame:
-    """signature, node, n, spare, band, members: sets of every signature that two or more different sets have."""
+    """signature, node, n, members: sets of every signature that two or more have; members is null for hot ones."""
+    names = ["signature", "node", "n", "members"]
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for own, hot, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if hot:
+                    data = raw.as_py()
+                    about = _unpacked(data[8:])[1]
+                    yield rows(np.repeat(np.frombuffer(data, np.uint64, 1), len(about)), about, None)
+                    continue
                 if own != bucket:
                     yield from found(bucket, held)
                     bucket, held = own, []
                 held.append(raw.as_py())
         yield from found(bucket, held)
 
+    def rows(signature: np.ndarray, about: np.ndarray, members: np.ndarray | None) -> pa.RecordBatch:
+        count = pa.nulls(len(signature), pa.int64()) if members is None else pa.array(members, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(to_signed(signature)), *(pa.array(np.ascontiguousarray(c)) for c in about.T), count], names)
+
     def found(bucket: int | None, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        signatures, abouts = [], []
-        for raw in held:
-            n, m = np.frombuffer(raw, np.int64, 2).tolist()
-            about = np.frombuffer(raw, np.int64, 4 * n, 16).reshape(n, 4)
-            at = 16 + 32 * n
-            whole = np.zeros((m, 8), np.uint8)
-            whole[:, :KEPT_BYTES] = np.frombuffer(raw, np.uint8, KEPT_BYTES * m, at).reshape(m, KEPT_BYTES)
-            whole[:, KEPT_BYTES:] = np.array([bucket], np.uint32).view(np.uint8)[: 8 - KEPT_BYTES]
-            signatures.append(whole.view(np.uint64).ravel())
-            abouts.append(about[np.frombuffer(raw, np.uint16 if n < 1 << 16 else np.uint32, m, at + KEPT_BYTES * m)])
         if not held:
             return
-        signature, about = np.concatenate(signatures), np.concatenate(abouts)
-        order = np.argsort(signature, kind="stable")
+        lows, abouts = zip(*map(_unpacked, held), strict=True)
+        signature, about = _whole(np.concatenate(lows), bucket), np.concatenate(abouts)
+        order = np.argsort(signature)
         signature = signature[order]
         same = signature[1:] == signature[:-1]
         repeated = np.zeros(len(signature), bool)
@@ -202,77 +201,95 @@ def _groups(packed: DataFrame) -> DataFrame:
         if not len(signature):
             return
         first = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
-        size = np.diff(np.r_[first, len(signature)])
-        keep = np.repeat(size > 1, size)
-        columns = [to_signed(signature)[keep], *(about[keep].T), np.repeat(size, size)[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["signature", "node", "n", "spare", "band", "members"])
+        size = np.diff(first, append=len(signature))
+        marked = np.repeat(np.add.reduceat(about[:, 1] == 0, first) > 0, size)
+        size = np.repeat(size, size)
+        for keep, members in ((~marked & (size > 1), size), (marked & (about[:, 1] > 0), None)):
+            if keep.any():
+                yield rows(signature[keep], about[keep], None if members is None else members[keep])
 
-    return packed.mapInArrow(gathered, "signature bigint, node bigint, n bigint, spare bigint, band bigint, members bigint")
+    return packed.mapInArrow(gathered, "signature bigint, node bigint, n bigint, members bigint")
 
 
-def _left_out(spare: Column) -> Column:
-    """How many of its most common signatures a set leaves out, of those it may."""
-    return F.floor(spare * 3 / 4)
+def _open_sets(groups: DataFrame, percent: int) -> DataFrame:
+    """node, n, common, weight, own (members, signature; rarest first) of all sets that may link.
+
+    ``own`` are the signatures that other sets have too, ``common`` their number, ``weight`` how common they are.
+    """
+    hot = groups.where("members is null").select("signature", "node", "n").distinct()
+    counts = hot.groupBy("signature").agg(F.count("*").alias("members")).where("members > 1")
+    known = groups.where("members is not null").unionByName(hot.join(counts, "signature"))
+    weight = F.sum(F.log2(F.col("members").cast("double"))) / F.first("n")
+    own = known.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common"), weight.alias("weight"), F.collect_list(F.struct("members", "signature")).alias("own"))
+    return own.where(F.col("common") * 100 >= percent * F.col("n")).withColumn("own", F.sort_array("own"))
 
 
-def _likely(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of ``rows``, one for each signature that both keep, that may link.
+def _allotted(sets: DataFrame, percent: int) -> DataFrame:
+    """signature, band, node, n, common, weight, place: the segments of ``sets`` that have threshold 1.
 
-    Linked sets have more than ``spare`` non-empty segments in common, and what one of them leaves out the other's order
-    leaves out first too; so all but ``_left_out`` of the larger spare remain.
+    ``place`` is the segment's in the order by cost. A set stands in its own band and the one below, so that linked sets
+    meet in the smaller one's.
     """
-    near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    spare = F.greatest("spare_a", "spare_b")
-    shared = rows.where(near).groupBy("a", "b", "band").agg(F.count("*").alias("shared"), F.max(spare).alias("spare"))
-    return shared.where(F.col("shared") > F.col("spare") - _left_out(F.col("spare"))).select("a", "b").distinct()
+    width = F.lit(max(float(np.log(100 / percent)) * 1.001, 1e-3))
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    thresholds = F.floor((100 - percent) * F.col("n") / 100) + 1 - (F.col("n") - F.col("common"))
+    bands = F.explode(F.array("own_band", F.col("own_band") - 1)).alias("band")
+    sets = sets.withColumn("own_band", band).withColumn("own", F.slice(F.col("own.signature"), F.lit(1), thresholds.cast("int")))
+    rows = sets.select("node", "n", "common", "weight", "own_band", F.posexplode("own").alias("place", "signature"))
+    return rows.select("signature", bands, "own_band", "node", "n", "common", "weight", (F.col("n") - F.col("common") + F.col("place")).alias("place"))
 
 
-def _verified(pairs: DataFrame, source: DataFrame, representatives: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` (a table) that link, decided on whole sets."""
-    spark = pairs.sparkSession
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(representatives, "node").select("node", "doc_id", "text_hash")
-    involved = written(involved, "candidates")
-    few = involved.count() <= BROADCAST_IDS
-    with_id, without = (rows.select("node", key) for rows, key in ((involved.where("doc_id is not null"), "doc_id"), (involved.where("doc_id is null"), "text_hash")))
-    ids, hashes = (F.broadcast(rows) if few else rows for rows in (with_id, without))
+def _enough(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return shared * (100 + percent) >= F.lit(percent) * (n_a + n_b)
+
+
+def _distinct_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, n_a, n_b of ``rows`` (a row for each segment that two sets share) that may link by their places.
+
+    The rarest shared segment bounds what two sets share: nothing before it, and what is left from there of either.
+    """
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    pairs = rows.groupBy("a", "b").agg(F.max(left).alias("most"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return pairs.where(_enough(F.col("most"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["node", "shingles"])
-
-    # rows that repeat a representative's doc_id may have other texts; the fingerprint tells which is meant
-    texts = source.join(ids, "doc_id").select("node", "text")
-    # sets that only rows without an id hold are found by their text, one of its copies for all
-    unnamed = source.where("doc_id is null and text is not null").select("text").distinct()
-    texts = texts.unionByName(unnamed.join(hashes, F.xxhash64("text") == F.col("text_hash")).select("node", "text"))
-    known = written(texts.mapInArrow(sets, "node bigint, shingles binary"), "sets")
-    group = F.floor(F.row_number().over(Window.partitionBy("a", "salt").orderBy("b")) / VERIFY_GROUP)
-    split = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64))).withColumn("part", group)
-    split = written(split.select("a", "b", "salt", "part"), "split")
-    heads = split.select("a", "salt", "part").distinct().join(known, F.col("a") == F.col("node")).select("a", "salt", "part", F.lit(None).cast("long").alias("b"), "shingles")
-    rest = split.join(known, F.col("b") == F.col("node")).select("a", "salt", "part", "b", "shingles")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = heads.unionByName(rest).repartition(parts, "a", "salt", "part").sortWithinPartitions("a", "salt", "part", F.col("b").asc_nulls_first())
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, heads = None, []
-        for batch in batches:
-            left, right = [], []
-            for a, salt, part, b, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                own = np.frombuffer(raw, np.uint64)
-                if (a, salt, part) != key:
-                    key, heads = (a, salt, part), []
-                if b is None:
-                    if _fingerprint(own) == a:
-                        heads = [own]
-                elif heads and _fingerprint(own) == b:
-                    shared = len(np.intersect1d(heads[0], own, assume_unique=True))
-                    if 100 * shared >= percent * (len(heads[0]) + len(own) - shared):
-                        left.append(a)
-                        right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return rows.select("a", "salt", "part", "b", "shingles").mapInArrow(check, "a bigint, b bigint").distinct()
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, decided on all signatures of both sets that any other set has."""
+    shingles = sets.select("node", F.col("own.signature").alias("shingles"))
+    left = pairs.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = left.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    shared = F.size(F.array_intersect("of_a", "of_b")).cast("long")
+    return both.where(_enough(shared, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """``rows`` of the signatures and bands whose sets lie in two or more components and may link by their counts."""
+    for _ in range(2):
+        groups = rows.groupBy("signature", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("n").alias("smallest"))
+        rows = rows.join(groups.where("least <> most").drop("least", "most"), ["signature", "band"])
+        rows = rows.where("enough_for >= smallest").drop("smallest")
+    return rows
+
+
+def _sketched(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and sketch_0 ..: the parity of how many of a set's signatures fall on each of ``SKETCH`` bits.
+
+    Two sets' sketches differ in no more bits than the sets differ in signatures.
+    """
+    bit = F.pmod(F.xxhash64("signature"), F.lit(SKETCH))
+    each = sets.join(nodes, "node", "left_semi").select("node", F.explode("own.signature").alias("signature")).select("node", (bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit"))
+    return each.groupBy("node").agg(*[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"sketch_{k}") for k in range(SKETCH // 64)])
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("signature", "band", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in ("signature", "band")])
+
+
+def _may_link(percent: int) -> Column:
+    """Whether a pair of rows may link, by the signatures that no other set has and by the sketches of the rest."""
+    apart = sum((F.bit_count(F.col(f"sketch_{k}_a").bitwiseXOR(F.col(f"sketch_{k}_b"))) for k in range(SKETCH // 64)), F.lit(0))
+    shared = F.floor((F.col("common_a") + F.col("common_b") - apart) / 2)
+    return _enough(F.least("common_a", "common_b", shared), F.col("n_a"), F.col("n_b"), percent)
 
 
 def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -285,65 +302,65 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75)
     component's smallest, and stands only where all ids of a component are null. An empty table gives no rows. Other
     columns are not read.
 
-    The sets of a signature are paired with one leader, verified and joined into components; so again with other
-    leaders, for signatures whose sets are still in different components. Only what is apart after that is paired.
-    Nodes are 64-bit fingerprints of the sets, checked again on the sets when a pair is verified.
+    Shingles are compared by 64-bit hashes. Nodes are 64-bit fingerprints of the sets; where two sets have one, a
+    second fingerprint of 64 bits keeps their rows apart.
     """
     return row_components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def row_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """``ngram_jaccard_components`` with text_hash (xxhash64 of the text) and component, a number of the component.
-
-    The number is never null for a row with shingles, whatever the ids are, and null for one without.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = written(_nodes(source, size, percent), "nodes")
-    fits = nodes.agg(F.coalesce(F.bit_and("fits"), F.lit(1)).alias("fits")).first()["fits"]
-    density = next(d for i, d in enumerate(DENSITIES) if fits >> i & 1)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = _signatures(source, size, percent, density, parts).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
+def _links(source: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, component of all sets that link with another; a table."""
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = _signatures(source, size, parts).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     groups = written(_groups(packed), "groups")
-    representatives = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
-    hottest = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.col("members").desc(), "signature"))
-    kept = written(groups.withColumn("rank", hottest).where(F.col("rank") > _left_out(F.col("spare"))).select("signature", "node", "n", "spare", "band"), "kept")
-    lead = F.min(F.struct("node", "n", "spare")).over(Window.partitionBy("signature"))
-    pairs = written(_likely(kept.withColumn("lead", lead).where("lead.node <> node").select(F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.spare").alias("spare_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("spare").alias("spare_b"), "band"), percent), "pairs")
-    links = written(_verified(pairs, source, representatives, size, percent), "verified")
-    found = written(connected_components(links), "components")
-
-    def still_apart() -> DataFrame:
-        """Kept signatures whose sets lie in two or more components, with these."""
-        placed = kept.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("signature")
-        return written(placed.join(mixed, "signature"), "apart")
-
-    def fresh(rows: DataFrame) -> DataFrame:
-        """Likely pairs of ``rows`` that no round before has verified."""
-        ordered = _likely(rows, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return written(ordered.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
-
-    tried = pairs
+    sets = written(_open_sets(groups, percent), "open-sets")
+    removed(groups)
+    rows = written(_allotted(sets, percent), "allotted")
+    central = F.max(F.struct("weight", "n", "node", "common", "place")).alias("lead")
+    leads = rows.groupBy("signature", "band").agg(central, F.count("*").alias("members")).where("members > 1").drop("members")
+    star = rows.join(leads, ["signature", "band"]).where("node <> lead.node")
+    star = star.select(*[F.col(f"lead.{c}").alias(f"{c}_a") for c in ("n", "common", "place")], *[F.col(c).alias(f"{c}_b") for c in ("n", "common", "place")], F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    pairs = written(_distinct_pairs(star.where(_enough(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"), percent)), percent), "pairs")
+    links = written(_verified(pairs, sets, percent), "links")
+    found = connected_components(links)
     for round_ in range(STAR_ROUNDS + 1):
-        apart = still_apart()
+        placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        enough_for = F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")
+        apart = written(_several(placed.withColumn("enough_for", enough_for)).drop("enough_for", "weight"), "apart")
         if apart.isEmpty():
             break
+        known = written(apart.join(_sketched(apart.select("node").distinct(), sets), "node"), "sketched")
+        removed(apart)
         if round_ < STAR_ROUNDS:
-            lead = F.min(F.struct(F.xxhash64(F.lit(round_), "node").alias("by"), "node", "n", "spare", "component")).over(Window.partitionBy("signature"))
-            rows = apart.withColumn("lead", lead).where("lead.component <> component").select(F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.spare").alias("spare_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("spare").alias("spare_b"), "band")
+            # a leader for each signature, another one in each round
+            others = known.groupBy("signature", "band").agg(F.min_by(F.struct(*[c for c in known.columns if c not in ("signature", "band")]), F.xxhash64(F.lit(round_), "node")).alias("lead")).select("signature", "band", "lead.*")
         else:
-            left, right = (apart.select("signature", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("spare").alias(f"spare_{x}"), F.col("component").alias(f"component_{x}"), *(["band"] if x == "a" else [])) for x in "ab")
-            rows = left.join(right, "signature").where("a < b and component_a <> component_b")
-        more = fresh(rows)
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        links = written(links.unionByName(_verified(more, source, representatives, size, percent)), "verified")
-        found = written(connected_components(links), "components")
-
-    members = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = members.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = members.where("n_shingles > 0").join(least, "component").select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+            others = known
+        met = _side(known, "a").join(_side(others, "b"), ["signature", "band"]).where("component_a <> component_b and band = least(own_band_a, own_band_b)")
+        met = met.where("node_a < node_b") if round_ == STAR_ROUNDS else met
+        fresh = written(_distinct_pairs(met.where(_may_link(percent)).withColumnsRenamed({"node_a": "a", "node_b": "b"}), percent), "more-pairs")
+        more = written(_verified(fresh, sets, percent), "links")
+        removed(known, fresh)
+        if not more.isEmpty():
+            links = written(links.unionByName(more), "links")
+            found = connected_components(links)
+    return found
+
+
+def row_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """``ngram_jaccard_components`` with text_hash (xxhash64 of the text) and component, a number of the component.
+
+    The number is never null for a row with shingles, whatever the ids are, and null for one without.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nodes = written(_nodes(source, size), "nodes")
+    found = _links(source, size, percent)
+    sets = nodes.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
+    # of sets with one fingerprint, the links are one's
+    first = sets.groupBy("node").agg(F.min("check").alias("check")).join(found, "node")
+    placed = sets.join(first, ["node", "check"], "left").withColumn("component", F.coalesce("component", F.xxhash64("node", "check")))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = written(placed.join(least, "component").select("node", "check", "component", "component_id"), "placed")
+    linked = nodes.where("n_shingles > 0").join(known, ["node", "check"]).select("doc_id", "text_hash", "n_shingles", "component", "component_id")
     alone = nodes.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
