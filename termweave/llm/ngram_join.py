@@ -317,30 +317,35 @@ def _links(source: DataFrame, size: int, percent: int) -> DataFrame:
     removed(groups)
     rows = written(_allotted(sets, percent), "allotted")
     central = F.max(F.struct("weight", "n", "node", "common", "place")).alias("lead")
-    leads = rows.groupBy("signature", "band").agg(central, F.count("*").alias("members")).where("members > 1").drop("members")
-    star = rows.join(leads, ["signature", "band"]).where("node <> lead.node")
-    star = star.select(*[F.col(f"lead.{c}").alias(f"{c}_a") for c in ("n", "common", "place")], *[F.col(c).alias(f"{c}_b") for c in ("n", "common", "place")], F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    leads = rows.groupBy("signature", "band").agg(central, F.count("*").alias("members"), F.min("own_band").alias("lowest"))
+    # where all sets are of the band above, they meet there
+    leads = leads.where("members > 1 and lowest = band").drop("members", "lowest")
+    shared = written(rows.drop("weight").join(leads, ["signature", "band"]), "shared")
+    removed(rows)
+    star = shared.where("node <> lead.node").select(*[F.col(f"lead.{c}").alias(f"{c}_a") for c in ("n", "common", "place")], *[F.col(c).alias(f"{c}_b") for c in ("n", "common", "place")], F.col("lead.node").alias("a"), F.col("node").alias("b"))
     pairs = written(_distinct_pairs(star.where(_enough(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"), percent)), percent), "pairs")
     links = written(_verified(pairs, sets, percent), "links")
     found = connected_components(links)
+    enough_for = F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")
+    known = shared.drop("lead").withColumn("enough_for", enough_for)
     for round_ in range(STAR_ROUNDS + 1):
-        placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        enough_for = F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")
-        apart = written(_several(placed.withColumn("enough_for", enough_for)).drop("enough_for", "weight"), "apart")
+        placed = known.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = written(_several(placed), "apart")
         if apart.isEmpty():
             break
-        known = written(apart.join(_sketched(apart.select("node").distinct(), sets), "node"), "sketched")
-        removed(apart)
+        if not round_:
+            sketches = written(_sketched(apart.select("node").distinct(), sets), "sketches")
+        known = apart.drop("component")
+        sketched = apart.drop("enough_for").join(sketches, "node")
+        others = sketched
         if round_ < STAR_ROUNDS:
             # a leader for each signature, another one in each round
-            others = known.groupBy("signature", "band").agg(F.min_by(F.struct(*[c for c in known.columns if c not in ("signature", "band")]), F.xxhash64(F.lit(round_), "node")).alias("lead")).select("signature", "band", "lead.*")
-        else:
-            others = known
-        met = _side(known, "a").join(_side(others, "b"), ["signature", "band"]).where("component_a <> component_b and band = least(own_band_a, own_band_b)")
+            lead = F.min_by(F.struct(*[c for c in sketched.columns if c not in ("signature", "band")]), F.xxhash64(F.lit(round_), "node")).alias("lead")
+            others = sketched.groupBy("signature", "band").agg(lead).select("signature", "band", "lead.*")
+        met = _side(sketched, "a").join(_side(others, "b"), ["signature", "band"]).where("component_a <> component_b and band = least(own_band_a, own_band_b)")
         met = met.where("node_a < node_b") if round_ == STAR_ROUNDS else met
         fresh = written(_distinct_pairs(met.where(_may_link(percent)).withColumnsRenamed({"node_a": "a", "node_b": "b"}), percent), "more-pairs")
         more = written(_verified(fresh, sets, percent), "links")
-        removed(known, fresh)
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
             found = connected_components(links)
