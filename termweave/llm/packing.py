@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import written
-from ._words import chunks, word_lists
+from ._words import chunks
 from .tokens import encoder
 
 #: Sequences that one packing task fills, pieces that it holds at most, and tasks whose open bins are packed again together.
@@ -66,7 +66,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch, texts in chunks(batches):
-            ids, sizes = encode(*word_lists(texts), end_id)
+            ids, sizes = encode(texts, end_id)
             pieces = -(-sizes // capacity)
             doc = np.repeat(np.arange(len(sizes)), pieces)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

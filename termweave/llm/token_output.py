@@ -4,7 +4,7 @@ A shard is one binary value in a Parquet row group, so any store that Spark writ
 protocol keeps a lost executor from leaving half a file. Layout of a shard, little-endian:
 
     magic "PFR1" | u32 ids | u32 block length | u32 blocks | u64 start of each block, from the shard's first byte
-    block: u32 minimum | u8 width | u16 exceptions | packed low bits | u16 place of each | u32 high bits of each
+    block: u32 minimum | u8 width | u16 exceptions | low bits, 64 ids in ``width`` words | u16 places | u32 high bits
 
 Every block subtracts its minimum, packs at the width that a fixed percentile of its ids needs, and keeps the high bits
 of the rest as exceptions. The index of block starts gives any id without reading the blocks before it.
@@ -23,13 +23,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import written
-from ._words import chunks, word_lists
+from ._words import chunks
 from .tokens import encoder
 
 _HEAD = struct.Struct("<4sIII")
 _BLOCK = struct.Struct("<IBH")
 
 
+def _lane_words(block: int, width: int) -> int:
+    """64-bit words of a block's low bits: each 64 values take ``width`` words."""
+    return -(-block // 64) * width
+
+
+def _lanes(values: np.ndarray, width: int) -> np.ndarray:
+    """The values of each row, ``width`` bits each, from the lowest bit of the first word on."""
+    n, block = values.shape
+    lanes = -(-block // 64)
+    wide = np.zeros((64, n * lanes), np.uint64)
+    padded = np.zeros((n, lanes * 64), np.uint64)
+    padded[:, :block] = values
+    wide[:] = padded.reshape(n * lanes, 64).T
+    out = np.zeros((width, n * lanes), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        out[word] |= wide[i] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= wide[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).reshape(n, lanes * width).astype("<u8", copy=False)
+
+
+def _from_lanes(words: np.ndarray, width: int, block: int) -> np.ndarray:
+    """What ``_lanes`` packed."""
+    n = len(words)
+    packed = np.ascontiguousarray(words.reshape(-1, width).T)
+    out = np.empty((64, packed.shape[1]), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        out[i] = packed[word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[i] |= packed[word + 1] << np.uint64(64 - shift)
+    out &= np.uint64((1 << width) - 1)
+    return np.ascontiguousarray(out.T).reshape(n, -1)[:, :block].astype(np.uint32)
+
+
 def encode_shard(ids: np.ndarray, block: int = 512, percentile: float = 0.95) -> bytes:
     """``ids`` (below 2**32) as a shard."""
     ids = np.ascontiguousarray(ids, np.uint32)
@@ -43,14 +79,10 @@ def encode_shard(ids: np.ndarray, block: int = 512, percentile: float = 0.95) ->
     at_percentile = np.partition(rest, rank, axis=1)[:, rank] if n_blocks else low
     widths = np.ceil(np.log2(at_percentile.astype(np.float64) + 1)).astype(np.uint8)
     packed: list[bytes] = [b""] * n_blocks
-    for width in np.unique(widths):
+    for width in np.unique(widths[widths > 0]).tolist():
         of = np.flatnonzero(widths == width)
-        if width:
-            kind = ">u2" if width <= 16 else ">u4"
-            bits = np.unpackbits((rest[of] & np.uint32((1 << int(width)) - 1)).astype(kind).view(np.uint8).reshape(len(of), block, -1), axis=2)
-            flat = np.packbits(bits[:, :, -int(width) :].reshape(len(of), -1), axis=1)
-            for i, row in zip(of.tolist(), flat, strict=True):
-                packed[i] = row.tobytes()
+        for i, row in zip(of.tolist(), _lanes(rest[of] & np.uint32((1 << width) - 1), width), strict=True):
+            packed[i] = row.tobytes()
     high = rest >> widths[:, None].astype(np.uint32) if n_blocks else rest
     block_of, place = np.nonzero(high)
     bounds = np.searchsorted(block_of, np.arange(n_blocks + 1))
@@ -76,32 +108,38 @@ def decode_shard(raw: bytes, first_block: int = 0, n_blocks: int | None = None)
     rest = np.zeros((n, block), np.uint32)
     heads = [_BLOCK.unpack_from(raw, int(starts[first_block + i])) for i in range(n)]
     widths = np.array([w for _, w, _ in heads], np.uint8)
-    for width in np.unique(widths):
-        if width:
-            of = np.flatnonzero(widths == width)
-            size = block * int(width) // 8 + (block * int(width) % 8 > 0)
-            data = np.stack([np.frombuffer(raw, np.uint8, size, int(starts[first_block + i]) + _BLOCK.size) for i in of])
-            bits = np.unpackbits(data, axis=1, count=block * int(width)).reshape(len(of), block, int(width))
-            whole = 16 if width <= 16 else 32
-            wide = np.zeros((len(of), block, whole), np.uint8)
-            wide[:, :, whole - int(width) :] = bits
-            rest[of] = np.packbits(wide, axis=2).reshape(len(of), -1).view(f">u{whole // 8}")
+    for width in np.unique(widths[widths > 0]).tolist():
+        of = np.flatnonzero(widths == width)
+        rest[of] = _from_lanes(np.stack([np.frombuffer(raw, "<u8", _lane_words(block, width), int(starts[first_block + i]) + _BLOCK.size) for i in of]), width, block)
     for i, (low, width, exceptions) in enumerate(heads):
         if exceptions:
-            at = int(starts[first_block + i]) + _BLOCK.size + (block * width + 7) // 8
+            at = int(starts[first_block + i]) + _BLOCK.size + 8 * _lane_words(block, width)
             place = np.frombuffer(raw, "<u2", exceptions, at)
             rest[i, place] |= np.frombuffer(raw, "<u4", exceptions, at + 2 * exceptions) << np.uint32(width)
         rest[i] += np.uint32(low)
     return rest.reshape(-1)[: max(0, min(n_ids, last * block) - first_block * block)]
 
 
+def encode_file(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """A file: the bytes of the ids' shard (u64), that shard, and a shard with the ids of each document."""
+    shard = encode_shard(ids)
+    return struct.pack("<Q", len(shard)) + shard + encode_shard(counts)
+
+
+def decode_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a file, and how many each of its documents has."""
+    size = struct.unpack_from("<Q", raw)[0]
+    return decode_shard(raw[8 : 8 + size]), decode_shard(raw[8 + size :])
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, shard_ids: int = 1 << 20) -> DataFrame:
     """Tokenises every whole ``text`` and writes shards of at most about ``shard_ids`` ids; returns the table written.
 
     Documents are range-sorted by ``doc_id`` and shards are numbered ``(part, seq)`` in that order. Rows:
-    part, seq, doc_ids, counts (ids of each document, its end id included), n_ids, payload. A null text is empty (its
-    end id alone), null doc_ids come first, repeated doc_ids stay rows of their own, an empty table gives no shard.
-    A document longer than a shard has a shard to itself. Other columns are not read.
+    part, seq, doc_ids, n_ids, payload (``encode_file``: ids and each document's number of them, its end id included).
+    A null text is empty (its end id alone), null doc_ids come first, repeated doc_ids stay rows of their own, ordered
+    by a hash of the text, an empty table gives no shard. A document longer than a shard has a shard to itself. Other
+    columns are not read.
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +150,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, shard_i
 
         def flush() -> pa.RecordBatch:
             ids, sizes = np.concatenate(held), np.concatenate(counts)
-            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([list(keys)], pa.list_(pa.int64())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([len(ids)], pa.int64()), pa.array([encode_shard(ids)], pa.binary())]
+            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([list(keys)], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([encode_file(ids, sizes)], pa.binary())]
             keys.clear(), counts.clear(), held.clear()
-            return pa.RecordBatch.from_arrays(row, ["part", "seq", "doc_ids", "counts", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays(row, ["part", "seq", "doc_ids", "n_ids", "payload"])
 
         for batch, texts in chunks(batches):
-            ids, sizes = encode(*word_lists(texts), end_id)
+            ids, sizes = encode(texts, end_id)
             keys += batch.column(0).to_pylist()
             counts.append(sizes)
             held.append(ids)
@@ -127,8 +165,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, shard_i
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(shards, "part int, seq int, doc_ids array<bigint>, counts array<int>, n_ids bigint, payload binary"), "token-shards")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows of one doc_id, or of none, may lie in several ranges
+    by_text = ordered.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    return written(by_text.mapInArrow(shards, "part int, seq int, doc_ids array<bigint>, n_ids bigint, payload binary"), "token-shards")
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
@@ -145,12 +185,12 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, counts, raw, first = (batch.column(i)[row] for i in range(4))
-                ids = decode_shard(raw.as_py()).astype("<u4")
-                counts = np.asarray(counts.values, np.int64)
+                keys, raw, first = (batch.column(i)[row] for i in range(3))
+                ids, counts = decode_file(raw.as_py())
+                ids, counts = ids.astype("<u4"), counts.astype(np.int64)
                 ends = np.cumsum(counts)
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(first.as_py() + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(place, ["part", "seq"]).select("doc_ids", "counts", "payload", "first").mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.join(place, ["part", "seq"]).select("doc_ids", "payload", "first").mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids a worker remembers before it forgets them all.
-MEMO_WORDS = 500_000
+from ._words import prefix_sums, span_hashes, word_spans
+
+#: Words whose ids a worker remembers, and their parts, before it forgets them all.
+MEMO_WORDS, MEMO_PIECES = 3_000_000, 500_000
+#: Bytes from which on a word's hash is a cryptographic one.
+LONG_WORD = 256
 #: Words of letters, then punctuation: one pre-token for each part. No apostrophes (contractions) and no < > (special tokens).
 _PLAIN = re.compile(r"([^\W\d_]*)([!\"#$%&()*+,\-./:;=?@\[\\\]^`{|}~]*)")
 
@@ -18,18 +23,6 @@ _PLAIN = re.compile(r"([^\W\d_]*)([!\"#$%&()*+,\-./:;=?@\[\\\]^`{|}~]*)")
 _LATIN_END = "\u0250"
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for; ``fresh`` has those not yet learnt."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
-
-
 class Encoder:
     """Ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
@@ -49,33 +42,34 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo = _Numbers()
         self.pieces: dict[str, bytes] = {}
         self.pool = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
         self.used = 0
+        # hashes of known words, sorted, with where each one's ids lie in the pool
+        self.known = np.empty(0, np.uint64)
+        self.start = np.empty(0, np.int64)
+        self.length = np.empty(0, np.int64)
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _keep(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Puts the ids of words in a row into the pool; where each word's ids start."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while len(self.memo) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.start[at] = self.used + np.cumsum(counts) - counts
-        self.length[at] = counts
+        start = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
+        return start
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain: list[bytes] = []
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new words start in the pool, and how many there are."""
+        plain: list[int] = []
         parts: list[str] = []
         halves: list[int] = []
-        odd: list[bytes] = []
-        for word in words:
+        odd: list[int] = []
+        for i, word in enumerate(words):
             text = word.decode("utf-8", "replace")
-            if m := _PLAIN.fullmatch(text):
-                plain.append(word)
+            # the lower case of U+0130 has two code points, one of them no letter
+            if "\u0130" not in text and (m := _PLAIN.fullmatch(text)):
+                plain.append(i)
                 letters, marks = m.groups()
                 if letters:
                     parts.append(letters.lower() if max(letters) < _LATIN_END else letters)
@@ -83,20 +77,22 @@ class Encoder:
                     parts.append(marks)
                 halves.append(bool(letters) + bool(marks))
             else:
-                odd.append(word)
+                odd.append(i)
         fresh = list(dict.fromkeys(p for p in parts if p not in self.pieces))
         for i in range(0, len(fresh), 4096):
             self._learn_pieces(fresh[i : i + 4096])
+        start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         if plain:
             got = [self.pieces[p] for p in parts]
-            ids = np.frombuffer(b"".join(got), np.uint32)
-            lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
-            first = np.cumsum(halves) - halves
-            self._keep(plain, ids, np.add.reduceat(lengths, first))
+            sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            length[plain] = np.add.reduceat(sizes, np.cumsum(halves) - halves)
+            start[plain] = self._keep(np.frombuffer(b"".join(got), np.uint32), length[plain])
         for i in range(0, len(odd), 4096):
             part = odd[i : i + 4096]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            self._keep(part, np.array([x for ids in got for x in ids], np.uint32), np.array([len(ids) for ids in got]))
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([words[w].decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            length[part] = [len(ids) for ids in got]
+            start[part] = self._keep(np.array([x for ids in got for x in ids], np.uint32), length[part])
+        return start, length
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
@@ -108,16 +104,36 @@ class Encoder:
             for piece in pieces:
                 self.pieces[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def __call__(self, words: list[bytes], counts: np.ndarray, end: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the documents in a row, and how many each has; ``counts`` are their words, ``end`` follows each."""
-        if len(self.memo) > MEMO_WORDS:
+    def __call__(self, texts: list[bytes], end: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a row, and how many each has; ``end`` follows each.
+
+        Words are told apart by 64-bit hashes of their bytes.
+        """
+        if len(self.known) > MEMO_WORDS:
             self._forget()
-        at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        if self.memo.fresh:
-            fresh, self.memo.fresh = self.memo.fresh, []
-            self._learn(fresh)
+        if len(self.pieces) > MEMO_PIECES:
+            self.pieces = {}
+        buf, first, last, counts = word_spans(texts)
+        hashes = span_hashes(prefix_sums(buf), first, last)
+        for i in np.flatnonzero(last - first > LONG_WORD).tolist():  # polynomial hashes of long words can be made to meet
+            hashes[i] = int.from_bytes(hashlib.blake2b(buf[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
+        order = np.argsort(hashes, kind="stable")
+        edge = np.ones(len(order), bool)
+        np.not_equal(hashes[order[1:]], hashes[order[:-1]], out=edge[1:])
+        own = hashes[order[edge]]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(edge) - 1
+        place = np.searchsorted(self.known, own)
+        new = np.ones(len(own), bool)
+        inside = place < len(self.known)
+        new[inside] = self.known[place[inside]] != own[inside]
+        if new.any():
+            start, size = self._learn([buf[first[i] : last[i]].tobytes() for i in order[edge][new].tolist()])
+            self.known, self.start, self.length = (np.insert(x, place[new], y) for x, y in ((self.known, own[new]), (self.start, start), (self.length, size)))
+            place = np.searchsorted(self.known, own)
+        at = place[which]
         length = self.length[at]
-        offset = np.zeros(len(words) + 1, np.int64)
+        offset = np.zeros(len(at) + 1, np.int64)
         np.cumsum(length, out=offset[1:])
         ids = self.pool[np.repeat(self.start[at] - offset[:-1], length) + np.arange(offset[-1])]
         bounds = np.zeros(len(counts) + 1, np.int64)

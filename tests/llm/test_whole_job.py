@@ -8,8 +8,10 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
+import numpy as np
+
 import corpus_pipeline
-from termweave.llm import mixing, ngram_join, quality_rules, queries
+from termweave.llm import mixing, ngram_join, quality_rules, queries, substring_dedup, suffix_dedup, token_output, tokens
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -102,3 +104,35 @@ def test_near_duplicates_decide_by_row(spark):
     assert [r for r in got if r[0] is not None] == sorted([(5, a), (4, b + " more"), (7, g), (8, ""), (8, None), (9, "single words")], key=str)
     other = spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string")
     assert corpus_pipeline.near_duplicates(spark, other, TABLES).count() == 2
+
+
+def test_encoder_follows_the_library():
+    encode = tokens.Encoder(tokens.default_vocabulary())
+    rng = random.Random(1)
+    alphabet = [*"abcXYZ İıÀéßΣσςЖж你好{}<>'’`~#1234567890_-.,|\u0307\u0301\n\t\x1c\x85\xa0", "<|endoftext|>", "don't", "ﬁ", "ǅ"]
+    texts = ["İ{", *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)), "ab" * 400]
+    for _ in range(2):
+        ids, sizes = encode([t.encode() for t in texts], None)
+        for text, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert own.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_files_hold_their_counts():
+    ids, counts = np.arange(2000, dtype=np.uint32), np.array([1500, 1, 499])
+    back = token_output.decode_file(token_output.encode_file(ids, counts))
+    assert np.array_equal(back[0], ids) and np.array_equal(back[1], counts)
+
+
+def test_repeated_id_with_another_text_keeps_it(spark):
+    def words(seed):
+        rng = random.Random(seed)
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+
+    a, b = words(1), words(2)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # a row without an id comes first; rows of one id are one after the other, ordered by text
+    got = sorted(((r.doc_id, r.n_removed) for r in substring_dedup.dedup_substrings(docs).collect()), key=str)
+    assert got == sorted([(None, 0), (1, 100), (2, 100), (2, 0), (2, 100), (3, 100)], key=str)
+    got = sorted(((r.doc_id, r.n_removed) for r in suffix_dedup.dedup_bytes(docs).collect()), key=str)
+    assert got == sorted([(None, 0), (1, len(a)), (2, len(a)), (2, 0), (2, len(b)), (3, len(b))], key=str)
