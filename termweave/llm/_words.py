@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once, beside the document that reaches over it.
 CHUNK_BYTES = 2 << 20
@@ -124,5 +126,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(prefix_sums(buf), start, end), counts
 
 
+def variant_of(text: Column) -> Column:
+    """Tells texts of one doc_id apart: 31 bits of a hash."""
+    return F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int")
+
+
 def to_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
