@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
 #: Documents of a source that one window task orders, about.
 BUCKET_ROWS = 20_000
+#: Columns that ``mix`` adds or uses on its way.
+ADDED = ("size", "source_size", "target", "copies", "taken", "position", "slope", "_share", "pass_length", "_order", "_bucket", "_null", "_source", "_before", "_inside")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = 150, cap: int = 2) -> DataFrame:
@@ -67,17 +69,19 @@ def position(share: Column, slope: Column) -> Column:
 def mix(docs: DataFrame, size: Column | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Every row of ``docs`` (columns doc_id, source; ``size`` counts its words) with copies, taken, position, target.
 
-    A source's documents are ordered by the MD5 of doc_id, doc_id and row content. Whole passes over the source come
+    A source's documents are ordered by the MD5 of doc_id, doc_id, size and, where the text is there, a hash of it. Whole passes over the source come
     first; of the pass that remains, a document is taken while the words up to its middle lie below what is missing. So
     a source's taken words differ from its target by half a document at most, and no document is taken more than
     ``cap`` times. Null doc_ids and texts count as rows of size 0 or of their words; a source may be null; rows with
     size 0 are taken as often as their place says. An empty table gives no rows. Added columns: size, source_size,
-    target, copies (int), taken, position (time of the first copy, null if none), pass_length.
+    target, copies (int), taken, position (time of the first copy, null if none), slope, _share and pass_length; they, and
+    the operator's own helpers (``ADDED``), replace columns of the input with these names.
 
     Running sums go over buckets of the order first and inside each bucket then: no window holds a whole source.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") if size is None else size
-    rows = docs.withColumn("size", size).withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in ADDED], size.alias("size"), order.alias("_order"))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     most = sums.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("n")).first()["n"]
     digits = 1
@@ -89,7 +93,7 @@ def mix(docs: DataFrame, size: Column | None = None, bucket_rows: int = BUCKET_R
     buckets = rows.groupBy("_null", "_source", "_bucket").agg(F.sum("size").alias("of_bucket"))
     before = buckets.withColumn("_before", F.sum("of_bucket").over(Window.partitionBy("_null", "_source").orderBy("_bucket")) - F.col("of_bucket")).drop("of_bucket")
     targets = source_targets(sums.select("source", "source_size")).select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "slope", "target")
-    within = Window.partitionBy("_null", "_source", "_bucket").orderBy("_order", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_null", "_source", "_bucket").orderBy("_order", F.col("doc_id").asc_nulls_first(), "size", *([F.xxhash64("text")] if "text" in rows.columns else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_inside", F.sum("size").over(within) - F.col("size")).join(before.join(targets, ["_null", "_source"]), ["_null", "_source", "_bucket"])
     start = F.col("_before") + F.col("_inside")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -1,71 +1,127 @@
 """Surrogates for personal data: keyed, of the same type and format, distinct and the same for every mention.
 
-DataFrame functions only. One pattern finds all mentions; each mention has one or two parts (a name has given name and
-surname), and a part is an entity of a type with a normal form (e-mail in lower case, digits of a number). Over the
+DataFrame functions only. One pattern finds all mentions; each mention has one or more parts (given names and surnames of
+a name), and a part is an entity of a type with a normal form (e-mail in lower case, digits of a number). Over the
 whole corpus each entity gets one surrogate, drawn by a keyed hash, so all its mentions still name one thing. Surrogates
 that two entities of a type share, or that equal an entity of the corpus, are drawn again until none is left.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import written
 
-# Titles that introduce a name, by the gender that they tell.
+# Titles that introduce a name, by the gender that they tell (n: none).
 TITLES = {
-    "m": ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sir", "Signor", "господин", "г-н"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora", "госпожа", "г-жа"),
+    "m": ("Mr", "Mister", "Herrn", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Signor", "господин", "г-н", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Signora", "госпожа", "г-жа", "Κυρία"),
+    "n": ("Doctor", "Dr", "Professor", "Prof", "Docteur", "Doktor"),
 }
+# Greetings after which two words with capitals are a name.
+GREETINGS = ("Dear", "Hello", "Hi", "Liebe", "Lieber", "Cher", "Chère", "Querido", "Querida")
 # Patterns of the types, in the order in which they are tried at a place.
-_NAME = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
+_WORD = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)*"
+_TITLE = rf"(?:{'|'.join(t for some in TITLES.values() for t in some)})\.?"
+_LEAD = rf"(?:{_TITLE} )+"
+_NAME = rf"(?<![\p{{L}}\p{{N}}-])(?:{_LEAD}(?!{_TITLE} ){_WORD}(?: {_WORD})?|(?:{'|'.join(GREETINGS)}) (?!{_TITLE}[ ,]){_WORD} {_WORD})"
 PATTERNS = {
-    "name": rf"(?<![\p{{L}}\p{{N}}-])(?:{'|'.join(t for some in TITLES.values() for t in some)})\.? {_NAME}(?: {_NAME})?",
+    "name": _NAME,
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "password": r"(?i:password|passwd|pwd)=[^\s\"']+",
     "token": r"(?i:token|secret|api_key|apikey) ?= ?\"[^\s\"]+\"",
     "accesskey": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?!\w|\.[0-9])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\w])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap test that holds for every text with a mention.
-_MAYBE = rf"[0-9@=]|(?:{'|'.join(t for some in TITLES.values() for t in some)})\.? \p{{Lu}}"
+#: Cheap tests that hold for every text with a name, or with any mention.
+_MAYBE_NAME = rf"(?:{'|'.join(t for some in TITLES.values() for t in some)}|{'|'.join(GREETINGS)})\.? \p{{Lu}}"
+_MAYBE = rf"[0-9@=]|{_MAYBE_NAME}"
 #: Draws after which a surrogate may get longer than the original, where a format has no free values left.
 _DRAWS_IN_FORMAT = 8
+#: Endings of names in the scripts that surrogates keep; a stem of three syllables stands before them.
+_ENDINGS = r"(?:na|n|r|на|н|ва|в|να|ν|ρ)$"
+
+
+def _name_of(mention: Column) -> Column:
+    """A mention's name without titles and greeting."""
+    return F.regexp_replace(mention, rf"^(?:{_LEAD}|(?:{'|'.join(GREETINGS)}) )", "")
+
+
+def _lead_of(mention: Column) -> Column:
+    return F.regexp_extract(mention, rf"^(?:{_LEAD}|(?:{'|'.join(GREETINGS)}) )", 0)
+
+
+def _gender(mention: Column) -> Column:
+    told = {g: rf"^(?:{_TITLE} )*(?:{'|'.join(TITLES[g])})\.? " for g in "fm"}
+    return F.when(mention.rlike(told["f"]), "f").when(mention.rlike(told["m"]), "m").otherwise("n")
+
+
+def _part(kind: Column, norm: Column, shown: Column, gender: Column) -> Column:
+    return F.struct(kind.alias("type"), norm.alias("norm"), shown.alias("shown"), gender.alias("gender"))
+
+
+def _name_norm(word: Column, gender: Column) -> Column:
+    """Lower case; a female Cyrillic surname counts as its male form, so that a family keeps one name."""
+    return F.when(gender == "f", F.regexp_replace(F.lower(word), "(ов|ев|ин)а$", "$1")).otherwise(F.lower(word))
+
+
+def _name_parts(mention: Column) -> Column:
+    """Given names and surnames of a name with title: with two words the first is given; hyphens part a word."""
+    words, gender = F.split(_name_of(mention), " "), _gender(mention)
+
+    def of_word(word: Column, i: Column) -> Column:
+        kind = F.when((F.size(words) > 1) & (i == 0), "given").otherwise("surname")
+        return F.transform(F.split(word, "-"), lambda w: _part(kind, F.when(kind == "surname", _name_norm(w, gender)).otherwise(F.lower(w)), w, gender))
 
+    return F.flatten(F.transform(words, of_word))
 
-def mentions(text: Column) -> Column:
+
+def _names(text: Column) -> Column:
+    """The parts of all names that a title or greeting introduces in a text."""
+    found = F.when(text.rlike(_MAYBE_NAME), F.regexp_extract_all(text, F.lit(_NAME), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(found), _name_parts)))
+
+
+def _pattern(names: Column) -> Column:
+    """The pattern of a text's mentions: all types, and its known names (three letters or more) without a title."""
+    long = F.array_distinct(F.transform(F.filter(names, lambda n: F.length(n["shown"]) > 2), lambda n: n["shown"]))
+    one = F.concat(F.lit("(?:"), F.array_join(long, "|"), F.lit(")"))
+    several = F.concat(F.lit(rf"{_ANY}|(?<![\p{{L}}\p{{N}}-])"), one, F.lit("(?:[ -]"), one, F.lit(r")*(?![\p{L}\p{N}])"))
+    return F.when(F.size(long) > 0, several).otherwise(F.lit(_ANY))
+
+
+def mentions(text: Column, pattern: Column) -> Column:
     """All mentions of a text, in order."""
-    return F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _type_of(mention: Column) -> Column:
     kind = F
     for name, pattern in PATTERNS.items():
         kind = kind.when(mention.rlike(f"^(?:{pattern})$"), name)
-    return kind
-
+    return kind.otherwise("known")
 
-def _gender(mention: Column) -> Column:
-    return F.when(mention.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? "), "f").otherwise("m")
 
+def parts(mention: Column, names: Column) -> Column:
+    """A mention's parts in order: type, norm (normal form), shown (as it stands there) and gender.
 
-def parts(mention: Column) -> Column:
-    """A mention's parts in order: type, norm (normal form) and shown (the part as it stands in the mention)."""
+    ``names`` are the parts of the text's names; they tell what a name without title is.
+    """
+    kind = _type_of(mention)
 
-    def part(kind: Column, norm: Column, shown: Column) -> Column:
-        return F.struct(kind.alias("type"), norm.alias("norm"), shown.alias("shown"))
+    def known(word: Column) -> Column:
+        same = F.filter(names, lambda n: n["shown"] == word)
+        surname = F.filter(same, lambda n: n["type"] == "surname")
+        return F.coalesce(F.get(surname, F.lit(0)), F.get(same, F.lit(0)))
 
-    kind = _type_of(mention)
-    names = F.regexp_extract_all(F.regexp_replace(mention, r"^[^ ]+ ", ""), F.lit(_NAME), F.lit(0))
-    last = F.element_at(names, -1)
-    gender = _gender(mention)
-    named = F.when(F.size(names) > 1, F.array(part(F.concat(F.lit("given-"), gender), F.lower(F.get(names, F.lit(0))), F.get(names, F.lit(0))), part(F.concat(F.lit("surname-"), gender), F.lower(last), last))).otherwise(F.array(part(F.concat(F.lit("surname-"), gender), F.lower(last), last)))
     value = F.when(kind == "password", F.regexp_extract(mention, "=(.*)$", 1)).when(kind == "token", F.regexp_extract(mention, '"(.*)"', 1)).otherwise(mention)
     norm = (
         F.when(kind == "email", F.lower(mention))
@@ -73,7 +129,7 @@ def parts(mention: Column) -> Column:
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .otherwise(value)
     )
-    return F.when(kind == "name", named).otherwise(F.array(part(kind, norm, value)))
+    return F.when(kind == "name", _name_parts(mention)).when(kind == "known", F.transform(F.split(mention, "[ -]"), known)).otherwise(F.array(_part(kind, norm, value, F.lit("n"))))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -92,14 +148,22 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda total, x: total + F.when(x > 9, x - 9).otherwise(x))
 
 
+def _hmac(message: Column, key: str) -> Column:
+    """HMAC-SHA-256 in hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def _syllables(stream: Column, consonants: str, vowels: str, count: int) -> Column:
     return F.concat(*[_pick(consonants if k % 2 == 0 else vowels, _byte(stream, F.lit(k))) for k in range(2 * count)])
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate's normal form: characters replaced within their class, types' fixed parts kept."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"))
-    stream = F.concat(*[F.sha2(F.concat_ws("\x1f", seed, F.lit(str(k))), 256) for k in range(4)])
+    seed = F.concat_ws("\x1f", kind, norm, attempt.cast("string"))
+    stream = F.concat(*[_hmac(F.concat_ws("\x1f", seed, F.lit(str(k))), key) for k in range(4)])
     size = F.length(norm)
     head = F.when(kind == "phone", F.when(norm.startswith("+"), 2).otherwise(0)).when(kind == "card", 1).when(kind == "accesskey", 4).when(kind == "iban", 2).otherwise(0)
     tail = F.when(kind == "email", F.length(F.regexp_extract(norm, r"\.[^.]*$", 0))).otherwise(0)
@@ -117,12 +181,9 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     card = F.when(F.pmod(_luhn_sum(norm), F.lit(10)) == 0, F.concat(body, check)).otherwise(chars)
     octets = F.transform(F.split(norm, r"\."), lambda o, i: F.when(F.length(o) == 1, 1 + F.pmod(_byte(stream, i), F.lit(9))).when(F.length(o) == 2, 10 + F.pmod(_byte(stream, i), F.lit(90))).otherwise(100 + F.pmod(_byte(stream, i), F.lit(155))).cast("string"))
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
-    stem = F.when(cyrillic, _syllables(stream, "бвгдзклмнпрст", "аеиоу", 3)).otherwise(_syllables(stream, "bdfgklmnprstv", "aeiou", 3))
-    female = kind.endswith("-f")
-    given = F.concat(stem, F.when(cyrillic, F.when(female, "на").otherwise("н")).otherwise(F.when(female, "na").otherwise("n")))
-    surname = F.concat(stem, F.when(cyrillic, F.when(female, "ва").otherwise("в")).otherwise(F.lit("r")))
-    own = F.when(kind == "card", card).when(kind == "ip", F.array_join(octets, ".")).when(kind.startswith("given"), given).when(kind.startswith("surname"), surname).otherwise(chars)
-    longer = F.when(kind.isin("phone", "card", "ssn", "ip"), F.concat(own, F.translate(F.substr(stream, F.lit(1), F.lit(6)), "abcdef", "012345"))).when(kind == "email", F.concat(F.substr(stream, F.lit(1), F.lit(8)), own)).otherwise(F.concat(own, F.substr(stream, F.lit(1), F.lit(8))))
+    stem = F.when(cyrillic, _syllables(stream, "бвгдзклмнпрст", "аеиоу", 3)).when(norm.rlike(r"\p{IsGreek}"), _syllables(stream, "βγδζθκλμνπρτφ", "αειου", 3)).otherwise(_syllables(stream, "bdfgklmnprstv", "aeiou", 3))
+    own = F.when(kind == "card", card).when(kind == "ip", F.array_join(octets, ".")).when(kind.isin("given", "surname"), stem).otherwise(chars)
+    longer = F.when(kind.isin("phone", "card", "ssn", "ip"), F.concat(own, F.translate(F.substr(stream, F.lit(1), F.lit(6)), "abcdef", "012345"))).when(kind == "email", F.concat(F.substr(stream, F.lit(1), F.lit(8)), own)).when(kind.isin("given", "surname"), F.concat(own, F.translate(F.substr(stream, F.lit(1), F.lit(8)), "0123456789", "ghijklmnop"))).otherwise(F.concat(own, F.substr(stream, F.lit(1), F.lit(8))))
     return F.when(attempt < _DRAWS_IN_FORMAT, own).otherwise(longer)
 
 
@@ -132,8 +193,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     Of entities that drew the same the one with the least norm keeps it; the others draw again. Each round settles
     nearly all, and from the ninth on surrogates may be longer, so rounds end.
     """
-    known = entities.select("type", F.col("norm").alias("surrogate"))
-    open_, done, attempt = entities, None, 0
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = F.col("type").isin("given", "surname")
+    known = entities.select("type", F.when(name, F.regexp_replace("norm", _ENDINGS, "")).otherwise(F.col("norm")).alias("surrogate"))
+    # drawing is costly for so few bytes: as many tasks as there are, not as many as the bytes need
+    open_, done, attempt = entities.repartition(parts, "type", "norm"), None, 0
     while True:
         drawn = open_.withColumn("surrogate", surrogate(F.col("type"), F.col("norm"), F.lit(attempt), key))
         taken = known if done is None else known.unionByName(done.select("type", "surrogate"))
@@ -162,40 +226,57 @@ def _shown(part: Column, norm: Column) -> Column:
 
     symbols = F.length(F.regexp_replace(shown, F.when(kind == "iban", " ").otherwise("[^0-9]"), F.lit("")))
     laid = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(shown)), at), ""), F.substr(plain, symbols + 1, F.length(plain)))
+    script = F.when(norm.rlike(r"\p{IsCyrillic}"), "c").when(norm.rlike(r"\p{IsGreek}"), "g").otherwise("l")
+    female = part["gender"] == "f"
+
+    def ending(latin: str, cyrillic: str, greek: str) -> Column:
+        return F.when(script == "c", cyrillic).when(script == "g", greek).otherwise(latin)
+
+    given = F.concat(norm, F.when(female, ending("na", "на", "να")).otherwise(ending("n", "н", "ν")))
+    # only the Cyrillic surname tells a gender, and only where the original does
+    surname = F.concat(norm, F.when(female & (F.lower(shown) != part["norm"]), "ва").otherwise(ending("r", "в", "ρ")))
+    named = F.when(kind == "given", given).otherwise(surname)
     cased = F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: F.when(F.substr(shown, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substr(norm, i, F.lit(1)))).otherwise(F.substr(norm, i, F.lit(1))))
-    name = F.when(shown == F.upper(shown), F.upper(norm)).otherwise(F.initcap(norm))
-    return F.when(spaced, laid).when(kind == "email", F.array_join(cased, "")).when(kind.startswith("given") | kind.startswith("surname"), name).otherwise(norm)
+    name = F.when((shown == F.upper(shown)) & (F.length(shown) > 1), F.upper(named)).otherwise(F.initcap(named))
+    return F.when(spaced, laid).when(kind == "email", F.array_join(cased, "")).when(kind.isin("given", "surname"), name).otherwise(norm)
 
 
-def replace_pii(docs: DataFrame, key: str = "termweave") -> DataFrame:
-    """Every row of ``docs`` with text replaced and n_mentions; all its other columns stay.
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
+    """Every row of ``docs`` with text replaced and n_mentions; all its other columns stay, whatever their names.
 
-    ``docs`` needs doc_id and text. A null text stays null and an empty one empty, with 0 mentions. Rows that repeat a
-    doc_id, or have none, are told apart by their text. Texts without mentions are returned as they are. An empty table
-    gives no rows. Only a document's own surrogates travel to it, never the table of all.
+    ``docs`` needs doc_id and text; ``key`` is the secret of the surrogates. A name is found where a title or greeting
+    introduces it, and then everywhere in that document, with or without title. A null text stays null and an empty one
+    empty, with 0 mentions. Rows that repeat a doc_id, or have none, are told apart by their text. Texts without mentions
+    are returned as they are. A column n_mentions of the input is replaced. An empty table gives no rows. Only a
+    document's own surrogates travel to it, never the table of all.
     """
-    marked = docs.withColumn("_mentions", mentions(F.coalesce(F.col("text"), F.lit("")))).withColumn("_hash", F.xxhash64("text"))
-    own = docs.select(F.col("doc_id").alias("_id"), F.col("text"), F.xxhash64("text").alias("_key")).withColumn("_found", F.array_distinct(mentions(F.coalesce(F.col("text"), F.lit(""))))).drop("text")
-    each = own.select("_id", "_key", F.explode_outer("_found").alias("mention")).where("mention is not null")
-    found = written(each.select("_id", "_key", F.explode(parts(F.col("mention"))).alias("part")).select("_id", "_key", F.col("part.type").alias("type"), F.col("part.norm").alias("norm")).distinct(), "entities")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # the row as one column: names of its columns meet none of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("string").alias("id"), F.col("text"), F.xxhash64("text").alias("hash"))
+    marked = rows.withColumn("names", _names(text)).withColumn("pattern", _pattern(F.col("names"))).withColumn("mentions", mentions(text, F.col("pattern")))
+    each = marked.select("id", "hash", "names", F.explode(F.array_distinct("mentions")).alias("mention"))
+    found = written(each.select("id", "hash", F.explode(parts(F.col("mention"), F.col("names"))).alias("part")).select("id", "hash", F.col("part.type").alias("type"), F.col("part.norm").alias("norm")).distinct(), "entities")
     chosen = surrogates(found.select("type", "norm").distinct(), key)
     entry = F.struct(F.concat_ws("\x1f", "type", "norm").alias("k"), F.col("surrogate").alias("v"))
-    books = found.join(chosen, ["type", "norm"]).groupBy("_id", "_key").agg(F.map_from_entries(F.collect_set(entry)).alias("_book"))
-    joined = marked.join(books, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left").drop("_id", "_key")
+    books = found.join(chosen, ["type", "norm"]).groupBy(F.col("id").alias("of_id"), F.col("hash").alias("of_hash")).agg(F.map_from_entries(F.collect_set(entry)).alias("book"))
+    joined = marked.join(books, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left")
 
     def new(mention: Column) -> Column:
-        replaced = F.transform(parts(mention), lambda p: _shown(p, F.element_at(F.col("_book"), F.concat_ws("\x1f", p["type"], p["norm"]))))
-        title = F.regexp_extract(mention, "^[^ ]+ ", 0)
+        replaced = F.transform(parts(mention, F.col("names")), lambda p: _shown(p, F.element_at(F.col("book"), F.concat_ws("\x1f", p["type"], p["norm"]))))
         kind = _type_of(mention)
         one = F.get(replaced, F.lit(0))
-        value = F.regexp_extract(mention, '"(.*)"', 1)
+        # between the parts of a name stand spaces and hyphens
+        between = F.concat(F.regexp_extract_all(F.when(kind == "name", _name_of(mention)).otherwise(mention), F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
+        name = F.array_join(F.zip_with(replaced, between, lambda a, b: F.concat(a, b)), "")
         return (
-            F.when(kind == "name", F.concat(title, F.array_join(replaced, " ")))
+            F.when(kind == "name", F.concat(_lead_of(mention), name))
+            .when(kind == "known", name)
             .when(kind == "password", F.concat(F.regexp_extract(mention, "^[^=]*=", 0), one))
             .when(kind == "token", F.concat(F.regexp_extract(mention, '^[^"]*"', 0), one, F.lit('"')))
             .otherwise(one)
         )
 
-    pieces = F.split("text", _ANY, -1)
-    text = F.when(F.size("_mentions") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_mentions")), F.transform("_mentions", new), lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1)))
-    return joined.withColumn("text", text).withColumn("n_mentions", F.size("_mentions")).drop("_mentions", "_hash", "_book")
+    pieces = F.split("text", F.col("pattern"), -1)
+    replaced = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("mentions")), F.transform("mentions", new), lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
+    text = F.when(F.size("mentions") == 0, F.col("text")).otherwise(replaced)
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_mentions"], F.size("mentions").alias("n_mentions"))

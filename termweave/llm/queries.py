@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The queries' key for surrogates; keep your own one secret.
+SURROGATE_KEY = "key of the registered queries"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,7 +57,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import replace_pii
 
-    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

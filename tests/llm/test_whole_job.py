@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import numpy as np
 
 import corpus_pipeline
-from termweave.llm import mixing, ngram_join, quality_rules, queries, substring_dedup, suffix_dedup, token_output, tokens
+from termweave.llm import mixing, ngram_join, pii, quality_rules, queries, substring_dedup, suffix_dedup, token_output, tokens
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -136,3 +136,23 @@ def test_repeated_id_with_another_text_keeps_it(spark):
     assert got == sorted([(None, 0), (1, 0), (2, 100), (2, 0), (2, 0), (3, 100)], key=str)
     got = sorted(((r.doc_id, r.n_removed) for r in suffix_dedup.dedup_bytes(docs).collect()), key=str)
     assert got == sorted([(None, 0), (1, 0), (2, len(a)), (2, 0), (2, 0), (3, len(b))], key=str)
+
+
+def test_names_without_title(spark):
+    texts = [
+        "Mr. John Smith met us. John Smith left. Smith too. Smithson stays.",
+        "Dr. Jane Doe and Prof. Kim wrote. Dear Alice Johnson, call 988 555 2485. Dear Sir, hello.",
+        "Frau Müller und Herr Müller; Frau Anna Müller-Lüdenscheid.",
+        "Κύριος Νίκος Παππάς",
+    ]
+    rows = [(i, t, "x", 5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _book string, hash int")
+    out = pii.replace_pii(docs, "k").orderBy("doc_id").collect()
+    got = [r.text for r in out]
+    assert all((r._book, r.hash) == ("x", 5) for r in out)
+    one = got[0].replace(".", "").split()
+    assert one[1:3] == one[5:7] and one[2] == one[8] and got[0].endswith("Smithson stays.") and "Smith " not in got[0] and "John" not in got[0]
+    assert not any(w in got[1] for w in ("Jane", "Doe", "Kim", "Alice", "Johnson", "988", "2485")) and "Dear Sir, hello" in got[1]
+    two = got[2].replace(";", "").replace(".", "").split()
+    assert two[1] == two[4] == two[7].split("-")[0] != "Müller" and len(two[7].split("-")) == 2
+    assert all("Ͱ" <= c <= "Ͽ" for c in got[3].replace(" ", "").lower())
