@@ -7,9 +7,22 @@ from pyspark.sql import functions as F
 
 # Fixed value: formatting tags of translated runs.
 TAG = r"</?(?:a[0-9]+|b|i|u)>"
-# Fixed value: units that a number keeps, longest first.
-UNITS = ("kWh", "MHz", "GHz", "km/h", "mm", "cm", "km", "kg", "mg", "ml", "kW", "MW", "Hz", "GB", "MB", "KB", "°C", "€", "%", "m", "g", "l", "V", "W")
-PROTECTED = r"`[^`]+`|\[\^[^\]]+\]|https?://[^\s<>]*[^\s<>.,;:!?)]|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\{[A-Za-z0-9_]+\}|[0-9]+(?:[.,][0-9]+)? ?(?:" + "|".join(UNITS) + r")(?!\p{L})"
+# Units that a number keeps.
+UNITS = (
+    "mm", "cm", "km", "m", "kg", "mg", "µg", "g", "ml", "l", "%", "°C", "°", "Bq", "kBq", "MBq", "Sv", "mSv", "µSv", "Gy", "mGy",
+    "kW", "MW", "W", "kV", "V", "mA", "A", "Hz", "kHz", "MHz", "h", "min", "s",
+)
+# Patterns of what a translation must keep: code, footnotes, addresses, placeholders, measures.
+PROTECTED = "(?U)" + "|".join(
+    (
+        r"`[^`\n]+`",
+        r"\[\^[^\]\s]+\]",
+        r"https?://[^\s)>\]]*[^\s)>\].,;:!?]",
+        r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
+        r"\{[^{}\s]*\}",
+        r"\d+(?:[.,]\d+)?\s?(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![A-Za-zµ])",
+    )
+)
 
 
 def collapsed(text: Column) -> Column:

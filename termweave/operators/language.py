@@ -12,13 +12,13 @@ PROFILE = 300
 def trigrams(docs: DataFrame, prefix: int | None = 2000) -> DataFrame:
     """doc_id and gram for every three characters of the first ``prefix`` (None: of all), lower case."""
     whole = F.coalesce("text", F.lit(""))
-    text = F.array(F.lower(whole if prefix is None else F.substring(whole, 1, prefix)))  # one element, so that the lambda names it
+    text = F.lower(whole if prefix is None else F.substring(whole, 1, prefix))
+    # characters are cut once; from a text's start each trigram would be found anew
+    def cut(characters):
+        return F.transform(F.sequence(F.lit(0), F.size(characters) - 3), lambda i: F.concat(characters[i], characters[i + 1], characters[i + 2]))
 
-    def cut(t):
-        return F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substr(t, i, F.lit(3))))
-
-    grams = F.get(F.transform(text, cut), F.lit(0))
-    return docs.withColumn("_g", grams).select(*[c for c in docs.columns if c != "text"], F.explode_outer("_g").alias("gram")).where("gram is not null")
+    grams = F.get(F.transform(F.array(F.split(text, "")), lambda t: F.when(F.size(t) >= 3, cut(t))), F.lit(0))
+    return docs.withColumn("_g", F.when(F.length(text) >= 3, grams)).select(*[c for c in docs.columns if c != "text"], F.explode("_g").alias("gram"))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -55,3 +55,39 @@ def detect_bayes(docs: DataFrame, counts: DataFrame, prefix: int | None = 2000)
     score = F.round(F.col("c") * F.col("unseen") + F.coalesce("seen", F.lit(0.0)), 6)
     best = scores.groupBy("_key").agg(F.min(F.struct((-score).alias("score"), "lang"))["lang"].alias("lang"))
     return keyed.select("doc_id", "_key").join(best, "_key", "left").select("doc_id", "lang")
+
+
+#: Shortest text whose language counts.
+MIN_CHARS = 40
+
+
+def is_in_language(texts: DataFrame, counts: DataFrame, lang: str) -> DataFrame:
+    """doc_id, in_language for every row of ``texts`` (doc_id, text): 40 characters or more that read as ``lang``."""
+    found = detect_bayes(texts, counts, None).withColumnRenamed("lang", "found")
+    long = texts.select("doc_id", (F.length("text") >= MIN_CHARS).alias("long")).distinct()
+    return found.join(long, "doc_id").select("doc_id", (F.coalesce("long", F.lit(False)) & F.coalesce(F.col("found") == lang, F.lit(False))).alias("in_language"))
+
+
+def looks_untranslated(pairs: DataFrame, counts: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
+    """doc_id, untranslated for pairs (doc_id, source, output; a row for each doc_id).
+
+    Sources of 40 characters or more whose output is the same but for white space, or still reads as the source
+    language. With one language for both nothing is untranslated.
+    """
+    if source_lang == target_lang:
+        return pairs.select("doc_id", F.lit(False).alias("untranslated"))
+    long = F.length("source") >= MIN_CHARS
+    found = detect_bayes(pairs.where(long).select("doc_id", F.col("output").alias("text")), counts).select("doc_id", F.col("lang").alias("found"))
+    plain = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    same = plain(F.col("source")) == plain(F.col("output"))
+    untranslated = long & (same | F.coalesce(F.col("found") == source_lang, F.lit(False)))
+    return pairs.join(found, "doc_id", "left").select("doc_id", F.coalesce(untranslated, F.lit(False)).alias("untranslated"))
+
+
+def has_source_sentence(texts: DataFrame, counts: DataFrame, lang: str) -> DataFrame:
+    """doc_id, has_sentence for texts (doc_id, text; a row for each doc_id): a sentence of 40 characters or more in ``lang``."""
+    sentences = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"</?(?:a[0-9]+|b|i|u)>", ""), r"(?<=[.!?])\s+|\n+")
+    each = texts.select("doc_id", F.posexplode(sentences).alias("at", "text")).where(F.length("text") >= MIN_CHARS)
+    found = detect_bayes(each.select(F.struct("doc_id", "at").alias("doc_id"), "text"), counts).where(F.col("lang") == lang)
+    hits = found.select(F.col("doc_id.doc_id").alias("doc_id")).distinct().withColumn("has_sentence", F.lit(True))
+    return texts.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("has_sentence", F.lit(False)).alias("has_sentence"))

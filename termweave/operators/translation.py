@@ -22,24 +22,39 @@ def _in_order(order: Column, text: Column, gap: str) -> Column:
 
 
 def encoded(segmented: DataFrame) -> DataFrame:
-    """doc_id, segment, n_units, wire, spans: units as lines ``[[n]] text``, protected spans numbered through the segment."""
+    """doc_id, segment, n_units, wire, spans, of_line (spans of each): units as lines ``[[n]] text``, protected spans numbered through the segment."""
     before = Window.partitionBy("doc_id", "segment").orderBy("unit_idx").rowsBetween(Window.unboundedPreceding, -1)
     number = F.row_number().over(Window.partitionBy("doc_id", "segment").orderBy("unit_idx"))
     spans = fn.protected(F.col("text"))[1]
     rows = segmented.withColumn("_n", number).withColumn("_own", spans).withColumn("_start", F.coalesce(F.sum(F.size("_own")).over(before), F.lit(0)).cast("int") + 1)
     line = F.concat(F.lit("[["), F.col("_n"), F.lit("]] "), fn.protected(F.col("text"), F.col("_start"))[0])
     own = F.sort_array(F.collect_list(F.struct("_n", "_own")))
-    return rows.withColumn("_line", line).groupBy("doc_id", "segment").agg(F.count("*").alias("n_units"), _in_order(F.col("_n"), F.col("_line"), "\n").alias("wire"), F.flatten(F.transform(own, lambda x: x["_own"])).alias("spans"))
+    return rows.withColumn("_line", line).groupBy("doc_id", "segment").agg(F.count("*").alias("n_units"), _in_order(F.col("_n"), F.col("_line"), "\n").alias("wire"), F.flatten(F.transform(own, lambda x: x["_own"])).alias("spans"), F.transform(own, lambda x: F.size(x["_own"])).alias("of_line"))
 
 
-def decoded_ok(segments: DataFrame, answers: DataFrame) -> DataFrame:
-    """doc_id, segment, ok: the answer (doc_id, segment, raw) has exactly the lines 1 .. n in order, and every token."""
+def decoded(segments: DataFrame, answers: DataFrame) -> DataFrame:
+    """doc_id, segment, texts: each unit's text of an answer (doc_id, segment, raw), its spans put back.
+
+    Null unless the answer has exactly the lines 1 .. n in order and every line has the tokens of its own unit.
+    """
     keyed = answers.select(F.struct("doc_id", "segment").alias("key"), "raw")
-    records = un.last_per_run(un.wire_lines(keyed)).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("ids"), F.array_join(F.collect_list("text"), "\n").alias("all"))
-    joined = segments.join(records.select("key.doc_id", "key.segment", "ids", "all"), ["doc_id", "segment"], "left")
-    tokens = F.transform(F.col("spans"), lambda s, i: F.concat(F.lit("⟦P"), (i + 1).cast("string"), F.lit("⟧")))
-    whole = (F.col("ids") == F.sequence(F.lit(1), F.col("n_units").cast("int"))) & F.forall(tokens, lambda t: F.contains("all", t))
-    return joined.select("doc_id", "segment", F.coalesce(whole, F.lit(False)).alias("ok"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("seq", "id", "text"))), lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text")))
+    records = un.last_per_run(un.wire_lines(keyed)).groupBy("key").agg(lines.alias("lines"))
+    joined = segments.join(records.select("key.doc_id", "key.segment", "lines"), ["doc_id", "segment"], "left")
+    # the spans of each line, with the number of its first one
+    before = F.transform("of_line", lambda n, i: F.aggregate(F.slice("of_line", F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    own = F.zip_with("of_line", before, lambda n, b: F.struct(b.alias("before"), F.slice("spans", b + 1, n).alias("spans")))
+    joined = joined.withColumn("own", own).withColumn("in_order", F.transform("lines", lambda x: x["id"]) == F.sequence(F.lit(1), F.col("n_units").cast("int")))
+    each = F.zip_with("lines", "own", lambda x, o: F.struct(x["text"].alias("text"), o["before"].alias("before"), o["spans"].alias("spans")))
+    token = lambda before, i: F.concat(F.lit("⟦P"), (before + i + 1).cast("string"), F.lit("⟧"))
+    whole = F.forall("each", lambda e: F.forall(F.transform(e["spans"], lambda s, i: token(e["before"], i)), lambda t: F.contains(e["text"], t)))
+    texts = F.transform("each", lambda e: fn.restored(e["text"], e["spans"], e["before"] + 1))
+    return joined.withColumn("each", F.when(F.col("in_order"), each)).select("doc_id", "segment", F.when(whole, texts).alias("texts"))
+
+
+def decoded_ok(segments: DataFrame, answers: DataFrame) -> DataFrame:
+    """doc_id, segment, ok: whether ``decoded`` gives texts."""
+    return decoded(segments, answers).select("doc_id", "segment", F.col("texts").isNotNull().alias("ok"))
 
 
 def name_like(text: Column) -> Column:

@@ -59,8 +59,18 @@ def last_per_run(records: DataFrame) -> DataFrame:
     return records.withColumn("_next", following).where("_next is null or _next <> id").drop("_next")
 
 
+def joined_pieces(pieces: DataFrame) -> DataFrame:
+    """doc_id, block_idx, cell, text of pieces (doc_id, block_idx, cell, piece, output): joined by a space in order.
+
+    A text of which any piece has no output has none: it isn't mixed of two languages.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("piece", "output")))
+    text = F.when(F.count("output") == F.count("*"), F.array_join(F.transform(rows, lambda x: x["output"]), " "))
+    return pieces.groupBy("doc_id", "block_idx", "cell").agg(text.alias("text"))
+
+
 def assemble(blocks: DataFrame, outputs: DataFrame) -> DataFrame:
-    """``blocks`` with each text from ``outputs`` (doc_id, block_idx, cell, text) where all its cells have one."""
+    """``blocks`` with texts from ``outputs`` (doc_id, block_idx, cell, text); cells without one keep their own text."""
     cells = F.when(F.col("kind") == "table", F.split("text", r" \| ")).otherwise(F.array("text"))
     each = blocks.select("doc_id", "block_idx", "kind", F.posexplode(cells).alias("cell", "source"))
     joined = each.join(outputs.withColumnRenamed("text", "translated"), ["doc_id", "block_idx", "cell"], "left")
@@ -76,6 +86,6 @@ def context_pairs(turns: DataFrame) -> DataFrame:
 
 
 def markdown(blocks: DataFrame) -> DataFrame:
-    """doc_id, md: blocks rendered in order, one blank line apart; headings with #, tables as pipe rows."""
-    shown = F.when(F.col("kind") == "heading", F.concat(F.lit("# "), F.col("text"))).when(F.col("kind") == "table", F.concat(F.lit("| "), F.col("text"), F.lit(" |"))).otherwise(F.col("text"))
+    """doc_id, md: blocks rendered in order, one blank line apart; headings with #, tables as a row of their header and one of dashes."""
+    shown = F.when(F.col("kind") == "heading", F.concat(F.lit("# "), F.col("text"))).when(F.col("kind") == "table", F.concat(F.lit("| "), F.col("text"), F.lit(" |\n|"), F.repeat(F.lit("---|"), F.size(F.split("text", r" \| "))))).otherwise(F.col("text"))
     return blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_idx", shown.alias("s")))), lambda x: x["s"]), "\n\n").alias("md"))

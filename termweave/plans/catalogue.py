@@ -76,9 +76,9 @@ SELECT event_id AS pos, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ts,
  CASE event_type WHEN 'signup' THEN 'login_ok' WHEN 'click' THEN 'job_start' WHEN 'purchase' THEN 'job_end' WHEN 'view' THEN 'download' WHEN 'error' THEN 'login_failed' END AS event,
  'u' || user_id AS "user", CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 10 = 0 THEN 'error' ELSE 'ok' END END AS status,
  CASE WHEN event_type = 'purchase' THEN value END AS duration_s FROM k) """
-_TOTALS = """SELECT "user", count(*) FILTER (event = 'login_ok') AS logins, count(*) FILTER (event = 'job_end') AS jobs,
+_TOTALS = """SELECT "user", count(*) FILTER (event = 'login_ok') AS logins, count(*) FILTER (event = 'job_start') AS jobs,
  round(coalesce(sum(duration_s) FILTER (event = 'job_end'), 0) / 60, 6) AS minutes, count(*) FILTER (event = 'download') AS downloads,
- count(*) FILTER (status = 'error') AS errors, max(ts) AS last_seen FROM ev WHERE event <> 'login_failed' {more} GROUP BY "user" """
+ count(*) FILTER (event = 'job_end' AND status = 'error') AS errors, max(ts) AS last_seen FROM ev WHERE event <> 'login_failed' {more} GROUP BY "user" """
 _FIRST = """first AS (SELECT "user", row_number() OVER (ORDER BY min(pos)) AS place FROM ev WHERE event <> 'login_failed' GROUP BY "user") """
 _BLOCKS = r"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS block_idx FROM documents),
 blocks AS (SELECT doc_id, block_idx, CASE WHEN block_idx = 0 THEN 'heading' WHEN contains(text, ' | ') THEN 'table' ELSE 'paragraph' END AS kind, text FROM lines) """
@@ -150,11 +150,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "usage_totals": _EV + _TOTALS.format(more=""),
     "usage_since": _EV + _TOTALS.format(more="AND ts >= '2024-01-24T00:00:00+00:00'"),
-    "usage_daily_jobs": _EV + """SELECT ts[:10] AS day, "user", count(*)::DOUBLE AS value FROM ev WHERE event = 'job_end' GROUP BY ALL""",
+    "usage_daily_jobs": _EV + """SELECT ts[:10] AS day, "user", count(*)::DOUBLE AS value FROM ev WHERE event = 'job_start' GROUP BY ALL""",
     "usage_daily_minutes": _EV + """SELECT ts[:10] AS day, "user", round(sum(duration_s / 60), 6) AS value FROM ev WHERE event = 'job_end' GROUP BY ALL HAVING round(sum(duration_s / 60), 6) <> 0""",
     "usage_first_seen_order": _EV + ", " + _FIRST + 'SELECT "user", place::INTEGER AS place FROM first',
-    "usage_series_fold": _EV + ", " + _FIRST + """SELECT ts[:10] AS day, CASE WHEN place <= 7 THEN "user" ELSE 'Andere' END AS series, count(*)::DOUBLE AS value FROM ev JOIN first USING ("user") WHERE event = 'job_end' GROUP BY ALL""",
-    "usage_kpis": _EV + """SELECT count(DISTINCT "user") FILTER (event <> 'login_failed') AS users, count(*) FILTER (event = 'job_end') AS jobs, round(coalesce(sum(duration_s), 0) / 60, 1) AS minutes,
+    "usage_series_fold": _EV + ", " + _FIRST + """SELECT ts[:10] AS day, CASE WHEN place <= 7 OR (SELECT count(*) FROM first) <= 8 THEN "user" ELSE 'Andere' END AS series, count(*)::DOUBLE AS value FROM ev JOIN first USING ("user") WHERE event = 'job_start' GROUP BY ALL""",
+    "usage_kpis": _EV + """SELECT count(DISTINCT "user") FILTER (event <> 'login_failed') AS users, count(*) FILTER (event = 'login_ok') AS logins, count(*) FILTER (event = 'job_start') AS jobs, round(coalesce(sum(duration_s), 0) / 60, 1) AS minutes,
  count(*) FILTER (event = 'download') AS downloads, count(*) FILTER (event = 'login_failed') AS failed_sign_ins FROM ev""",
     "doc_blocks": _BLOCKS + "SELECT doc_id, block_idx::INTEGER AS block_idx, kind, text FROM blocks",
     "doc_nonempty": _BLOCKS + "SELECT doc_id, bool_or(trim(text) <> '') AS has_text FROM blocks GROUP BY doc_id",
@@ -172,7 +172,7 @@ ORACLES: dict[str, str] = {
     "lang_detect": _GRAMS + """, hits AS (SELECT g.doc_id, p.lang, count(*) AS hits FROM g JOIN profiles p USING (gram) WHERE doc_id % 2 = 1 GROUP BY ALL),
  best AS (SELECT doc_id, lang FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) = 1) SELECT d.doc_id, b.lang FROM documents d LEFT JOIN best b USING (doc_id) WHERE d.doc_id % 2 = 1""",
     "context_carry": "SELECT conv_id, turn, last_value(CASE WHEN length(text) > 0 THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM conversations",
-    "markdown_render": _BLOCKS + "SELECT doc_id, string_agg(CASE kind WHEN 'heading' THEN '# ' || text WHEN 'table' THEN '| ' || text || ' |' ELSE text END, chr(10) || chr(10) ORDER BY block_idx) AS md FROM blocks GROUP BY doc_id",
+    "markdown_render": _BLOCKS + "SELECT doc_id, string_agg(CASE kind WHEN 'heading' THEN '# ' || text WHEN 'table' THEN '| ' || text || ' |' || chr(10) || '|' || repeat('---|', len(string_split(text, ' | '))) ELSE text END, chr(10) || chr(10) ORDER BY block_idx) AS md FROM blocks GROUP BY doc_id",
     "layout_chrome": _LINES + r""", marked AS (SELECT *, regexp_replace(text, '[0-9]+', '#', 'g') AS sign, top < 0.1 * page_height OR bottom > 0.9 * page_height AS zone FROM lines),
  n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM lines GROUP BY doc_id), signs AS (SELECT doc_id, sign FROM marked JOIN n USING (doc_id) WHERE zone GROUP BY doc_id, sign, pages HAVING count(DISTINCT page) >= greatest(2, ceil(pages * 6 / 10)))
  SELECT doc_id, count(*) AS n_lines FROM marked m WHERE NOT (zone AND EXISTS (SELECT 1 FROM signs s WHERE s.doc_id = m.doc_id AND s.sign = m.sign)) GROUP BY doc_id""",

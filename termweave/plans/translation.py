@@ -10,6 +10,7 @@ from termweave.operators import translation as tr
 from termweave.operators import units as un
 from termweave.operators import glossary, language, usage
 from termweave.plans import catalogue as c
+from termweave.sources import markdown
 from termweave.sources.documents import line_blocks
 
 SYSTEM = "Translate each line."
@@ -18,7 +19,8 @@ MODELS = [("small", "Alpha:1b"), ("medium", "beta:4b"), ("large", "gamma:9b")]
 INSTALLED = [("alpha:1B",), ("GAMMA:9b",), ("other",)]
 # Terms of two words beside the single ones.
 PHRASES = [(20, "and the", "und der"), (21, "for the", "für den"), (22, "was the", "war der")]
-PALETTE = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2")
+# Colours of a chart's series, in order.
+PALETTE = ("#2a78d6", "#eb6834", "#1baf7a", "#eda100", "#e87ba4", "#008300", "#6250d6", "#e34948")
 
 
 def _segmented(s: SparkSession, d: str) -> DataFrame:
@@ -76,6 +78,27 @@ def _foreign_whole(s: SparkSession, d: str) -> DataFrame:
     return found.where("lang is null or lang <> 'en'").select("doc_id")
 
 
+def _counts(s: SparkSession, d: str) -> DataFrame:
+    return language.gram_counts(c._read(s, d, "documents"))
+
+
+def _answered(s: SparkSession, d: str) -> DataFrame:
+    """Documents with an answer: a third come back as they are, a third with other white space, the rest as numbers."""
+    kind = F.col("doc_id") % 3
+    output = F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(F.lit("  "), F.regexp_replace("text", " ", "\n "))).otherwise(F.regexp_replace("text", r"\p{L}", "7"))
+    return c._docs(s, d).select("doc_id", F.col("text").alias("source"), output.alias("output"))
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    return markdown.markdown_blocks(c._docs(s, d))
+
+
+def _roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Whether documents keep their shape when they are written and read once more."""
+    blocks = _blocks(s, d).where("kind <> 'image_placeholder'")
+    return markdown.same_shape(blocks, markdown.markdown_blocks(markdown.markdown_texts(blocks).withColumnRenamed("md", "text")))
+
+
 def _elapsed(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("int")
     return F.format_string("%02d:%02d", F.floor(whole / 60), whole % 60)
@@ -83,7 +106,7 @@ def _elapsed(seconds: Column) -> Column:
 
 QUERIES = {
     "usage_status_errors": lambda s, d: c._events(s, d).where("event = 'job_end'").groupBy("status").agg(F.count("*").alias("jobs")),
-    "usage_user_colors": lambda s, d: usage.users_in_order(c._events(s, d)).where(F.col("place") <= len(PALETTE)).select("user", F.element_at(F.array(*[F.lit(p) for p in PALETTE]), F.col("place").cast("int")).alias("color")),
+    "usage_user_colors": lambda s, d: usage.colors(c._events(s, d), PALETTE),
     "elapsed": lambda s, d: c._events(s, d).where("duration_s is not null").select("pos", _elapsed(F.col("duration_s")).alias("elapsed")),
     "encode_segments": lambda s, d: tr.encoded(_segmented(s, d)).select("doc_id", "segment", "n_units", "wire", F.size("spans").alias("n_spans")),
     "wire_decode_ok": _decode,
@@ -100,6 +123,13 @@ QUERIES = {
     "model_availability": lambda s, d: tr.available(s.createDataFrame(MODELS, "key string, tag string"), s.createDataFrame(INSTALLED, "tag string")),
     "skip_target_language": _foreign,
     "skip_target_language_whole": _foreign_whole,
+    "is_in_language": lambda s, d: language.is_in_language(c._docs(s, d), _counts(s, d), "en"),
+    "looks_untranslated": lambda s, d: language.looks_untranslated(_answered(s, d), _counts(s, d), "en", "de"),
+    "has_source_sentence": lambda s, d: language.has_source_sentence(c._docs(s, d), _counts(s, d), "en"),
+    "markdown_parse": lambda s, d: _blocks(s, d).drop("rows"),
+    "markdown_numbering": lambda s, d: markdown.numbered(_blocks(s, d)).where("kind = 'list_item'").select("doc_id", "block_idx", "depth", "ordered", "number"),
+    "markdown_roundtrip": _roundtrip,
+    "markdown_has_text": lambda s, d: markdown.has_text(_blocks(s, d)),
     "term_match_single": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS)),
     "term_match_longest": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS + PHRASES)),
 }
@@ -117,10 +147,22 @@ t AS (SELECT conv_id, turn, string_agg(CASE WHEN nl AND link THEN '<a1>' ELSE ''
 _COLORS = ", ".join(f"'{p}'" for p in PALETTE)
 _PACKED = c.ORACLES["pack_segments"].split(" SELECT doc_id, segment, count(*)")[0]
 
+_BAYES = r"""WITH counts AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
+totals AS (SELECT lang, ln(0.5 / (sum(n) + (SELECT count(DISTINCT gram) FROM counts) / 2)) AS unseen FROM counts GROUP BY lang),
+asked AS ({asked}),
+grams AS (SELECT doc_id, gram, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, length(lower(t)) - 1), lambda i: substr(lower(t), i, 3))) AS gram FROM asked) GROUP BY ALL),
+seen AS (SELECT doc_id, lang, sum(c * ln(2 * n + 1)) AS seen FROM grams JOIN counts USING (gram) GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(c) AS c FROM grams GROUP BY doc_id),
+found AS (SELECT doc_id, lang FROM sizes CROSS JOIN totals LEFT JOIN seen USING (doc_id, lang) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c * unseen + coalesce(seen, 0), 6) DESC, lang) = 1) """
+
 ORACLES = {
+    "is_in_language": _BAYES.format(asked="SELECT doc_id, text AS t FROM documents") + "SELECT d.doc_id, length(text) >= 40 AND coalesce(f.lang = 'en', false) AS in_language FROM documents d LEFT JOIN found f USING (doc_id)",
+    "looks_untranslated": _BAYES.format(asked=r"SELECT doc_id, substr(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || replace(text, ' ', chr(10) || ' ') ELSE regexp_replace(text, '\p{L}', '7', 'g') END, 1, 2000) AS t FROM documents WHERE length(text) >= 40") + r"SELECT d.doc_id, length(text) >= 40 AND (doc_id % 3 <> 2 OR NOT regexp_matches(text, '\p{L}') OR coalesce(f.lang = 'en', false)) AS untranslated FROM documents d LEFT JOIN found f USING (doc_id)",
+    "lang_detect_whole": _BAYES.format(asked="SELECT doc_id, substr(text, 1, 2000) AS t FROM documents") + "SELECT d.doc_id, f.lang FROM documents d LEFT JOIN found f USING (doc_id)",
+    "skip_target_language_whole": _BAYES.format(asked="SELECT doc_id, text AS t FROM documents") + "SELECT d.doc_id FROM documents d LEFT JOIN found f USING (doc_id) WHERE length(text) >= 40 AND coalesce(f.lang, '') <> 'en'",
     "term_match_single": c.ORACLES["glossary_match"],
     "usage_status_errors": c._EV + "SELECT status, count(*) AS jobs FROM ev WHERE event = 'job_end' GROUP BY status",
-    "usage_user_colors": c._EV + ", " + c._FIRST + f'SELECT "user", [{_COLORS}][place] AS color FROM first WHERE place <= {len(PALETTE)}',
+    "usage_user_colors": c._EV + ", " + c._FIRST + f'SELECT "user", [{_COLORS}][least(place, 8)] AS color FROM first',
     "elapsed": c._EV + "SELECT pos, printf('%02d:%02d', floor(duration_s)::INTEGER // 60, floor(duration_s)::INTEGER % 60) AS elapsed FROM ev WHERE duration_s IS NOT NULL",
     "wire_decode_ok": _PACKED + " SELECT DISTINCT doc_id, segment, NOT (doc_id % 7 = 0 OR doc_id % 11 = 0) AS ok FROM pack",
     "clean_output": r"SELECT doc_id, trim(text, E' \t\n\f\r\v') AS text FROM documents",

@@ -32,9 +32,11 @@ def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8 without its mark where valid, else Latin-1."""
+    """Bytes as text: UTF-8 without its mark where valid, else Windows-1252 (bytes that it lacks become U+FFFD)."""
     text = content.cast("string")
-    return F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^﻿", "")).otherwise(F.decode(content, "ISO-8859-1"))
+    upper = bytes(range(0x80, 0xA0))
+    western = F.translate(F.decode(content, "ISO-8859-1"), upper.decode("latin-1"), upper.decode("cp1252", "replace"))
+    return F.when(F.is_valid_utf8(text), F.regexp_replace(text, "^\ufeff", "")).otherwise(western)
 
 
 def usage_events(events: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ def read_usage_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def daily_jobs(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """day, user, value: finished jobs a day; events later than ``late`` behind the newest are dropped."""
-    timed = events.where("event = 'job_end'").withColumn("at", F.to_timestamp("ts")).withWatermark("at", late)
+    """day, user, value: jobs started a day; events later than ``late`` behind the newest are dropped."""
+    timed = events.where("event = 'job_start'").withColumn("at", F.to_timestamp("ts")).withWatermark("at", late)
     return timed.groupBy(F.window("at", "1 day").alias("w"), "user").agg(F.count("*").alias("value")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "user", "value")
 
 

@@ -11,7 +11,7 @@ def test_blocks_and_units(spark):
     blocks = line_blocks(docs)
     assert [(r.block_idx, r.kind) for r in blocks.where("doc_id = 1").orderBy("block_idx").collect()] == [(0, "heading"), (1, "table"), (2, "paragraph"), (3, "paragraph")]
     assert [(r.unit_idx, r.text) for r in units.units(blocks).orderBy("unit_idx").collect()] == [(0, "Title"), (1, "a"), (2, "c"), (3, "Last.")]
-    assert units.markdown(blocks).where("doc_id = 1").first().md == "# Title\n\n| a | 12 | c |\n\n\n\nLast."
+    assert units.markdown(blocks).where("doc_id = 1").first().md == "# Title\n\n| a | 12 | c |\n|---|---|---|\n\n\n\nLast."
 
 
 def test_paragraphs_collapse(spark):
@@ -54,15 +54,15 @@ def test_glossary(spark):
 def test_usage(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
-    (log / "a.json").write_text('{"ts":"2024-01-02T10:00:00+00:00","event":"job_end","user":"a","duration_s":60,"status":"ok"}\n{"broken\n{"ts":"2024-01-02T11:00:00+00:00","event":"job_end","user":"a","duration_s":30,"status":"error"}\n{"ts":"2024-01-03T00:00:00+00:00","event":"login_failed","user":"x"}\n')
+    (log / "a.json").write_text('{"ts":"2024-01-02T09:59:00+00:00","event":"job_start","user":"a"}\n{"ts":"2024-01-02T10:00:00+00:00","event":"job_end","user":"a","duration_s":60,"status":"ok"}\n{"broken\n{"ts":"2024-01-02T11:00:00+00:00","event":"job_end","user":"a","duration_s":30,"status":"error"}\n{"ts":"2024-01-03T00:00:00+00:00","event":"login_failed","user":"x"}\n')
     events = read_usage_log(spark, str(log))
     row = usage.totals(events).collect()
-    assert [(r.user, r.jobs, r.minutes, r.errors) for r in row] == [("a", 2, 1.5, 1)]
+    assert [(r.user, r.jobs, r.minutes, r.errors) for r in row] == [("a", 1, 1.5, 1)]
     assert usage.kpis(events).first().failed_sign_ins == 1
     assert usage.totals(usage.since(events, "2024-01-10T00:00:00+00:00", 2)).count() == 0
     query = to_memory(daily_jobs(read_usage_stream(spark, str(log))), "daily_jobs", str(tmp_path / "cp"))
     query.awaitTermination()
-    assert [(r.day, r.user, r.value) for r in spark.table("daily_jobs").collect()] == [("2024-01-02", "a", 2)]
+    assert [(r.day, r.user, r.value) for r in spark.table("daily_jobs").collect()] == [("2024-01-02", "a", 1)]
 
 
 def test_layout(spark):
@@ -113,3 +113,35 @@ def test_longest_phrase_claims(spark):
     got = glossary.match_phrases(texts, sheet).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 2, 2), (1, 0, 3, 2), (1, 0, 4, 1)]
     assert glossary.match_phrases(texts, sheet.limit(0)).count() == 0
+
+
+def test_series_fold_beyond_the_slots(spark):
+    def log(users):
+        return spark.createDataFrame([(i, "2024-01-01T00:00:00+00:00", "job_start", f"u{i}", None, None) for i in range(users)], "pos long, ts string, event string, user string, status string, duration_s double")
+
+    assert {r.series for r in usage.series(log(8), "jobs").collect()} == {f"u{i}" for i in range(8)}
+    assert {(r.series, r.value) for r in usage.series(log(9), "jobs").collect()} == {*((f"u{i}", 1.0) for i in range(7)), ("Andere", 2.0)}
+    colors = dict(map(tuple, usage.colors(log(10), tuple("abcdefgh")).collect()))
+    assert colors == {f"u{i}": "abcdefghhh"[i] for i in range(10)}
+    assert [tuple(r) for r in usage.users_in_order(log(10), 4).orderBy("place").collect()] == [(f"u{i}", i + 1) for i in range(10)]
+
+
+def test_answers_keep_tokens_in_their_line(spark):
+    rows = [(1, 0, 0, "see `a` now"), (1, 1, 0, "plain"), (1, 2, 0, "mail x@y.org or {z}")]
+    sent = translation.encoded(spark.createDataFrame(rows, "doc_id long, unit_idx int, segment int, text string"))
+    wire = sent.first().wire
+
+    def texts(raw):
+        return translation.decoded(sent, spark.createDataFrame([(1, 0, raw)], "doc_id long, segment int, raw string")).first().texts
+
+    assert texts(wire) == [r[3] for r in rows]
+    assert texts(wire.replace("⟦P1⟧", "?").replace("⟦P2⟧", "⟦P1⟧").replace("?", "⟦P2⟧")) is None
+    assert texts(wire.replace("⟦P3⟧", "")) is None and texts("") is None
+
+
+def test_bytes_fall_back_to_western(spark):
+    from termweave.sources.documents import decoded
+
+    data = [(b"\xef\xbb\xbfa\xc3\xa4",), ("“ä€”".encode("cp1252"),), (b"\x81",)]
+    got = [r.t for r in spark.createDataFrame(data, "b binary").select(decoded(F.col("b")).alias("t")).collect()]
+    assert got == ["aä", "“ä€”", "\ufffd"]
