@@ -76,7 +76,7 @@ STAGES = [
     ("best-fit packing", sequences),
 ]
 
-#: Hashed weights, keyed surrogates and a tokenizer are beyond SQL; of the stages, a test covers near duplicates only.
+#: Hashed weights, keyed surrogates and a tokenizer are beyond SQL; tests run every stage on small tables.
 ORACLE_SQL = None
 
 
