@@ -14,6 +14,13 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge and is no other's v: then v is the smallest node of u's component."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    nodes = edges.select(ends.alias("end")).select("end.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up + down > 1 and up > 0").count() == 0
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for all nodes of ``links`` (columns a, b; any order, repeats and loops allowed).
 
@@ -23,17 +30,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     links stay in tables in the shared folder. No links give no rows.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        large = large.where("u <> v").distinct()
+        # repeats stay until the end of the round: there are no more rows than edges
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v")
         small = _with_least(large)
         old, edges = edges, written(small.select(F.explode(F.array(F.struct("v", "least"), F.struct(F.col("u").alias("v"), "least"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.least").alias("v")).where("u <> v").distinct(), "stars")
         removed(old)
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == before:
-            break
-        before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

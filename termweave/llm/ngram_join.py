@@ -347,8 +347,8 @@ def _links(source: DataFrame, size: int, percent: int) -> DataFrame:
         fresh = written(_distinct_pairs(met.where(_may_link(percent)).withColumnsRenamed({"node_a": "a", "node_b": "b"}), percent), "more-pairs")
         more = written(_verified(fresh, sets, percent), "links")
         if not more.isEmpty():
-            links = written(links.unionByName(more), "links")
-            found = connected_components(links)
+            # the components so far stand for the links that made them
+            found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return found
 
 

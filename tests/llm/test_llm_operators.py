@@ -218,3 +218,27 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(50, 50), (60, 61), (61, 60)], "a long, b long")
     got = dict(map(tuple, connected_components(links).collect()))
     assert got == {i: 10 for i in range(10, 41)} | {60: 60, 61: 60}
+
+
+def test_components_follow_union_find(spark):
+    import random
+
+    draw = random.Random(5)
+    path = [(n, n + 1) for n in range(0, 40)]
+    pairs = [(draw.randrange(100, 190), draw.randrange(100, 190)) for _ in range(70)] + [(300, n) for n in range(301, 330)] + path[::-1] + path[:9]
+    parent = {n: n for pair in pairs for n in pair}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    first = connected_components(spark.createDataFrame(pairs[:80], "a bigint, b bigint"))
+    again = first.selectExpr("node AS a", "component AS b").unionByName(spark.createDataFrame(pairs[80:], "a bigint, b bigint"))
+    for links in (spark.createDataFrame(pairs, "a bigint, b bigint"), again):
+        assert sorted(map(tuple, connected_components(links).collect())) == sorted((n, root(n)) for n in linked)
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
