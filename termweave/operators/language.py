@@ -22,10 +22,9 @@ def trigrams(docs: DataFrame, prefix: int | None = 2000) -> DataFrame:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: the most frequent trigrams of each language (ties by gram)."""
-    counts = trigrams(docs.select("lang", "text")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    """lang, gram, n, rank: the most frequent trigrams of each language's whole texts (ties by gram)."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "gram", "n", "rank")
+    return gram_counts(docs).withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "gram", "n", "rank")
 
 
 def detect(docs: DataFrame, profile: DataFrame) -> DataFrame:

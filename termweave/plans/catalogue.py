@@ -108,9 +108,12 @@ lines AS (SELECT *, top + size AS bottom, 1000.0 AS page_height FROM (SELECT * F
 _LEVELS = """, sizes AS (SELECT doc_id, size, sum(length(text)) AS chars, min(line_idx) AS first FROM lines GROUP BY ALL),
 bodies AS (SELECT doc_id, size AS body FROM sizes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, first) = 1),
 levels AS (SELECT doc_id, size, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC), 6) AS level FROM (SELECT DISTINCT doc_id, size FROM lines) JOIN bodies USING (doc_id) WHERE size >= 1.15 * body) """
-_GRAMS = """WITH g AS (SELECT doc_id, lang, substr(lower(substr(coalesce(text, ''), 1, 2000)), i::BIGINT, 3) AS gram
- FROM (SELECT *, unnest(range(1, greatest(length(lower(substr(coalesce(text, ''), 1, 2000))) - 1, 1))) AS i FROM documents)),
-profiles AS (SELECT lang, gram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS rank FROM g WHERE doc_id % 2 = 0 GROUP BY lang, gram QUALIFY rank <= 300) """
+_CUT = "unnest(list_transform(range(1, length(lower({0})) - 1), lambda i: substr(lower({0}), i, 3)))"
+_GRAMS = f"""WITH counts AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, {_CUT.format("text")} AS gram FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
+profiles AS (SELECT lang, gram, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank FROM counts QUALIFY rank <= 300),
+g AS (SELECT doc_id, {_CUT.format("substr(text, 1, 2000)")} AS gram FROM documents),
+hits AS (SELECT g.doc_id, p.lang, count(*) AS hits FROM g JOIN profiles p USING (gram) GROUP BY ALL),
+best AS (SELECT doc_id, lang FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) = 1) """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_totals": lambda s, d: usage.totals(_events(s, d)),
@@ -132,9 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "glossary_match": _matches,
     "term_misses": term_misses,
     "term_hit_rate": term_hit_rate,
-    "lang_profiles": lambda s, d: language.profiles(_read(s, d, "documents").where("doc_id % 2 = 0")),
-    "lang_detect": lambda s, d: language.detect(_docs(s, d).where("doc_id % 2 = 1"), language.profiles(_read(s, d, "documents").where("doc_id % 2 = 0"))),
-    # the whole table; the two above learn from one half and judge the other, as their SQL does
+    "lang_profiles": lambda s, d: language.profiles(_read(s, d, "documents")),
+    "lang_detect": lambda s, d: language.detect(_docs(s, d), language.profiles(_read(s, d, "documents"))),
+    # every trigram counts here; the two above go by each language's most frequent ones
     "lang_profiles_whole": lambda s, d: language.gram_counts(_read(s, d, "documents")),
     "lang_detect_whole": lambda s, d: language.detect_bayes(_docs(s, d), language.gram_counts(_read(s, d, "documents"))),
     "context_carry": lambda s, d: units.context_pairs(_read(s, d, "conversations")),
@@ -169,8 +172,8 @@ ORACLES: dict[str, str] = {
     "term_misses": _MISSES + "SELECT doc_id, unit_idx::INTEGER AS unit_idx, row::INTEGER AS row FROM misses",
     "term_hit_rate": _MISSES + ", h AS (SELECT row, count(*) AS hits FROM matches GROUP BY row), m AS (SELECT row, count(*) AS missed FROM misses GROUP BY row) SELECT row::INTEGER AS row, hits, coalesce(missed, 0) AS missed, round((hits - coalesce(missed, 0)) / hits, 6) AS hit_rate FROM h LEFT JOIN m USING (row)",
     "lang_profiles": _GRAMS + "SELECT lang, gram, n, rank::INTEGER AS rank FROM profiles",
-    "lang_detect": _GRAMS + """, hits AS (SELECT g.doc_id, p.lang, count(*) AS hits FROM g JOIN profiles p USING (gram) WHERE doc_id % 2 = 1 GROUP BY ALL),
- best AS (SELECT doc_id, lang FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) = 1) SELECT d.doc_id, b.lang FROM documents d LEFT JOIN best b USING (doc_id) WHERE d.doc_id % 2 = 1""",
+    "lang_profiles_whole": _GRAMS + "SELECT lang, gram, n FROM counts",
+    "lang_detect": _GRAMS + "SELECT d.doc_id, b.lang FROM documents d LEFT JOIN best b USING (doc_id)",
     "context_carry": "SELECT conv_id, turn, last_value(CASE WHEN length(text) > 0 THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM conversations",
     "markdown_render": _BLOCKS + "SELECT doc_id, string_agg(CASE kind WHEN 'heading' THEN '# ' || text WHEN 'table' THEN '| ' || text || ' |' || chr(10) || '|' || repeat('---|', len(string_split(text, ' | '))) ELSE text END, chr(10) || chr(10) ORDER BY block_idx) AS md FROM blocks GROUP BY doc_id",
     "layout_chrome": _LINES + r""", marked AS (SELECT *, regexp_replace(text, '[0-9]+', '#', 'g') AS sign, top < 0.1 * page_height OR bottom > 0.9 * page_height AS zone FROM lines),

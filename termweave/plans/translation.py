@@ -65,9 +65,9 @@ def _prompts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _foreign(s: SparkSession, d: str) -> DataFrame:
-    """Odd documents that are long enough and not yet in the target language."""
+    """All documents that are long enough and not yet in the target language, by the most frequent trigrams."""
     found = c.QUERIES["lang_detect"](s, d).where("lang = 'en'").select("doc_id")
-    long = c._docs(s, d).where((F.col("doc_id") % 2 == 1) & (F.length("text") >= tr.MIN_CHARS))
+    long = c._docs(s, d).where(F.length("text") >= tr.MIN_CHARS)
     return long.select("doc_id").join(found, "doc_id", "left_anti")
 
 
@@ -179,7 +179,5 @@ ORACLES = {
     "tags_valid": "SELECT conv_id, turn, turn % 3 <> 0 AS ok FROM conversations",
     "tags_strip": "SELECT conv_id, turn, text || ' ' AS text FROM conversations",
     "model_availability": "SELECT * FROM (VALUES ('small', 'Alpha:1b', true), ('medium', 'beta:4b', false), ('large', 'gamma:9b', true)) t(key, tag, installed)",
-    "skip_target_language": c._GRAMS + """, hits AS (SELECT g.doc_id, p.lang, count(*) AS hits FROM g JOIN profiles p USING (gram) WHERE doc_id % 2 = 1 GROUP BY ALL),
- best AS (SELECT doc_id, lang FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) = 1)
- SELECT d.doc_id FROM documents d LEFT JOIN best b USING (doc_id) WHERE d.doc_id % 2 = 1 AND length(text) >= 40 AND coalesce(b.lang, '') <> 'en'""",
+    "skip_target_language": c._GRAMS + "SELECT d.doc_id FROM documents d LEFT JOIN best b USING (doc_id) WHERE length(text) >= 40 AND coalesce(b.lang, '') <> 'en'",
 }
