@@ -108,6 +108,10 @@ lines AS (SELECT *, top + size AS bottom, 1000.0 AS page_height FROM (SELECT * F
 _LEVELS = """, sizes AS (SELECT doc_id, size, sum(length(text)) AS chars, min(line_idx) AS first FROM lines GROUP BY ALL),
 bodies AS (SELECT doc_id, size AS body FROM sizes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, first) = 1),
 levels AS (SELECT doc_id, size, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC), 6) AS level FROM (SELECT DISTINCT doc_id, size FROM lines) JOIN bodies USING (doc_id) WHERE size >= 1.15 * body) """
+_NUMBERED = """, l AS (SELECT lines.*, coalesce(level, 0) AS level, body FROM lines JOIN bodies USING (doc_id) LEFT JOIN levels USING (doc_id, size)),
+ f AS (SELECT *, lag(level) OVER o IS NULL OR lag(level) OVER o <> level OR CASE WHEN level > 0 THEN page <> lag(page) OVER o OR top - lag(bottom) OVER o > 0.5 * size
+  WHEN page <> lag(page) OVER o THEN regexp_matches(lag(text) OVER o, '[.!?:]$') ELSE top - lag(bottom) OVER o > 0.5 * body END AS new FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line_idx)),
+ b AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_idx) - 1 AS block FROM f) """
 _CUT = "unnest(list_transform(range(1, length(lower({0})) - 1), lambda i: substr(lower({0}), i, 3)))"
 _GRAMS = f"""WITH counts AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, {_CUT.format("text")} AS gram FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
 profiles AS (SELECT lang, gram, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank FROM counts QUALIFY rank <= 300),
@@ -147,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layout_body_size": lambda s, d: layout.body_sizes(_lines(s, d)),
     "layout_heading_levels": lambda s, d: layout.heading_levels(_lines(s, d)),
     "layout_paragraphs": lambda s, d: layout.paragraphs(_lines(s, d)),
+    "layout_block_texts": lambda s, d: layout.block_texts(_lines(s, d)),
     "slugify": lambda s, d: _read(s, d, "part").select("p_partkey", fn.slug(F.col("p_name")).alias("slug")),
 }
 
@@ -181,8 +186,9 @@ ORACLES: dict[str, str] = {
  SELECT doc_id, count(*) AS n_lines FROM marked m WHERE NOT (zone AND EXISTS (SELECT 1 FROM signs s WHERE s.doc_id = m.doc_id AND s.sign = m.sign)) GROUP BY doc_id""",
     "layout_body_size": _LINES + _LEVELS + "SELECT doc_id, body FROM bodies",
     "layout_heading_levels": _LINES + _LEVELS + "SELECT doc_id, size, level::INTEGER AS level FROM levels",
-    "layout_paragraphs": _LINES + _LEVELS + """, l AS (SELECT lines.*, coalesce(level, 0) AS level FROM lines LEFT JOIN levels USING (doc_id, size)),
- f AS (SELECT *, lag(level) OVER o IS NULL OR lag(level) OVER o <> level OR (page = lag(page) OVER o AND top - lag(bottom) OVER o > 0.5 * size) AS new FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line_idx)),
- b AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_idx) - 1 AS block FROM f) SELECT doc_id, block::BIGINT AS block, max(level)::INTEGER AS level, count(*) AS n_lines FROM b GROUP BY doc_id, block""",
+    "layout_paragraphs": _LINES + _LEVELS + _NUMBERED + "SELECT doc_id, block::BIGINT AS block, max(level)::INTEGER AS level, count(*) AS n_lines FROM b GROUP BY doc_id, block",
+    "layout_block_texts": _LINES + _LEVELS + _NUMBERED + r""", j AS (SELECT *, lead(text) OVER o IS NULL AS final, coalesce(regexp_matches(text, '\p{L}-$') AND regexp_matches(lead(text) OVER o, '^\p{Ll}'), false) AS glued
+ FROM b WINDOW o AS (PARTITION BY doc_id, block ORDER BY line_idx))
+ SELECT doc_id, block::BIGINT AS block, max(level)::INTEGER AS level, string_agg(CASE WHEN final THEN text WHEN glued THEN left(text, length(text) - 1) ELSE text || ' ' END, '' ORDER BY line_idx) AS text FROM j GROUP BY doc_id, block""",
     "slugify": r"SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'), '-') AS slug FROM part",
 }
