@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from termweave.functions import text as fn
 from termweave.operators import translation as tr
 from termweave.operators import units as un
-from termweave.operators import glossary, language, usage
+from termweave.operators import benchmark, glossary, language, results, usage
 from termweave.plans import catalogue as c
 from termweave.sources import markdown
 from termweave.sources.documents import line_blocks
@@ -99,6 +99,47 @@ def _roundtrip(s: SparkSession, d: str) -> DataFrame:
     return markdown.same_shape(blocks, markdown.markdown_blocks(markdown.markdown_texts(blocks).withColumnRenamed("md", "text")))
 
 
+def _decoded_tags(s: SparkSession, d: str) -> DataFrame:
+    """Characters under each format; every third text lost its last tag and gives none."""
+    whole = _tagged(s, d)
+    cut = F.when(F.col("turn") % 3 == 0, F.regexp_replace("text", r"</?(?:a[0-9]+|b|i|u)>([^<]*)$", "$1")).otherwise(F.col("text"))
+    pieces = whole.select("conv_id", "turn", fn.tag_pieces(cut, fn.opening_tags(F.col("text"))).alias("p"))
+    chars = lambda flag: F.aggregate("p", F.lit(0), lambda a, x: a + F.when(flag(x), F.length(x["text"])).otherwise(0))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    return pieces.select("conv_id", "turn", text.alias("text"), chars(lambda x: x["bold"]).alias("bold"), chars(lambda x: x["italic"]).alias("italic"), chars(lambda x: x["link"] > 0).alias("linked"))
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    url, size = F.col("url"), F.length("html")
+    return c._read(s, d, "pages").select("page_id", results.stem(url).alias("stem"), results.suffix(url).alias("suffix"), results.output_name(url, F.lit("de"), F.lit("md")).alias("output"), results.size_kb(size).alias("size_kb"), results.upload_key(url, size, F.col("page_id")).alias("key"))
+
+
+def _report_csv(s: SparkSession, d: str) -> DataFrame:
+    outputs, none = _outputs(s, d), F.lit(None).cast("string")
+    excerpt = F.substring(fn.without_tags(F.col("text")), 1, 80).alias("detail")
+    terms = c.term_misses(s, d).join(outputs.select("doc_id", "unit_idx", "text"), ["doc_id", "unit_idx"]).join(c._sheet(s, c.TERMS), "row")
+    term = terms.select("doc_id", F.lit("term").alias("kind"), (F.col("unit_idx") * 100 + F.col("row")).alias("place"), excerpt, "source", F.col("target").alias("expected"))
+    failed = outputs.where("failed").select("doc_id", F.lit("failed").alias("kind"), (F.col("unit_idx") * 100).alias("place"), excerpt, none.alias("source"), none.alias("expected"))
+    return results.report_csv(term.unionByName(failed))
+
+
+def _run_metrics(s: SparkSession, d: str) -> DataFrame:
+    return benchmark.run_metrics(_segmented(s, d), _outputs(s, d), c._matches(s, d), c.term_misses(s, d))
+
+
+def _full_prompts(s: SparkSession, d: str) -> DataFrame:
+    """Prompts of turns: terms on even ones, strict on every third, the last text before as context."""
+    turns = c._read(s, d, "conversations")
+    terms = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.lit("the").alias("source"), F.lit("der").alias("target"), F.lit("").alias("note"))))
+    body = F.concat(F.lit("[[1]] "), "text")
+    rows = turns.join(un.context_pairs(turns).withColumnRenamed("context", "before"), ["conv_id", "turn"])
+    context = F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("source"), F.concat(F.lit("> "), "before").alias("output")))
+    strict = F.col("turn") % 3 == 0
+    asked = rows.select("conv_id", "turn", body.alias("body"), terms.alias("entries"), terms.alias("missed"), context.alias("context"), strict.alias("strict"), strict.alias("untranslated"))
+    said = results.messages(F.col("prompt"))
+    return results.full_prompts(asked, "en", "de").select("conv_id", "turn", F.size(said).alias("messages"), F.element_at(said, -1)["content"].alias("user_message"))
+
+
 def _elapsed(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("int")
     return F.format_string("%02d:%02d", F.floor(whole / 60), whole % 60)
@@ -130,6 +171,15 @@ QUERIES = {
     "markdown_numbering": lambda s, d: markdown.numbered(_blocks(s, d)).where("kind = 'list_item'").select("doc_id", "block_idx", "depth", "ordered", "number"),
     "markdown_roundtrip": _roundtrip,
     "markdown_has_text": lambda s, d: markdown.has_text(_blocks(s, d)),
+    "tags_decode": _decoded_tags,
+    "emphasis": lambda s, d: c._read(s, d, "part").select("p_partkey", fn.emphasised(F.concat(F.lit("  "), "p_name", F.lit(" ")), F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0).alias("md")),
+    "file_names": _files,
+    "report_csv": _report_csv,
+    "run_metrics": _run_metrics,
+    "prompt_messages": _full_prompts,
+    "usage_table": lambda s, d: results.usage_table(usage.totals(c._events(s, d))),
+    "preview_markdown": lambda s, d: results.previews(_blocks(s, d), _blocks(s, d).where("block_idx % 4 = 1")),
+    "benchmark_fixture": lambda s, d: benchmark.fixture(s).drop("rows"),
     "term_match_single": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS)),
     "term_match_longest": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS + PHRASES)),
 }
@@ -160,6 +210,26 @@ ORACLES = {
     "looks_untranslated": _BAYES.format(asked=r"SELECT doc_id, substr(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || replace(text, ' ', chr(10) || ' ') ELSE regexp_replace(text, '\p{L}', '7', 'g') END, 1, 2000) AS t FROM documents WHERE length(text) >= 40") + r"SELECT d.doc_id, length(text) >= 40 AND (doc_id % 3 <> 2 OR NOT regexp_matches(text, '\p{L}') OR coalesce(f.lang = 'en', false)) AS untranslated FROM documents d LEFT JOIN found f USING (doc_id)",
     "lang_detect_whole": _BAYES.format(asked="SELECT doc_id, substr(text, 1, 2000) AS t FROM documents") + "SELECT d.doc_id, f.lang FROM documents d LEFT JOIN found f USING (doc_id)",
     "skip_target_language_whole": _BAYES.format(asked="SELECT doc_id, text AS t FROM documents") + "SELECT d.doc_id FROM documents d LEFT JOIN found f USING (doc_id) WHERE length(text) >= 40 AND coalesce(f.lang, '') <> 'en'",
+    # what each tag would enclose, from the words themselves
+    "tags_decode": _WORDS + r"""SELECT conv_id, turn, CASE WHEN good THEN string_agg(f.text, '' ORDER BY pos) END AS text, CASE WHEN good THEN coalesce(sum(length(f.text)) FILTER (bold), 0)::INTEGER END AS bold,
+ CASE WHEN good THEN coalesce(sum(length(f.text)) FILTER (italic), 0)::INTEGER END AS italic, CASE WHEN good THEN coalesce(sum(length(f.text)) FILTER (link), 0)::INTEGER END AS linked
+ FROM f JOIN (SELECT conv_id, turn, turn % 3 <> 0 OR NOT regexp_matches(text, '</?(a[0-9]+|b|i|u)>') AS good FROM t) USING (conv_id, turn) GROUP BY conv_id, turn, good""",
+    "emphasis": "SELECT p_partkey, '  ' || stars || trim(p_name) || stars || ' ' AS md FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN '**' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '*' ELSE '' END AS stars FROM part)",
+    "file_names": r"""WITH f AS (SELECT *, regexp_extract(url, '[^/]*$') AS name FROM pages), g AS (SELECT *, regexp_extract(name, '[^.](\.[^.]+)$', 1) AS suffix FROM f)
+ SELECT page_id, left(name, length(name) - length(suffix)) AS stem, suffix, left(name, length(name) - length(suffix)) || '_de.md' AS output, round(length(html) / 1024, 1) AS size_kb, url || ':' || length(html) || ':' || page_id AS key FROM g""",
+    "report_csv": c._MISSES + _OUT + r""", r AS (SELECT doc_id, 1 AS o, unit_idx * 100 + row AS place, 'term' AS kind, substr(text, 1, 80) AS detail, source || ',' || target AS rest FROM misses JOIN units USING (doc_id, unit_idx) JOIN terms USING (row)
+ UNION ALL SELECT doc_id, 2, unit_idx * 100, 'failed', substr(text, 1, 80), ',' FROM judged WHERE failed)
+ SELECT doc_id, chr(65279) || 'kind,detail,source,expected' || chr(13) || chr(10) || string_agg(kind || ',' || CASE WHEN regexp_matches(detail, '[",\r\n]') THEN '"' || replace(detail, '"', '""') || '"' ELSE detail END || ',' || rest || chr(13) || chr(10), '' ORDER BY o, place) AS csv FROM r GROUP BY doc_id""",
+    "run_metrics": (c._MISSES + _OUT).replace("WITH lines", "WITH RECURSIVE lines", 1) + c.ORACLES["pack_segments"][c.ORACLES["pack_segments"].index(", pack AS"):].split(" SELECT doc_id, segment, count(*)")[0] + """
+ SELECT doc_id, segments, calls::BIGINT AS calls, coalesce(hits, 0) AS hits, coalesce(misses, 0) AS misses, failed FROM (SELECT doc_id, sum(calls) AS calls, count(DISTINCT block_idx) FILTER (failed) AS failed FROM judged GROUP BY doc_id)
+ JOIN (SELECT doc_id, count(DISTINCT segment) AS segments FROM pack GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS hits FROM matches GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS misses FROM misses GROUP BY doc_id) USING (doc_id)""",
+    "prompt_messages": """WITH b AS (SELECT *, last_value(CASE WHEN length(text) > 0 THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations)
+ SELECT conv_id, turn, 2 AS messages, concat_ws(chr(10) || chr(10), CASE WHEN turn % 2 = 0 THEN 'Mandatory terminology. Use exactly these target terms:' || chr(10) || '- "the" -> "der"' END,
+ CASE WHEN turn % 3 = 0 THEN 'IMPORTANT: the previous answer was rejected. Follow the ID, token and terminology rules exactly.' || CASE WHEN turn % 2 = 0 THEN ' Missing: "der" for "the"' ELSE '' END END,
+ CASE WHEN turn % 3 = 0 THEN 'Translate every line completely into German; leave nothing in English.' END,
+ 'Context (already translated, do not repeat it):' || chr(10) || 'Source: ' || before || chr(10) || 'Translation: ' || '> ' || before,
+ 'Translate every numbered line into German. Answer only in German.' || chr(10) || 'Text to translate:' || chr(10) || '[[1]] ' || text) AS user_message FROM b""",
+    "usage_table": c._EV + "SELECT * REPLACE (round(minutes, 1) AS minutes, replace(left(last_seen, 16), 'T', ' ') AS last_seen) FROM (" + c._TOTALS.format(more="") + ")",
     "term_match_single": c.ORACLES["glossary_match"],
     "usage_status_errors": c._EV + "SELECT status, count(*) AS jobs FROM ev WHERE event = 'job_end' GROUP BY status",
     "usage_user_colors": c._EV + ", " + c._FIRST + f'SELECT "user", [{_COLORS}][least(place, 8)] AS color FROM first',
