@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
+from termweave.operators import language
 from termweave.operators import units as un
+from termweave.operators._settled import settled
 
 #: Shortest text whose return without a change counts as a failure.
 MIN_CHARS = 40
@@ -129,3 +131,55 @@ def available(models: DataFrame, installed: DataFrame) -> DataFrame:
     """``models`` (tag) with installed: whether ``installed`` has the tag, in any case."""
     present = installed.select(F.lower("tag").alias("_tag")).distinct().withColumn("installed", F.lit(True))
     return models.join(present, F.lower("tag") == F.col("_tag"), "left").select(*models.columns, F.coalesce("installed", F.lit(False)).alias("installed"))
+
+
+#: Passes over what still reads as the source language.
+REVIEW_ROUNDS = 2
+
+
+def scores(outputs: DataFrame, counts: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
+    """``outputs`` (doc_id, unit_idx, text, output) with score: 2 untranslated, 1 with sentences of the source language, 0 clean.
+
+    Untranslated: no output, the text itself, or an output that reads as the source language. ``counts`` are trigram
+    counts by language. With one language for both only missing and unchanged outputs count.
+    """
+    same = F.col("output").isNull() | F.coalesce(unchanged(F.col("text"), F.col("output")), F.lit(False))
+    if source_lang == target_lang:
+        return outputs.withColumn("score", F.when(same, 2).otherwise(0))
+    keyed = outputs.where("output is not null").select(F.struct("doc_id", "unit_idx").alias("doc_id"), "text", "output")
+    pairs = keyed.select("doc_id", F.col("text").alias("source"), "output")
+    echo = language.looks_untranslated(pairs, counts, source_lang, target_lang)
+    mixed = language.has_source_sentence(keyed.select("doc_id", F.col("output").alias("text")), counts, source_lang)
+    judged = echo.join(mixed, "doc_id").select("doc_id.*", F.when(F.col("untranslated"), 2).when(F.col("has_sentence"), 1).otherwise(0).alias("_score"))
+    joined = outputs.join(judged, ["doc_id", "unit_idx"], "left")
+    return joined.select(*outputs.columns, F.when(same, 2).otherwise(F.coalesce("_score", F.lit(0))).alias("score"))
+
+
+def reviewed(outputs: DataFrame, model: Model, counts: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
+    """``outputs`` (doc_id, unit_idx, block_idx, text, output, calls, failed) after ``REVIEW_ROUNDS`` strict calls for each unit that isn't clean.
+
+    An answer replaces the output only if its score is lower. Each round starts from a checkpoint. Returns them with score; failed: still untranslated
+    and without any output that differs from the text.
+    """
+    counts, outputs = settled(counts), settled(outputs)
+    current = settled(scores(outputs, counts, source_lang, target_lang))
+    for _ in range(REVIEW_ROUNDS):
+        todo = F.col("score") > 0
+        asked = settled(current.where(todo).select("doc_id", "unit_idx", "text", model(F.col("text"), F.lit(True)).alias("output")))
+        again = scores(asked, counts, source_lang, target_lang).select("doc_id", "unit_idx", F.col("output").alias("_new"), F.col("score").alias("_new_score"))
+        joined = current.join(again, ["doc_id", "unit_idx"], "left")
+        better = F.coalesce(F.col("_new").isNotNull() & (F.col("_new_score") < F.col("score")), F.lit(False))
+        current = settled(joined.select(
+            *[x for x in outputs.columns if x not in ("output", "calls")],
+            F.when(better, F.col("_new")).otherwise(F.col("output")).alias("output"),
+            (F.col("calls") + todo.cast("int")).alias("calls"),
+            F.when(better, F.col("_new_score")).otherwise(F.col("score")).alias("score"),
+        ))
+    kept = F.col("output").isNotNull() & ~unchanged(F.col("text"), F.col("output"))
+    return current.withColumn("failed", ~kept).select(*outputs.columns, "score")
+
+
+def mixed_blocks(review: DataFrame) -> DataFrame:
+    """doc_id, block_idx of reviewed blocks with a translated unit that isn't clean, unless one of their units failed."""
+    blocks = review.groupBy("doc_id", "block_idx").agg(F.bool_or("failed").alias("failed"), F.bool_or(F.col("score") > 0).alias("flagged"))
+    return blocks.where("flagged and not failed").select("doc_id", "block_idx")
