@@ -86,6 +86,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impact_index import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -181,6 +199,77 @@ WITH RECURSIVE docs AS (
 SELECT z.doc_id, z.n AS n_shingles, min(r.at) AS component_id FROM sizes z JOIN reach r ON r.start = z.doc_id GROUP BY 1, 2
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, E' \t\n\f\r\v'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), shared AS (
+  SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+), marked AS (
+  SELECT keyed.*, shared.k IS NOT NULL AS dropped FROM keyed LEFT JOIN shared USING (k)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+_OP12 = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), totals AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), postings AS (
+  SELECT doc_id, term, n, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings CROSS JOIN totals GROUP BY term, n_docs
+), impacts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS impact
+  FROM postings JOIN weights USING (term) CROSS JOIN totals
+), scored AS (
+  SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored QUALIFY rank <= 50
+"""
+
+_OP13 = rf"""
+WITH bits AS (
+  SELECT i AS byte, list_reduce(range(8), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS entry FROM range(256) t(i)
+), crc_table AS (SELECT list(entry ORDER BY byte) AS t FROM bits
+), docs AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (SELECT unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), flat AS (SELECT doc_id, unnest(words) AS word FROM docs
+), vocabulary AS (SELECT word FROM flat UNION SELECT word FROM items
+), hashed AS (
+  SELECT word, xor(list_reduce(list_transform(range(length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT),
+    lambda c, byte: xor(c // 256, t[xor(c, byte) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM vocabulary CROSS JOIN crc_table
+), raw AS (SELECT bucket, count(*) AS s FROM flat JOIN hashed USING (word) GROUP BY bucket
+), target AS (SELECT bucket, count(*) AS t FROM items JOIN hashed USING (word) GROUP BY bucket
+), sums AS (SELECT (SELECT count(*) FROM flat) AS s_all, (SELECT count(*) FROM items) AS t_all
+), gains AS (
+  SELECT b AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) r(b) LEFT JOIN raw ON raw.bucket = b LEFT JOIN target ON target.bucket = b CROSS JOIN sums
+), weighed AS (
+  SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM flat JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN ((total - ((total % n) + n) % n) // n) ELSE 0 END AS weight,
+         floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || d.doc_id), 8))::BIGINT + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM docs d LEFT JOIN weighed w ON w.doc_id = d.doc_id
+), placed AS (
+  SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM placed
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree_top_k": op1_ball_tree_top_k,
     "op2_substring_dedup": op2_substring_dedup,
@@ -193,7 +282,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_impact_search": op12_impact_search,
+    "op13_importance_resampling": op13_importance_resampling,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op1_ball_tree_top_k": _OP1, "op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4, "op9_ngram_jaccard": _OP9}
+ORACLES: dict[str, str] = {"op1_ball_tree_top_k": _OP1, "op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4, "op9_ngram_jaccard": _OP9, "op11_line_dedup": _OP11, "op12_impact_search": _OP12, "op13_importance_resampling": _OP13}
