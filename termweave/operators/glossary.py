@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions.text import casefolded
@@ -28,6 +28,12 @@ def word_forms(terms: DataFrame) -> DataFrame:
     return terms.select("row", F.explode(F.transform(F.array(*[F.lit(s) for s in SUFFIXES]), lambda s: F.concat(casefolded(F.col("source")), s))).alias("form"))
 
 
+def target_pattern(term: Column, compound: bool) -> Column:
+    """A pattern for a term as it stands in a text: any case, with an ending or not; a compound word may end with it."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.concat(F.lit("(?iuU)" + ("" if compound else r"(?<!\w)")), literal, F.lit("(?:" + "|".join(s for s in SUFFIXES if s) + r")?(?!\w)"))
+
+
 def match_words(units: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, unit_idx, row, n: how often each single-word term stands in each unit, inflected or not.
 
