@@ -5,10 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from termweave.plans import catalogue, translation
+from termweave.plans import catalogue, jobs, translation
 
 TABLES = Path("/root/testdata/sf0.001")
-QUERIES, ORACLES = catalogue.QUERIES | translation.QUERIES, catalogue.ORACLES | translation.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | translation.QUERIES | jobs.QUERIES, catalogue.ORACLES | translation.ORACLES | jobs.ORACLES
 
 
 def canonical(rows):
