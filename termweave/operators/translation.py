@@ -97,7 +97,7 @@ def prompts(rows: DataFrame, system: str) -> DataFrame:
 
 def report(missed: DataFrame, outputs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, kind, detail, source, expected: missed terms and failed units (80 characters of each)."""
-    first = missed.join(outputs.select("doc_id", "unit_idx", "text"), ["doc_id", "unit_idx"]).join(F.broadcast(terms), "row")
+    first = missed.join(outputs.select("doc_id", "unit_idx", "text"), ["doc_id", "unit_idx"]).join(terms, "row")
     excerpt = F.substring(fn.without_tags(F.col("text")), 1, 80).alias("detail")
     return first.select("doc_id", F.lit("term").alias("kind"), excerpt, "source", F.col("target").alias("expected")).unionByName(outputs.where("failed").select("doc_id", F.lit("failed").alias("kind"), excerpt, F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("expected")))
 

@@ -181,8 +181,8 @@ QUERIES = {
     "preview_markdown": lambda s, d: results.previews(_blocks(s, d), _blocks(s, d).where("block_idx % 4 = 1")),
     "benchmark_fixture": lambda s, d: benchmark.fixture(s).drop("rows"),
     "output_scores": lambda s, d: tr.scores(_outputs(s, d), _counts(s, d), "en", "de").select("doc_id", "unit_idx", "score"),
-    "term_match_single": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS)),
-    "term_match_longest": lambda s, d: glossary.match_phrases(c._units(s, d), c._sheet(s, c.TERMS + PHRASES)),
+    "term_match_single": lambda s, d: glossary.match_terms(c._units(s, d), c._sheet(s, c.TERMS)),
+    "term_match_longest": lambda s, d: glossary.match_terms(c._units(s, d), c._sheet(s, c.TERMS + PHRASES)),
 }
 
 _NAME = r"(len(regexp_extract_all(text, '\p{L}+')) = 0 OR len(list_filter(regexp_extract_all(text, '\p{L}+'), lambda w: regexp_matches(w, '^\p{Lu}'))) * 10 >= len(regexp_extract_all(text, '\p{L}+')) * 7)"

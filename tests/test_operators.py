@@ -110,9 +110,9 @@ def test_structure_and_models(spark):
 def test_longest_phrase_claims(spark):
     sheet = spark.createDataFrame([(2, "board", "x"), (3, "board member", "y"), (4, "Member", "z"), (5, "", "w")], "row int, source string, target string")
     texts = spark.createDataFrame([(1, 0, "Board members met the boards; a board, member of it. board member"), (2, 0, "onboarding"), (3, 0, None)], "doc_id long, unit_idx int, text string")
-    got = glossary.match_phrases(texts, sheet).collect()
+    got = glossary.match_terms(texts, sheet).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 2, 2), (1, 0, 3, 2), (1, 0, 4, 1)]
-    assert glossary.match_phrases(texts, sheet.limit(0)).count() == 0
+    assert glossary.match_terms(texts, sheet.limit(0)).count() == 0
 
 
 def test_series_fold_beyond_the_slots(spark):

@@ -5,10 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from termweave.plans import catalogue, jobs, translation
+from termweave.plans import catalogue, jobs, texts, translation
 
 TABLES = Path("/root/testdata/sf0.001")
-QUERIES, ORACLES = catalogue.QUERIES | translation.QUERIES | jobs.QUERIES, catalogue.ORACLES | translation.ORACLES | jobs.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | translation.QUERIES | jobs.QUERIES | texts.QUERIES, catalogue.ORACLES | translation.ORACLES | jobs.ORACLES | texts.ORACLES
 
 
 def canonical(rows):
