@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from termweave.functions import inline
 from termweave.operators import glossary
 from termweave.plans import catalogue as c
 from termweave.plans import translation
@@ -22,10 +24,38 @@ def term_misses_compound(s: SparkSession, d: str) -> DataFrame:
     return glossary.missed_terms(c._matches(s, d), c._answers(c._units(s, d)), c._sheet(s, c.TERMS), compound=True)
 
 
-QUERIES = {"glossary_compound": glossary_compound, "term_misses_compound": term_misses_compound}
+def _marked(s: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as Markdown: of each twenty words four are strong, four emphasised, four code, four a link."""
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    lines = c.line_blocks(c._docs(s, d)).select("doc_id", "block_idx", words.alias("words")).where(F.size("words") > 0)
+
+    def group(start):
+        text, kind = F.array_join(F.slice("words", start + 1, 4), " "), F.pmod(start / 4, F.lit(5))
+        link = F.concat(F.lit("["), text, F.lit("](https://a.example/"), start.cast("string"), F.lit(' "title")'))
+        around = lambda mark: F.concat(F.lit(mark), text, F.lit(mark))
+        return F.when(kind == 0, around("**")).when(kind == 1, around("_")).when(kind == 2, around("`")).when(kind == 3, link).otherwise(text)
+
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(4))
+    return lines.select("doc_id", "block_idx", F.array_join(F.transform(starts, group), " ").alias("md"))
+
+
+def inline_runs(s: SparkSession, d: str) -> DataFrame:
+    return _marked(s, d).select("doc_id", "block_idx", F.posexplode(inline.runs(F.col("md"))).alias("at", "run")).select("doc_id", "block_idx", "at", "run.*")
+
+
+QUERIES = {"inline_runs": inline_runs, "glossary_compound": glossary_compound, "term_misses_compound": term_misses_compound}
 
 _ENDED = ", ".join(f"({row}, '{term}')" for row, term in ENDINGS)
 ORACLES = {
+    # what each group of words shows as; plain groups and the spaces between groups join
+    "inline_runs": c._BLOCKS + r""", w AS (SELECT doc_id, block_idx, regexp_extract_all(text, '\p{L}+') AS words FROM blocks WHERE regexp_matches(text, '\p{L}')),
+g AS (SELECT doc_id, block_idx, unnest(range(0, len(words), 4)) AS start, words FROM w),
+p AS (SELECT doc_id, block_idx, 2 * start AS pos, array_to_string(words[start + 1 : start + 4], ' ') AS text, (start // 4) % 5 AS kind, start FROM g
+ UNION ALL SELECT doc_id, block_idx, 2 * start + 1, ' ', 4, start FROM g WHERE start + 4 < len(words)),
+f AS (SELECT *, coalesce(lag(kind) OVER o = 4 AND kind = 4, false) AS more FROM p WINDOW o AS (PARTITION BY doc_id, block_idx ORDER BY pos)),
+n AS (SELECT *, sum(CASE WHEN more THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, block_idx ORDER BY pos) - 1 AS place FROM f)
+SELECT doc_id, block_idx::INTEGER AS block_idx, place::INTEGER AS at, string_agg(text, '' ORDER BY pos) AS text, kind = 0 AS bold, kind = 1 AS italic, kind = 2 AS code,
+ CASE WHEN kind = 3 THEN 'https://a.example/' || min(start) ELSE '' END AS href FROM n GROUP BY doc_id, block_idx, place, kind""",
     # all finds of one word end where it ends, so of each word the longest term stays
     "glossary_compound": c._UNITS + f""", terms(row, term) AS (VALUES {_ENDED}), forms AS (SELECT row, term, term || {c._FORMS} AS form FROM terms),
 words AS (SELECT doc_id, unit_idx, unnest(regexp_extract_all({c._FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM units),
