@@ -28,10 +28,11 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def detect(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, lang: the language whose profile's grams a text uses most often (ties: least code), null if none."""
-    hits = trigrams(docs.select("doc_id", "text")).join(F.broadcast(profile.select("lang", "gram")), "gram").groupBy("doc_id", "lang").agg(F.count("*").alias("hits"))
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("hits").desc(), "lang"))
-    return docs.select("doc_id").join(hits.withColumn("best", best).where("best = 1").select("doc_id", "lang"), "doc_id", "left")
+    """doc_id, lang for every row: the language whose profile's grams a text uses most often (ties: least code), null if none."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
+    hits = trigrams(keyed.select("_key", "text").distinct()).join(F.broadcast(profile.select("lang", "gram")), "gram").groupBy("_key", "lang").agg(F.count("*").alias("hits"))
+    best = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("hits").desc(), "lang"))
+    return keyed.select("doc_id", "_key").join(hits.withColumn("best", best).where("best = 1").select("_key", "lang"), "_key", "left").select("doc_id", "lang")
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -62,9 +63,9 @@ MIN_CHARS = 40
 
 def is_in_language(texts: DataFrame, counts: DataFrame, lang: str) -> DataFrame:
     """doc_id, in_language for every row of ``texts`` (doc_id, text): 40 characters or more that read as ``lang``."""
-    found = detect_bayes(texts, counts, None).withColumnRenamed("lang", "found")
-    long = texts.select("doc_id", (F.length("text") >= MIN_CHARS).alias("long")).distinct()
-    return found.join(long, "doc_id").select("doc_id", (F.coalesce("long", F.lit(False)) & F.coalesce(F.col("found") == lang, F.lit(False))).alias("in_language"))
+    long = F.coalesce(F.length("text") >= MIN_CHARS, F.lit(False))
+    found = detect_bayes(texts.select(F.struct("doc_id", long.alias("long")).alias("doc_id"), "text"), counts, None)
+    return found.select("doc_id.doc_id", (F.col("doc_id.long") & F.coalesce(F.col("lang") == lang, F.lit(False))).alias("in_language"))
 
 
 def looks_untranslated(pairs: DataFrame, counts: DataFrame, source_lang: str, target_lang: str) -> DataFrame:

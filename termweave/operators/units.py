@@ -8,14 +8,39 @@ from pyspark.sql import functions as F
 from termweave.functions import text as fn
 
 
+def _cells(blocks: DataFrame) -> Column:
+    """A block's texts: a table's cells in order of rows (``rows``, else its text cut at bars), other blocks' whole text."""
+    cells = F.flatten("rows") if "rows" in blocks.columns else F.split("text", r" \| ")
+    return F.when(F.col("kind") == "table", cells).otherwise(F.array("text"))
+
+
 def units(blocks: DataFrame) -> DataFrame:
-    """doc_id, unit_idx, block_idx, cell, text: table cells apart, other blocks whole; those with a letter."""
-    cells = F.when(F.col("kind") == "table", F.split("text", r" \| ")).otherwise(F.array("text"))
-    each = blocks.select("doc_id", "block_idx", F.posexplode(cells).alias("cell", "text")).where(F.col("text").rlike(r"\p{L}"))
+    """doc_id, unit_idx, block_idx, cell, text: table cells apart, other blocks whole; those with a letter.
+
+    Blocks with ``translate`` false (code, HTML) are left out; cells are numbered through a table's rows.
+    """
+    wanted = blocks.where("translate") if "translate" in blocks.columns else blocks
+    each = wanted.select("doc_id", "block_idx", F.posexplode(_cells(blocks)).alias("cell", "text")).where(F.col("text").rlike(r"\p{L}"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_idx", "cell")) - 1
     return each.select("doc_id", place.alias("unit_idx"), "block_idx", "cell", "text")
 
 
+def planned(blocks: DataFrame, limit: int = 3000, reads_as_target=None) -> DataFrame:
+    """doc_id, unit_idx, block_idx, cell, piece, text: ``units``, long ones cut between sentences, numbered anew.
+
+    ``reads_as_target`` (a function of a column) leaves out texts of 40 characters or more that are in the target
+    language already; it sees them without formatting tags.
+    """
+    found = units(blocks)
+    if reads_as_target is not None:
+        bare = fn.without_tags(F.col("text"))
+        found = found.where(~((F.length(bare) >= 40) & F.coalesce(reads_as_target(bare), F.lit(False))))
+    pieces = sentence_pieces(found, limit).withColumnRenamed("text", "_text")
+    each = found.drop("text").join(pieces, ["doc_id", "unit_idx"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_idx", "piece")) - 1
+    return each.select("doc_id", place.alias("unit_idx"), "block_idx", "cell", "piece", F.col("_text").alias("text"))
+
+
 def _packing(sizes: Column, limit: int, gap: int) -> Column:
     """Bin number of each size in order: a bin holds sizes up to ``limit`` (and ``gap`` between them)."""
     start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("bins"))
@@ -70,12 +95,22 @@ def joined_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def assemble(blocks: DataFrame, outputs: DataFrame) -> DataFrame:
-    """``blocks`` with texts from ``outputs`` (doc_id, block_idx, cell, text); cells without one keep their own text."""
-    cells = F.when(F.col("kind") == "table", F.split("text", r" \| ")).otherwise(F.array("text"))
-    each = blocks.select("doc_id", "block_idx", "kind", F.posexplode(cells).alias("cell", "source"))
-    joined = each.join(outputs.withColumnRenamed("text", "translated"), ["doc_id", "block_idx", "cell"], "left")
-    cell = F.struct("cell", F.coalesce("translated", "source").alias("text"))
-    return joined.groupBy("doc_id", "block_idx", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["text"]), " | ").alias("text"))
+    """``blocks`` with texts from ``outputs`` (doc_id, block_idx, cell, text); cells without one keep their own text.
+
+    Blocks with ``rows`` get their tables' rows back in shape, and keep their other columns.
+    """
+    shaped = "rows" in blocks.columns
+    each = blocks.select("doc_id", "block_idx", "kind", F.posexplode(_cells(blocks)).alias("cell", "source"))
+    joined = each.join(outputs.select("doc_id", "block_idx", "cell", F.col("text").alias("translated")), ["doc_id", "block_idx", "cell"], "left")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("translated", "source").alias("text")))), lambda c: c["text"])
+    if not shaped:
+        return joined.groupBy("doc_id", "block_idx", "kind").agg(F.array_join(texts, " | ").alias("text"))
+    said = joined.groupBy("doc_id", "block_idx").agg(texts.alias("_texts"))
+    whole = blocks.join(said, ["doc_id", "block_idx"], "left")
+    table = F.col("kind") == "table"
+    before = F.transform("rows", lambda _, i: F.aggregate(F.slice("rows", F.lit(1), i), F.lit(0), lambda n, r: n + F.size(r)))
+    row = lambda r, n: F.slice("_texts", n + 1, F.size(r))
+    return whole.withColumn("text", F.when(table, F.col("text")).otherwise(F.get("_texts", F.lit(0)))).withColumn("rows", F.when(table & (F.size("_texts") > 0), F.zip_with("rows", before, row)).otherwise(F.col("rows"))).select(*blocks.columns)
 
 
 def context_pairs(turns: DataFrame) -> DataFrame:

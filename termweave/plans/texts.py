@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import inline
-from termweave.operators import glossary
+from termweave.operators import glossary, job, units
+from termweave.operators._settled import new_folder
 from termweave.plans import catalogue as c
 from termweave.plans import translation
+from termweave.sources import files
+from termweave.streaming import usage
 
 # Terms that words of the documents end with; longer ones claim a word before shorter ones.
 ENDINGS = [(2, "and"), (3, "tion"), (4, "ation"), (5, "ing"), (6, "the"), (7, "able"), (8, "ble"), (9, "ción"), (10, "ung"), (11, "tionand")]
@@ -43,10 +46,66 @@ def inline_runs(s: SparkSession, d: str) -> DataFrame:
     return _marked(s, d).select("doc_id", "block_idx", F.posexplode(inline.runs(F.col("md"))).alias("at", "run")).select("doc_id", "block_idx", "at", "run.*")
 
 
-QUERIES = {"inline_runs": inline_runs, "glossary_compound": glossary_compound, "term_misses_compound": term_misses_compound}
+def usage_append(s: SparkSession, d: str) -> DataFrame:
+    """The events in four parts by time, the second one twice, appended by one start of the stream each, and read back."""
+    events = c._events(s, d)
+    folder = new_folder(s, "events")
+    seconds = F.unix_timestamp(F.to_timestamp("ts"))
+    cuts = events.select(seconds.alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01)
+    part = sum((seconds > F.lit(t)).cast("int") for t in cuts)
+    logged = events.withColumnRenamed("pos", "event_id").withColumn("part", part)
+    for n in (0, 1, 1, 2, 3):
+        logged.where(F.col("part") == n).drop("part").write.mode("append").json(f"{folder}/in")
+        usage.append_events(s, f"{folder}/in", f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return usage.read_appended(s, f"{folder}/log").select(F.col("event_id").alias("pos"), "ts", "event", "user", "status", "duration_s", "day")
+
+
+def read_files(s: SparkSession, d: str) -> DataFrame:
+    """A text file for each page, and one of a type that isn't read, read back as paragraphs and errors."""
+    pages, folder = c._read(s, d, "pages"), new_folder(s, "pages")
+    pages.select("page_id", "html").write.partitionBy("page_id").text(f"{folder}/plain")
+    pages.select("page_id", "url").write.partitionBy("page_id").json(f"{folder}/other")
+    read = files.read_files(s, folder)
+    return read.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "block_idx", "kind", "text", "error")
+
+
+def _tables(s: SparkSession, d: str) -> DataFrame:
+    """Blocks of document lines: every second line is a table of three words a row, every third of the others isn't translated."""
+    words = F.split("line", " ")
+    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(3))
+    table = F.col("block_idx") % 2 == 1
+    rows = F.when(table, F.transform(starts, lambda at: F.slice(words, at + 1, 3))).otherwise(F.array().cast("array<array<string>>"))
+    lines = c.line_blocks(c._docs(s, d)).withColumnRenamed("text", "line")
+    return lines.select("doc_id", "block_idx", F.when(table, "table").otherwise("paragraph").alias("kind"), F.when(table, "").otherwise(F.col("line")).alias("text"), rows.alias("rows"), (table | (F.col("block_idx") % 3 != 0)).alias("translate"))
+
+
+def plan_tables(s: SparkSession, d: str) -> DataFrame:
+    return units.planned(_tables(s, d), 100_000).select("doc_id", "unit_idx", "block_idx", "cell", "piece", "text")
+
+
+def assemble_tables(s: SparkSession, d: str) -> DataFrame:
+    """Blocks with the outputs of their units, of which every seventh failed."""
+    planned = units.planned(_tables(s, d), 100_000)
+    outputs = planned.withColumn("failed", F.col("unit_idx") % 7 == 3).withColumn("output", F.concat(F.lit("> "), "text"))
+    shown = job.translated_blocks(_tables(s, d), outputs)
+    return shown.select("doc_id", "block_idx", "text", F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n").alias("table"))
+
+
+QUERIES = {"usage_append": usage_append, "read_files": read_files, "plan_tables": plan_tables, "assemble_tables": assemble_tables, "inline_runs": inline_runs, "glossary_compound": glossary_compound, "term_misses_compound": term_misses_compound}
 
 _ENDED = ", ".join(f"({row}, '{term}')" for row, term in ENDINGS)
+_CELLS = c._BLOCKS + r""", b AS (SELECT doc_id, block_idx, block_idx % 2 = 1 AS is_table, text, block_idx % 2 = 1 OR block_idx % 3 <> 0 AS translate FROM blocks),
+cells AS (SELECT doc_id, block_idx, translate, is_table, unnest(CASE WHEN is_table THEN string_split(text, ' ') ELSE [text] END) AS text, unnest(range(len(CASE WHEN is_table THEN string_split(text, ' ') ELSE [text] END))) AS cell FROM b),
+planned AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx, cell) - 1 AS unit_idx FROM cells WHERE translate AND regexp_matches(text, '\p{L}')) """
 ORACLES = {
+    "usage_append": c._EV + 'SELECT pos, ts, event, "user", status, duration_s, ts[:10] AS day FROM ev',
+    "read_files": r"""WITH p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(coalesce(html, ''), '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM pages)
+SELECT page_id, unnest(range(len(parts)))::INTEGER AS block_idx, 'paragraph' AS kind, unnest(parts) AS text, NULL::VARCHAR AS error FROM p
+UNION ALL SELECT page_id, NULL, NULL, NULL, 'the file has no text' FROM p WHERE len(parts) = 0 UNION ALL SELECT page_id, NULL, NULL, NULL, 'file type ''.json'' is not supported' FROM p""",
+    "plan_tables": _CELLS + "SELECT doc_id, unit_idx::INTEGER AS unit_idx, block_idx::INTEGER AS block_idx, cell::INTEGER AS cell, 0 AS piece, text FROM planned",
+    "assemble_tables": _CELLS + """, said AS (SELECT c.*, CASE WHEN unit_idx IS NOT NULL AND unit_idx % 7 <> 3 THEN '> ' || c.text ELSE c.text END AS shown FROM cells c LEFT JOIN planned p ON p.doc_id = c.doc_id AND p.block_idx = c.block_idx AND p.cell = c.cell)
+SELECT doc_id, block_idx::INTEGER AS block_idx, CASE WHEN is_table THEN '' ELSE min(shown) END AS text,
+ CASE WHEN is_table THEN string_agg(CASE WHEN cell = 0 THEN '' WHEN cell % 3 = 0 THEN chr(10) ELSE ' | ' END || shown, '' ORDER BY cell) ELSE '' END AS "table" FROM said GROUP BY doc_id, block_idx, is_table""",
     # what each group of words shows as; plain groups and the spaces between groups join
     "inline_runs": c._BLOCKS + r""", w AS (SELECT doc_id, block_idx, regexp_extract_all(text, '\p{L}+') AS words FROM blocks WHERE regexp_matches(text, '\p{L}')),
 g AS (SELECT doc_id, block_idx, unnest(range(0, len(words), 4)) AS start, words FROM w),

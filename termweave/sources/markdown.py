@@ -181,14 +181,16 @@ def parse(text: str) -> list[dict]:
 
 
 def markdown_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of every document (doc_id, text): ``BLOCK_SCHEMA``. A null or blank text has none; other columns aren't read."""
+    """Blocks of every document (doc_id, a number or a name, and text): ``BLOCK_SCHEMA``. A null or blank text has none; other columns aren't read."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [{"doc_id": i, "block_idx": n, **block} for i, text in zip(batch["doc_id"], batch["text"], strict=True) if text for n, block in enumerate(parse(text))]
             yield pd.DataFrame(rows, columns=["doc_id", "block_idx", "kind", "text", "level", "depth", "ordered", "rows", "info", "translate"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(parsed, BLOCK_SCHEMA)
+    names = docs.schema["doc_id"].dataType.simpleString() == "string"
+    kind = "string" if names else "bigint"
+    return docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text").mapInPandas(parsed, BLOCK_SCHEMA.replace("doc_id bigint", f"doc_id {kind}"))
 
 
 def has_text(blocks: DataFrame) -> DataFrame:

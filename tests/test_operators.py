@@ -1,9 +1,11 @@
+import json
+
 from pyspark.sql import functions as F
 
 from termweave.functions import text as fn
 from termweave.operators import glossary, layout, translation, units, usage
 from termweave.sources.documents import line_blocks, read_usage_log, text_paragraphs
-from termweave.streaming.usage import daily_jobs, read_usage_stream, to_memory
+from termweave.streaming.usage import append_events, daily_jobs, read_appended, read_usage_stream, to_files
 
 
 def test_blocks_and_units(spark):
@@ -60,9 +62,26 @@ def test_usage(spark, tmp_path):
     assert [(r.user, r.jobs, r.minutes, r.errors) for r in row] == [("a", 1, 1.5, 1)]
     assert usage.kpis(events).first().failed_sign_ins == 1
     assert usage.totals(usage.since(events, "2024-01-10T00:00:00+00:00", 2)).count() == 0
-    query = to_memory(daily_jobs(read_usage_stream(spark, str(log))), "daily_jobs", str(tmp_path / "cp"))
-    query.awaitTermination()
-    assert [(r.day, r.user, r.value) for r in spark.table("daily_jobs").collect()] == [("2024-01-02", "a", 1)]
+    # a day is counted once it is closed: when an event comes that is later than it by more than allowed
+    (log / "b.json").write_text('{"ts":"2024-01-09T00:00:00+00:00","event":"job_start","user":"b"}\n')
+    to_files(daily_jobs(read_usage_stream(spark, str(log))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [(str(r.day), r.user, r.value) for r in spark.read.json(str(tmp_path / "out")).collect()] == [("2024-01-02", "a", 1)]
+
+
+def test_events_are_appended_once(spark, tmp_path):
+    """Repeats in one start of the stream or a later one are dropped, and so is what comes too late or can't be told."""
+    log, out, checkpoint = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "cp")
+    log.mkdir()
+    line = lambda i, ts, **more: json.dumps({"event_id": i, "ts": ts, "event": "job_end", "user": "a", **more}) + "\n"
+    (log / "a.json").write_text(line(1, "2024-01-02T10:00:00+00:00", duration_s=2.5) + line(1, "2024-01-02T10:00:00+00:00") + line(2, "2024-01-02T11:00:00+00:00") + "{broken\n" + line(None, "2024-01-02T11:00:00+00:00") + line(7, "no time"))
+    append_events(spark, str(log), out, checkpoint).awaitTermination()
+    (log / "b.json").write_text(line(2, "2024-01-02T11:00:00+00:00") + line(3, "2024-01-05T00:00:00+00:00"))
+    append_events(spark, str(log), out, checkpoint).awaitTermination()
+    (log / "c.json").write_text(line(4, "2024-01-02T12:00:00+00:00") + line(5, "2024-01-04T12:00:00+00:00") + line(3, "2024-01-05T00:00:00+00:00"))
+    append_events(spark, str(log), out, checkpoint).awaitTermination()
+    append_events(spark, str(log), out, checkpoint).awaitTermination()
+    got = sorted((r.event_id, r.day) for r in read_appended(spark, out).collect())
+    assert got == [(1, "2024-01-02"), (2, "2024-01-02"), (3, "2024-01-05"), (5, "2024-01-04")]
 
 
 def test_layout(spark):
