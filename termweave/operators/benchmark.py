@@ -42,8 +42,13 @@ def _sentence(n: Column) -> Column:
 
 
 def fixture(spark: SparkSession, pages: int = 10, doc_id: int = 1) -> DataFrame:
-    """Blocks of the document: on every page a heading and six paragraphs, on every third one a table. Pages are independent rows."""
-    page = spark.range(1, pages + 1).select(F.col("id").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(PARAGRAPHS + 1))).alias("at"))
+    """Blocks of a document of ``pages`` pages (``fixture_pages``)."""
+    return fixture_pages(spark.range(1, pages + 1).select(F.lit(doc_id).alias("doc_id"), F.col("id").alias("page")))
+
+
+def fixture_pages(pages: DataFrame) -> DataFrame:
+    """Blocks of ``pages`` (doc_id, page from 1): on each a heading and six paragraphs, on every third one a table. Pages are independent rows."""
+    page = pages.select("doc_id", F.col("page").cast("long").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(PARAGRAPHS + 1))).alias("at"))
     rows = page.where((F.col("at") <= PARAGRAPHS) | (F.col("page") % TABLE_EVERY == 0))
     first = ((F.col("page") - 1) * PARAGRAPHS + F.col("at") - 1) * PER_PARAGRAPH
     paragraph = F.array_join(F.transform(F.sequence(first, first + PER_PARAGRAPH - 1), _sentence), " ")
@@ -51,7 +56,7 @@ def fixture(spark: SparkSession, pages: int = 10, doc_id: int = 1) -> DataFrame:
     place = (F.col("page") - 1) * (PARAGRAPHS + 1) + F.floor((F.col("page") - 1) / TABLE_EVERY) + F.col("at")
     cells = F.array(*[F.array(*[F.lit(c) for c in row]) for row in TABLE])
     return rows.select(
-        F.lit(doc_id).cast("long").alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         place.cast("int").alias("block_idx"),
         F.when(heading, "heading").when(table, "table").otherwise("paragraph").alias("kind"),
         F.when(heading, F.format_string(HEADING, "page")).when(table, "").otherwise(paragraph).alias("text"),

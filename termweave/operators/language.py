@@ -1,12 +1,64 @@
-"""Language identification by character trigrams, profiles counted by Spark."""
+"""Language identification by character trigrams, profiles counted by Spark.
+
+Texts are cut to trigrams in Arrow batches, with numpy over many texts at once: what leaves a batch are its sums, not a
+row for each character.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Trigrams of a language that its profile keeps: the most frequent ones.
 PROFILE = 300
+#: Trigrams up to which a table of them is sent to all tasks; with more, texts meet it by a join.
+SENT_GRAMS = 300_000
+#: Characters that are cut at once.
+_CHUNK = 1 << 20
+
+
+def _lowered(prefix: int | None) -> Column:
+    whole = F.coalesce("text", F.lit(""))
+    return F.lower(whole if prefix is None else F.substring(whole, 1, prefix))
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of texts: each trigram as a number of three code points, and the place of its text, in parts of some ``_CHUNK``."""
+    held: list[tuple[int, str]] = []
+    size = 0
+
+    def cut() -> tuple[np.ndarray, np.ndarray]:
+        points = np.frombuffer("".join(t for _, t in held).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(held)), [len(t) for _, t in held])
+        whole = owner[2:] == owner[:-2]
+        grams = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[whole]
+        return grams, np.array([n for n, _ in held])[owner[2:][whole]]
+
+    for n, text in enumerate(texts):
+        for start in range(0, max(1, len(text) - 2), _CHUNK):
+            part = text[start : start + _CHUNK + 2]
+            held.append((n, part))
+            size += len(part)
+            if size >= _CHUNK:
+                yield cut()
+                held, size = [], 0
+    if size > 2:
+        yield cut()
+
+
+def _number(gram: str) -> int:
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
+
+
+def _gram(number: int) -> str:
+    return chr(number >> 42) + chr(number >> 21 & 0x1FFFFF) + chr(number & 0x1FFFFF)
 
 
 def trigrams(docs: DataFrame, prefix: int | None = 2000) -> DataFrame:
@@ -27,17 +79,69 @@ def profiles(docs: DataFrame) -> DataFrame:
     return gram_counts(docs).withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "gram", "n", "rank")
 
 
+def _judged(docs: DataFrame, prefix: int | None, langs: list[str], grams: dict[str, list[float]], each: list[float], seen: bool) -> DataFrame:
+    """doc_id, lang for every row: the language of the highest score, ties to the least code.
+
+    A language's score sums its column of ``grams`` over a text's trigrams, and ``each`` for every trigram. Texts without
+    trigrams have none, nor, if ``seen``, those none of whose trigrams is in ``grams``.
+    """
+    numbers = np.array([_number(g) for g in grams], np.int64)
+    order = np.argsort(numbers)
+    weights = np.array(list(grams.values()), float).reshape(len(numbers), len(langs))[order]
+    table = docs.sparkSession.sparkContext.broadcast((numbers[order], weights))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weigh = table.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            scores, n, hits = np.zeros((len(texts), len(langs))), np.zeros(len(texts)), np.zeros(len(texts))
+            for found, owner in _chunks(texts):
+                n += np.bincount(owner, minlength=len(texts))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    here = known[at] == found
+                    at, owner = at[here], owner[here]
+                    hits += np.bincount(owner, minlength=len(texts))
+                    for i in range(len(langs)):
+                        scores[:, i] += np.bincount(owner, weights=weigh[at, i], minlength=len(texts))
+            total = np.round(scores + n[:, None] * np.array(each), 6)
+            judged = (hits if seen else n) > 0
+            best = [langs[i] if ok else None for i, ok in zip(total.argmax(axis=1), judged)] if langs else [None] * len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string())], ["doc_id", "lang"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", _lowered(prefix).alias("text")).mapInArrow(task, f"doc_id {kind}, lang string")
+
+
 def detect(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, lang for every row: the language whose profile's grams a text uses most often (ties: least code), null if none."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
-    hits = trigrams(keyed.select("_key", "text").distinct()).join(F.broadcast(profile.select("lang", "gram")), "gram").groupBy("_key", "lang").agg(F.count("*").alias("hits"))
-    best = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("hits").desc(), "lang"))
-    return keyed.select("doc_id", "_key").join(hits.withColumn("best", best).where("best = 1").select("_key", "lang"), "_key", "left").select("doc_id", "lang")
+    """doc_id, lang for every row: the language whose profile's grams a text uses most often (ties: least code), null if none.
+
+    ``profile`` has ``PROFILE`` grams a language at most, so it is sent to all tasks.
+    """
+    rows = profile.select("lang", "gram").collect()
+    langs = sorted({r["lang"] for r in rows})
+    grams: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(langs))
+    for r in rows:
+        grams[r["gram"]][langs.index(r["lang"])] = 1.0
+    return _judged(docs, 2000, langs, grams, [0.0] * len(langs), True)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: how often each language's whole texts use each trigram; texts without a language don't count."""
-    return trigrams(docs.where("lang is not null").select("lang", "text"), None).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    """lang, gram, n: how often each language's whole texts use each trigram; texts without a language don't count.
+
+    A batch sends a row for each trigram and language that it holds.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, code = np.unique(batch.column(0).to_pylist(), return_inverse=True)
+            for found, owner in _chunks(batch.column(1).to_pylist()):
+                for i, lang in enumerate(langs):
+                    grams, n = np.unique(found[code[owner] == i], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(grams), pa.string()), pa.array([_gram(g) for g in grams.tolist()], pa.string()), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+    cut = docs.where("lang is not null").select("lang", _lowered(None).alias("text")).mapInArrow(task, "lang string, gram string, n bigint")
+    return cut.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def detect_bayes(docs: DataFrame, counts: DataFrame, prefix: int | None = 2000) -> DataFrame:
@@ -46,6 +150,20 @@ def detect_bayes(docs: DataFrame, counts: DataFrame, prefix: int | None = 2000)
     Ties go to the least code; a text without trigrams has none. Of a text the first ``prefix`` characters are judged.
     A language's score is that of unseen trigrams alone, and what each trigram that it has seen adds to it.
     """
+    rows = counts.select("lang", "gram", "n").limit(SENT_GRAMS + 1).collect()
+    if len(rows) <= SENT_GRAMS:
+        langs = sorted({r["lang"] for r in rows})
+        grams: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(langs))
+        totals = dict.fromkeys(langs, 0)
+        for r in rows:
+            grams[r["gram"]][langs.index(r["lang"])] = math.log(2 * r["n"] + 1)
+            totals[r["lang"]] += r["n"]
+        return _judged(docs, prefix, langs, grams, [math.log(0.5 / (totals[x] + len(grams) / 2)) for x in langs], False)
+    return _joined_bayes(docs, counts, prefix)
+
+
+def _joined_bayes(docs: DataFrame, counts: DataFrame, prefix: int | None) -> DataFrame:
+    """``detect_bayes`` where the counts are too many to be sent: trigrams of the texts meet them by a join."""
     distinct = counts.agg(F.count_distinct("gram").alias("distinct"))
     unseen = counts.groupBy("lang").agg(F.sum("n").alias("all")).crossJoin(distinct).select("lang", F.log(F.lit(0.5) / (F.col("all") + F.col("distinct") / 2)).alias("unseen"))
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))

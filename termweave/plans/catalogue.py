@@ -12,8 +12,6 @@ from termweave.operators import glossary, language, layout, units, usage
 from termweave.sources.documents import line_blocks, usage_events
 
 NOW = "2024-01-31T00:00:00+00:00"
-# A sheet of terms with a duplicate, a conflict, an empty cell and a blank row.
-SHEET = [(2, "the", "der"), (3, "and", "und"), (4, "that", "dass"), (5, "for", "für"), (6, "was", "war"), (7, "with", "mit"), (8, "The", "der"), (9, "of", "von"), (10, "OF", "aus"), (11, "this", ""), (12, "", ""), (13, "from", "von")]
 TERMS = [(2, "the", "der"), (3, "and", "und"), (4, "that", "dass"), (5, "for", "für"), (6, "was", "war"), (7, "with", "mit")]
 
 
@@ -37,6 +35,14 @@ def _sheet(spark: SparkSession, rows: list) -> DataFrame:
     return spark.createDataFrame(rows, "row int, source string, target string")
 
 
+def _part_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of parts: the first word of a name, and a brand or nothing; it has repeats, conflicts and empty cells."""
+    word = F.regexp_extract("p_name", r"^\s*([^ ]*)", 1)
+    source = F.when(F.col("p_size") == 7, "").when(F.col("p_size") % 2 == 0, F.upper(word)).otherwise(F.concat(F.lit(" "), F.substring("p_name", 1, 12)))
+    target = F.when(F.col("p_size") % 11 == 0, " ").otherwise(F.col("p_brand"))
+    return _read(spark, sf_dir, "part").select((F.col("p_partkey") + 1).cast("int").alias("row"), source.alias("source"), target.alias("target"))
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.match_words(_units(spark, sf_dir), _sheet(spark, TERMS))
 
@@ -119,6 +125,12 @@ g AS (SELECT doc_id, {_CUT.format("substr(text, 1, 2000)")} AS gram FROM documen
 hits AS (SELECT g.doc_id, p.lang, count(*) AS hits FROM g JOIN profiles p USING (gram) GROUP BY ALL),
 best AS (SELECT doc_id, lang FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) = 1) """
 
+_SHEET = r"""WITH sheet AS (SELECT p_partkey + 1 AS row, trim(CASE WHEN p_size = 7 THEN '' WHEN p_size % 2 = 0 THEN upper(regexp_extract(p_name, '^\s*([^ ]*)', 1)) ELSE ' ' || substr(p_name, 1, 12) END) AS source,
+ trim(CASE WHEN p_size % 11 = 0 THEN ' ' ELSE p_brand END) AS target FROM part), filled AS (SELECT *, lower(source) AS k FROM sheet WHERE source <> '' AND target <> ''),
+groups AS (SELECT k, count(DISTINCT target) AS targets, min(row) AS first FROM filled GROUP BY k),
+issues AS (SELECT row, source, target, CASE WHEN targets > 1 THEN 'conflict' WHEN row > first THEN 'duplicate' END AS issue FROM filled JOIN groups USING (k)
+ UNION ALL SELECT row, source, target, 'empty_cell' FROM sheet WHERE (source = '') <> (target = '')) """
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_totals": lambda s, d: usage.totals(_events(s, d)),
     "usage_since": lambda s, d: usage.totals(usage.since(_events(s, d), NOW, 7)),
@@ -134,8 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentence_pieces": lambda s, d: units.sentence_pieces(_units(s, d), 300).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars")),
     "protect_roundtrip": lambda s, d: _docs(s, d).select("doc_id", F.size(fn.protected(F.col("text"))[1]).alias("n_spans"), (fn.restored(*fn.protected(F.col("text"))) == F.col("text")).alias("same")),
     "wire_last_per_id": lambda s, d: units.last_per_run(units.wire_lines(_read(s, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit("lead\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: F.concat(F.lit("[["), F.floor(t["turn"] / 2).cast("string"), F.lit("]] "), t["text"])), "\n")).alias("raw")).withColumnRenamed("conv_id", "key"))).select("key", "id"),
-    "glossary_entries": lambda s, d: glossary.checked(_sheet(s, SHEET)).where("issue is null").select("row", "source", "target"),
-    "glossary_issues": lambda s, d: glossary.checked(_sheet(s, SHEET)).where("issue is not null").select("row", "issue"),
+    "glossary_entries": lambda s, d: glossary.checked(_part_sheet(s, d)).where("issue is null").select("row", "source", "target"),
+    "glossary_issues": lambda s, d: glossary.checked(_part_sheet(s, d)).where("issue is not null").select("row", "issue"),
     "glossary_match": _matches,
     "term_misses": term_misses,
     "term_hit_rate": term_hit_rate,
@@ -171,8 +183,8 @@ ORACLES: dict[str, str] = {
  UNION ALL SELECT u.doc_id, u.unit_idx, CASE WHEN used + length(u.text) <= 1500 THEN segment ELSE segment + 1 END, CASE WHEN used + length(u.text) <= 1500 THEN used + length(u.text) ELSE length(u.text) END
  FROM pack p JOIN units u ON u.doc_id = p.doc_id AND u.unit_idx = p.unit_idx + 1)
  SELECT doc_id, segment, count(*) AS n_units, sum(length(text))::BIGINT AS chars FROM pack JOIN units USING (doc_id, unit_idx) GROUP BY ALL""",
-    "glossary_entries": "SELECT row::INTEGER AS row, source, target FROM (VALUES (2, 'the', 'der'), (3, 'and', 'und'), (4, 'that', 'dass'), (5, 'for', 'für'), (6, 'was', 'war'), (7, 'with', 'mit'), (13, 'from', 'von')) t(row, source, target)",
-    "glossary_issues": "SELECT row::INTEGER AS row, issue FROM (VALUES (8, 'duplicate'), (9, 'conflict'), (10, 'conflict'), (11, 'empty_cell')) t(row, issue)",
+    "glossary_entries": _SHEET + "SELECT row::INTEGER AS row, source, target FROM issues WHERE issue IS NULL",
+    "glossary_issues": _SHEET + "SELECT row::INTEGER AS row, issue FROM issues WHERE issue IS NOT NULL",
     "glossary_match": _MATCH + "SELECT doc_id, unit_idx::INTEGER AS unit_idx, row::INTEGER AS row, n FROM matches",
     "term_misses": _MISSES + "SELECT doc_id, unit_idx::INTEGER AS unit_idx, row::INTEGER AS row FROM misses",
     "term_hit_rate": _MISSES + ", h AS (SELECT row, count(*) AS hits FROM matches GROUP BY row), m AS (SELECT row, count(*) AS missed FROM misses GROUP BY row) SELECT row::INTEGER AS row, hits, coalesce(missed, 0) AS missed, round((hits - coalesce(missed, 0)) / hits, 6) AS hit_rate FROM h LEFT JOIN m USING (row)",

@@ -14,9 +14,6 @@ from termweave.sources import markdown
 from termweave.sources.documents import line_blocks
 
 SYSTEM = "Translate each line."
-# Models of a registry and tags that are installed.
-MODELS = [("small", "Alpha:1b"), ("medium", "beta:4b"), ("large", "gamma:9b")]
-INSTALLED = [("alpha:1B",), ("GAMMA:9b",), ("other",)]
 # Terms of two words beside the single ones.
 PHRASES = [(20, "and the", "und der"), (21, "for the", "für den"), (22, "was the", "war der")]
 # Colours of a chart's series, in order.
@@ -45,7 +42,8 @@ def _missed(s: SparkSession, d: str) -> DataFrame:
 
 def _structure(s: SparkSession, d: str) -> DataFrame:
     blocks = line_blocks(c._docs(s, d))
-    return tr.same_structure(blocks, blocks.where("not (doc_id % 5 = 0 and block_idx = 1)"))
+    other = blocks.where("not (doc_id % 5 = 0 and block_idx = 1)").withColumn("text", F.when(F.col("doc_id") % 7 == 3, F.replace("text", F.lit(" | "), F.lit(" "))).otherwise(F.col("text")))
+    return tr.same_structure(blocks, other)
 
 
 def _pieces(s: SparkSession, d: str) -> DataFrame:
@@ -58,6 +56,19 @@ def _tagged(s: SparkSession, d: str) -> DataFrame:
     return tr.tagged(_pieces(s, d)).select("key.conv_id", "key.turn", "text")
 
 
+def _spoilt(text: Column) -> Column:
+    """Tagged texts, of which every third lost its last tag, and every other third closes two tags in the wrong order."""
+    cut = F.regexp_replace(text, r"</?(?:a[0-9]+|b|i|u)>([^<]*)$", "$1")
+    return F.when(F.col("turn") % 3 == 0, cut).when(F.col("turn") % 3 == 1, F.replace(text, F.lit("</i></b>"), F.lit("</b></i>"))).otherwise(text)
+
+
+def _models(s: SparkSession, d: str) -> DataFrame:
+    """Nations as models; installed are those of customers with much money, in small letters."""
+    nations = c._read(s, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("tag"))
+    rich = c._read(s, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("key"))
+    return tr.available(nations, nations.join(rich, "key").select(F.lower("tag").alias("tag")))
+
+
 def _prompts(s: SparkSession, d: str) -> DataFrame:
     turns = c._read(s, d, "conversations")
     rows = turns.select("conv_id", "turn", F.col("text").alias("body"), F.when(F.col("turn") % 2 == 0, "the = der").alias("terms")).join(un.context_pairs(turns), ["conv_id", "turn"])
@@ -159,9 +170,102 @@ QUERIES = {
     "report_rows": _missed,
     "same_structure": _structure,
     "tags_encode": _tagged,
-    "tags_valid": lambda s, d: _tagged(s, d).select("conv_id", "turn", fn.tags_balanced(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<u>"), F.col("text"))).otherwise(F.col("text"))).alias("ok")),
+    "tags_valid": lambda s, d: _tagged(s, d).select("conv_id", "turn", fn.tags_balanced(_spoilt(F.col("text"))).alias("ok")),
+    "tags_strip": lambda s, d: _tagged(s, d).select("conv_id", "turn", fn.without_tags(F.col("text")).alias("text")),
+    "model_availability": _models,
+    "skip_target_language": _foreign,
+    "skip_target_language_whole": _foreign_whole,
+    "is_in_language": lambda s, d: language.is_in_language(c._docs(s, d), _counts(s, d), "en"),
+    "looks_untranslated": lambda s, d: language.looks_untranslated(_answered(s, d), _counts(s, d), "en", "de"),
+    "has_source_sentence": lambda s, d: language.has_source_sentence(c._docs(s, d), _counts(s, d), "en"),
+    "markdown_parse": lambda s, d: _blocks(s, d).drop("rows"),
+    "markdown_numbering": lambda s, d: markdown.numbered(_blocks(s, d)).where("kind = 'list_item'").select("doc_id", "block_idx", "depth", "ordered", "number"),
+    "markdown_roundtrip": _roundtrip,
+    "markdown_has_text": lambda s, d: markdown.has_text(_blocks(s, d)),
+    "tags_decode": _decoded_tags,
+    "emphasis": lambda s, d: c._read(s, d, "part").select("p_partkey", fn.emphasised(F.concat(F.lit("  "), "p_name", F.lit(" ")), F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0).alias("md")),
+    "file_names": _files,
+    "report_csv": _report_csv,
+    "run_metrics": _run_metrics,
+    "prompt_messages": _full_prompts,
+    "usage_table": lambda s, d: results.usage_table(usage.totals(c._events(s, d))),
+    "preview_markdown": lambda s, d: results.previews(_blocks(s, d), _blocks(s, d).where("block_idx % 4 = 1")),
+    "benchmark_fixture": lambda s, d: benchmark.fixture_pages(c._read(s, d, "pages").select(F.lit(1).alias("doc_id"), (F.col("page_id") + 1).alias("page"))).drop("rows"),
+    "output_scores": lambda s, d: tr.scores(_outputs(s, d), _counts(s, d), "en", "de").select("doc_id", "unit_idx", "score"),
+    "term_match_single": lambda s, d: glossary.match_terms(c._units(s, d), c._sheet(s, c.TERMS)),
+    "term_match_longest": lambda s, d: glossary.match_terms(c._units(s, d), c._sheet(s, c.TERMS + PHRASES)),
+}
+
+_NAME = r"(len(regexp_extract_all(text, '\p{L}+')) = 0 OR len(list_filter(regexp_extract_all(text, '\p{L}+'), lambda w: regexp_matches(w, '^\p{Lu}'))) * 10 >= len(regexp_extract_all(text, '\p{L}+')) * 7)"
+_OUT = f""", long AS (SELECT *, length(text) >= 40 AND NOT {_NAME} AS counts FROM units),
+outputs AS (SELECT *, CASE WHEN doc_id % 7 = 0 AND NOT (counts AND doc_id % 2 = 0) THEN text WHEN doc_id % 7 = 0 AND doc_id % 11 = 0 THEN text WHEN doc_id % 11 <> 0 THEN '> ' || text END AS output FROM long),
+judged AS (SELECT *, CASE WHEN (doc_id % 7 = 0 AND counts) OR (doc_id % 7 <> 0 AND doc_id % 11 = 0) THEN 2 ELSE 1 END AS calls, output IS NULL OR (counts AND output = text) AS failed FROM outputs) """
+_WORDS = """WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) || ' ' AS text, unnest(range(len(string_split(text, ' ')))) AS pos FROM conversations),
+f AS (SELECT *, (pos // 6) % 3 = 1 AS link, (pos // 3) % 2 = 1 AS bold, (pos // 4) % 3 = 1 AS italic FROM w),
+e AS (SELECT *, NOT coalesce(lag(link) OVER o = link, false) AS nl, NOT coalesce(lag(link) OVER o = link AND lag(bold) OVER o = bold AND lag(italic) OVER o = italic, false) AS nr,
+ NOT coalesce(lead(link) OVER o = link, false) AS el, NOT coalesce(lead(link) OVER o = link AND lead(bold) OVER o = bold AND lead(italic) OVER o = italic, false) AS er FROM f WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos)),
+t AS (SELECT conv_id, turn, string_agg(CASE WHEN nl AND link THEN '<a1>' ELSE '' END || CASE WHEN nr AND bold THEN '<b>' ELSE '' END || CASE WHEN nr AND italic THEN '<i>' ELSE '' END || text
+ || CASE WHEN er AND italic THEN '</i>' ELSE '' END || CASE WHEN er AND bold THEN '</b>' ELSE '' END || CASE WHEN el AND link THEN '</a1>' ELSE '' END, '' ORDER BY pos) AS text FROM e GROUP BY ALL) """
+_COLORS = ", ".join(f"'{p}'" for p in PALETTE)
+_PACKED = c.ORACLES["pack_segments"].split(" SELECT doc_id, segment, count(*)")[0]
+
+_BAYES = r"""WITH counts AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
+totals AS (SELECT lang, ln(0.5 / (sum(n) + (SELECT count(DISTINCT gram) FROM counts) / 2)) AS unseen FROM counts GROUP BY lang),
+asked AS ({asked}),
+grams AS (SELECT doc_id, gram, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, length(lower(t)) - 1), lambda i: substr(lower(t), i, 3))) AS gram FROM asked) GROUP BY ALL),
+seen AS (SELECT doc_id, lang, sum(c * ln(2 * n + 1)) AS seen FROM grams JOIN counts USING (gram) GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(c) AS c FROM grams GROUP BY doc_id),
+found AS (SELECT doc_id, lang FROM sizes CROSS JOIN totals LEFT JOIN seen USING (doc_id, lang) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c * unseen + coalesce(seen, 0), 6) DESC, lang) = 1) """
+
+ORACLES = {
+    "is_in_language": _BAYES.format(asked="SELECT doc_id, text AS t FROM documents") + "SELECT d.doc_id, length(text) >= 40 AND coalesce(f.lang = 'en', false) AS in_language FROM documents d LEFT JOIN found f USING (doc_id)",
+    "looks_untranslated": _BAYES.format(asked=r"SELECT doc_id, substr(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || replace(text, ' ', chr(10) || ' ') ELSE regexp_replace(text, '\p{L}', '7', 'g') END, 1, 2000) AS t FROM documents WHERE length(text) >= 40") + r"SELECT d.doc_id, length(text) >= 40 AND (doc_id % 3 <> 2 OR NOT regexp_matches(text, '\p{L}') OR coalesce(f.lang = 'en', false)) AS untranslated FROM documents d LEFT JOIN found f USING (doc_id)",
+    "lang_detect_whole": _BAYES.format(asked="SELECT doc_id, substr(text, 1, 2000) AS t FROM documents") + "SELECT d.doc_id, f.lang FROM documents d LEFT JOIN found f USING (doc_id)",
+    "skip_target_language_whole": _BAYES.format(asked="SELECT doc_id, text AS t FROM documents") + "SELECT d.doc_id FROM documents d LEFT JOIN found f USING (doc_id) WHERE length(text) >= 40 AND coalesce(f.lang, '') <> 'en'",
+    # what each tag would enclose, from the words themselves
+    "tags_decode": _WORDS + r"""SELECT conv_id, turn, CASE WHEN good THEN string_agg(f.text, '' ORDER BY pos) END AS text, CASE WHEN good THEN coalesce(sum(length(f.text)) FILTER (bold), 0)::INTEGER END AS bold,
+ CASE WHEN good THEN coalesce(sum(length(f.text)) FILTER (italic), 0)::INTEGER END AS italic, CASE WHEN good THEN coalesce(sum(length(f.text)) FILTER (link), 0)::INTEGER END AS linked
+ FROM f JOIN (SELECT conv_id, turn, turn % 3 <> 0 OR NOT regexp_matches(text, '</?(a[0-9]+|b|i|u)>') AS good FROM t) USING (conv_id, turn) GROUP BY conv_id, turn, good""",
+    "emphasis": "SELECT p_partkey, '  ' || stars || trim(p_name) || stars || ' ' AS md FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN '**' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '*' ELSE '' END AS stars FROM part)",
+    "file_names": r"""WITH f AS (SELECT *, regexp_extract(url, '[^/]*$') AS name FROM pages), g AS (SELECT *, regexp_extract(name, '[^.](\.[^.]+)$', 1) AS suffix FROM f)
+ SELECT page_id, left(name, length(name) - length(suffix)) AS stem, suffix, left(name, length(name) - length(suffix)) || '_de.md' AS output, round(length(html) / 1024, 1) AS size_kb, url || ':' || length(html) || ':' || page_id AS key FROM g""",
+    "report_csv": c._MISSES + _OUT + r""", r AS (SELECT doc_id, 1 AS o, unit_idx * 100 + row AS place, 'term' AS kind, substr(text, 1, 80) AS detail, source || ',' || target AS rest FROM misses JOIN units USING (doc_id, unit_idx) JOIN terms USING (row)
+ UNION ALL SELECT doc_id, 2, unit_idx * 100, 'failed', substr(text, 1, 80), ',' FROM judged WHERE failed)
+ SELECT doc_id, chr(65279) || 'kind,detail,source,expected' || chr(13) || chr(10) || string_agg(kind || ',' || CASE WHEN regexp_matches(detail, '[",\r\n]') THEN '"' || replace(detail, '"', '""') || '"' ELSE detail END || ',' || rest || chr(13) || chr(10), '' ORDER BY o, place) AS csv FROM r GROUP BY doc_id""",
+    "run_metrics": (c._MISSES + _OUT).replace("WITH lines", "WITH RECURSIVE lines", 1) + c.ORACLES["pack_segments"][c.ORACLES["pack_segments"].index(", pack AS"):].split(" SELECT doc_id, segment, count(*)")[0] + """
+ SELECT doc_id, segments, calls::BIGINT AS calls, coalesce(hits, 0) AS hits, coalesce(misses, 0) AS misses, failed FROM (SELECT doc_id, sum(calls) AS calls, count(DISTINCT block_idx) FILTER (failed) AS failed FROM judged GROUP BY doc_id)
+ JOIN (SELECT doc_id, count(DISTINCT segment) AS segments FROM pack GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS hits FROM matches GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS misses FROM misses GROUP BY doc_id) USING (doc_id)""",
+    "prompt_messages": """WITH b AS (SELECT *, last_value(CASE WHEN length(text) > 0 THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations)
+ SELECT conv_id, turn, 2 AS messages, concat_ws(chr(10) || chr(10), CASE WHEN turn % 2 = 0 THEN 'Mandatory terminology. Use exactly these target terms:' || chr(10) || '- "the" -> "der"' END,
+ CASE WHEN turn % 3 = 0 THEN 'IMPORTANT: the previous answer was rejected. Follow the ID, token and terminology rules exactly.' || CASE WHEN turn % 2 = 0 THEN ' Missing: "der" for "the"' ELSE '' END END,
+ CASE WHEN turn % 3 = 0 THEN 'Translate every line completely into German; leave nothing in English.' END,
+ 'Context (already translated, do not repeat it):' || chr(10) || 'Source: ' || before || chr(10) || 'Translation: ' || '> ' || before,
+ 'Translate every numbered line into German. Answer only in German.' || chr(10) || 'Text to translate:' || chr(10) || '[[1]] ' || text) AS user_message FROM b""",
+    "usage_table": c._EV + "SELECT * REPLACE (round(minutes, 1) AS minutes, replace(left(last_seen, 16), 'T', ' ') AS last_seen) FROM (" + c._TOTALS.format(more="") + ")",
+    "term_match_single": c.ORACLES["glossary_match"],
+    "usage_status_errors": c._EV + "SELECT status, count(*) AS jobs FROM ev WHERE event = 'job_end' GROUP BY status",
+    "usage_user_colors": c._EV + ", " + c._FIRST + f'SELECT "user", [{_COLORS}][least(place, 8)] AS color FROM first',
+    "elapsed": c._EV + "SELECT pos, printf('%02d:%02d', floor(duration_s)::INTEGER // 60, floor(duration_s)::INTEGER % 60) AS elapsed FROM ev WHERE duration_s IS NOT NULL",
+    # the numbers of the answer's lines, in order, against those of the segment
+    "wire_decode_ok": _PACKED + r""", wire AS (SELECT doc_id, segment, count(*) AS n, string_agg('[[' || (unit_idx - first + 1) || ']] ' || text, chr(10) ORDER BY unit_idx) AS wire
+ FROM (SELECT *, min(unit_idx) OVER (PARTITION BY doc_id, segment) AS first FROM pack JOIN units USING (doc_id, unit_idx)) GROUP BY doc_id, segment),
+raw AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(wire, '^[^\n]*\n?', '') WHEN doc_id % 11 = 0 THEN '???' ELSE '<think>[[9]] x</think>' || chr(10) || 'Sure:' || chr(10) || wire END AS raw FROM wire)
+ SELECT doc_id, segment, regexp_extract_all(regexp_replace(raw, '<think>.*?</think>', ''), '(?m)^\[\[([0-9]+)\]\]', 1) = list_transform(range(1, n + 1), lambda i: i::VARCHAR) AS ok FROM raw""",
+    "clean_output": r"SELECT doc_id, trim(text, E' \t\n\f\r\v') AS text FROM documents",
+    "name_like": c._UNITS + f"SELECT doc_id, unit_idx::INTEGER AS unit_idx, {_NAME} AS name_like FROM units",
+    "translate_retry": c._UNITS + _OUT + "SELECT doc_id, unit_idx::INTEGER AS unit_idx, output, calls::INTEGER AS calls, failed FROM judged",
+    "failed_blocks": c._UNITS + _OUT + "SELECT DISTINCT doc_id, block_idx::INTEGER AS block_idx FROM judged WHERE failed",
+    "prompt_text": f"""SELECT conv_id, turn, concat_ws(chr(10) || chr(10), '{SYSTEM}', CASE WHEN turn % 2 = 0 THEN 'Terms:' || chr(10) || 'the = der' END,
+ 'Before:' || chr(10) || last_value(CASE WHEN length(text) > 0 THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), text) AS prompt FROM conversations""",
+    "report_rows": c._MISSES + _OUT + """SELECT doc_id, 'term' AS kind, substr(text, 1, 80) AS detail, source, target AS expected FROM misses JOIN units USING (doc_id, unit_idx) JOIN terms USING (row)
+ UNION ALL SELECT doc_id, 'failed', substr(text, 1, 80), NULL, NULL FROM judged WHERE failed""",
+    "same_structure": c._BLOCKS + r""", a AS (SELECT doc_id, block_idx, kind, CASE WHEN kind = 'table' THEN len(string_split(text, ' | ')) ELSE 1 END AS cells FROM blocks),
+b AS (SELECT doc_id, block_idx, kind, CASE WHEN kind = 'table' AND doc_id % 7 <> 3 THEN len(string_split(text, ' | ')) ELSE 1 END AS cells FROM blocks WHERE NOT (doc_id % 5 = 0 AND block_idx = 1))
+ SELECT doc_id, bool_and(a.kind IS NOT DISTINCT FROM b.kind AND a.cells IS NOT DISTINCT FROM b.cells) AS same FROM a FULL JOIN b USING (doc_id, block_idx) GROUP BY doc_id""",
+    "tags_encode": _tagged,
+    "tags_valid": lambda s, d: _tagged(s, d).select("conv_id", "turn", fn.tags_balanced(_spoilt(F.col("text"))).alias("ok")),
     "tags_strip": lambda s, d: _tagged(s, d).select("conv_id", "turn", fn.without_tags(F.col("text")).alias("text")),
-    "model_availability": lambda s, d: tr.available(s.createDataFrame(MODELS, "key string, tag string"), s.createDataFrame(INSTALLED, "tag string")),
+    "model_availability": _models,
     "skip_target_language": _foreign,
     "skip_target_language_whole": _foreign_whole,
     "is_in_language": lambda s, d: language.is_in_language(c._docs(s, d), _counts(s, d), "en"),
@@ -179,7 +283,7 @@ QUERIES = {
     "prompt_messages": _full_prompts,
     "usage_table": lambda s, d: results.usage_table(usage.totals(c._events(s, d))),
     "preview_markdown": lambda s, d: results.previews(_blocks(s, d), _blocks(s, d).where("block_idx % 4 = 1")),
-    "benchmark_fixture": lambda s, d: benchmark.fixture(s).drop("rows"),
+    "benchmark_fixture": lambda s, d: benchmark.fixture_pages(c._read(s, d, "pages").select(F.lit(1).alias("doc_id"), (F.col("page_id") + 1).alias("page"))).drop("rows"),
     "output_scores": lambda s, d: tr.scores(_outputs(s, d), _counts(s, d), "en", "de").select("doc_id", "unit_idx", "score"),
     "term_match_single": lambda s, d: glossary.match_terms(c._units(s, d), c._sheet(s, c.TERMS)),
     "term_match_longest": lambda s, d: glossary.match_terms(c._units(s, d), c._sheet(s, c.TERMS + PHRASES)),
@@ -235,7 +339,11 @@ ORACLES = {
     "usage_status_errors": c._EV + "SELECT status, count(*) AS jobs FROM ev WHERE event = 'job_end' GROUP BY status",
     "usage_user_colors": c._EV + ", " + c._FIRST + f'SELECT "user", [{_COLORS}][least(place, 8)] AS color FROM first',
     "elapsed": c._EV + "SELECT pos, printf('%02d:%02d', floor(duration_s)::INTEGER // 60, floor(duration_s)::INTEGER % 60) AS elapsed FROM ev WHERE duration_s IS NOT NULL",
-    "wire_decode_ok": _PACKED + " SELECT DISTINCT doc_id, segment, NOT (doc_id % 7 = 0 OR doc_id % 11 = 0) AS ok FROM pack",
+    # the numbers of the answer's lines, in order, against those of the segment
+    "wire_decode_ok": _PACKED + r""", wire AS (SELECT doc_id, segment, count(*) AS n, string_agg('[[' || (unit_idx - first + 1) || ']] ' || text, chr(10) ORDER BY unit_idx) AS wire
+ FROM (SELECT *, min(unit_idx) OVER (PARTITION BY doc_id, segment) AS first FROM pack JOIN units USING (doc_id, unit_idx)) GROUP BY doc_id, segment),
+raw AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(wire, '^[^\n]*\n?', '') WHEN doc_id % 11 = 0 THEN '???' ELSE '<think>[[9]] x</think>' || chr(10) || 'Sure:' || chr(10) || wire END AS raw FROM wire)
+ SELECT doc_id, segment, regexp_extract_all(regexp_replace(raw, '<think>.*?</think>', ''), '(?m)^\[\[([0-9]+)\]\]', 1) = list_transform(range(1, n + 1), lambda i: i::VARCHAR) AS ok FROM raw""",
     "clean_output": r"SELECT doc_id, trim(text, E' \t\n\f\r\v') AS text FROM documents",
     "name_like": c._UNITS + f"SELECT doc_id, unit_idx::INTEGER AS unit_idx, {_NAME} AS name_like FROM units",
     "translate_retry": c._UNITS + _OUT + "SELECT doc_id, unit_idx::INTEGER AS unit_idx, output, calls::INTEGER AS calls, failed FROM judged",
@@ -247,8 +355,28 @@ ORACLES = {
     # a document keeps its shape unless its second line was left out
     "same_structure": c._BLOCKS + "SELECT doc_id, NOT (doc_id % 5 = 0 AND count(*) > 1) AS same FROM blocks GROUP BY doc_id",
     "tags_encode": _WORDS + "SELECT conv_id, turn, text FROM t",
-    "tags_valid": "SELECT conv_id, turn, turn % 3 <> 0 AS ok FROM conversations",
-    "tags_strip": "SELECT conv_id, turn, text || ' ' AS text FROM conversations",
-    "model_availability": "SELECT * FROM (VALUES ('small', 'Alpha:1b', true), ('medium', 'beta:4b', false), ('large', 'gamma:9b', true)) t(key, tag, installed)",
+    # pairs without a tag inside go, three times over (links, bold, italic); what is left then has no partner
+    "tags_valid": _WORDS + r""", s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN regexp_replace(text, '</?(?:a[0-9]+|b|i|u)>([^<]*)$', '\1') WHEN 1 THEN replace(text, '</i></b>', '</b></i>') ELSE text END AS x FROM t),
+ p AS (SELECT '<b>[^<]*</b>|<i>[^<]*</i>|<u>[^<]*</u>|<a1>[^<]*</a1>' AS pair)
+ SELECT conv_id, turn, NOT regexp_matches(regexp_replace(regexp_replace(regexp_replace(x, pair, '', 'g'), pair, '', 'g'), pair, '', 'g'), '</?(a[0-9]+|b|i|u)>') AS ok FROM s CROSS JOIN p""",
+    "tags_strip": _WORDS + "SELECT conv_id, turn, regexp_replace(text, '</?(a[0-9]+|b|i|u)>', '', 'g') AS text FROM t",
+    "model_availability": "SELECT n_nationkey AS key, n_name AS tag, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AS installed FROM nation",
+    "wire_last_per_id": "WITH r AS (SELECT conv_id AS key, turn // 2 AS id, lead(turn // 2) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations) SELECT key, id::INTEGER AS id FROM r WHERE following IS NULL OR following <> id",
+    "assemble_blocks": c._MISSES + """ SELECT doc_id, block_idx::INTEGER AS block_idx, kind, string_agg(coalesce(a.text, c.text), ' | ' ORDER BY cell) AS text FROM cells c JOIN blocks USING (doc_id, block_idx)
+ LEFT JOIN (SELECT doc_id, block_idx, cell, answers.text FROM answers JOIN units USING (doc_id, unit_idx) WHERE doc_id % 5 <> 0) a USING (doc_id, block_idx, cell) GROUP BY doc_id, block_idx, kind""",
+    "sentence_pieces": c._UNITS.replace("WITH lines", "WITH RECURSIVE lines", 1) + r""", cut AS (SELECT doc_id, unit_idx, list_filter(CASE WHEN length(text) > 300 THEN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [text] END, lambda x: x <> '') AS s FROM units),
+each AS (SELECT doc_id, unit_idx, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM cut),
+pack AS (SELECT doc_id, unit_idx, i, 0 AS piece, length(s) AS used FROM each WHERE i = 1 UNION ALL
+ SELECT e.doc_id, e.unit_idx, e.i, CASE WHEN used + 1 + length(s) <= 300 THEN piece ELSE piece + 1 END, CASE WHEN used + 1 + length(s) <= 300 THEN used + 1 + length(s) ELSE length(s) END FROM pack p JOIN each e ON e.doc_id = p.doc_id AND e.unit_idx = p.unit_idx AND e.i = p.i + 1)
+ SELECT doc_id, count(*) AS pieces, sum(chars)::BIGINT AS chars FROM (SELECT doc_id, unit_idx, piece, max(used) AS chars FROM pack GROUP BY ALL) GROUP BY doc_id""",
+    "has_source_sentence": _BAYES.format(asked=r"""SELECT doc_id || ':' || i AS doc_id, substr(s, 1, 2000) AS t FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM
+ (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '</?(a[0-9]+|b|i|u)>', '', 'g'), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)) WHERE length(s) >= 40""")
+    + ", hit AS (SELECT DISTINCT split_part(doc_id, ':', 1)::BIGINT AS doc_id FROM found WHERE lang = 'en') SELECT d.doc_id, h.doc_id IS NOT NULL AS has_sentence FROM documents d LEFT JOIN hit h USING (doc_id)",
+    "output_scores": c._UNITS + _OUT + ", counts" + _BAYES.format(asked=r"""SELECT 'o:' || doc_id || ':' || unit_idx AS doc_id, substr(output, 1, 2000) AS t FROM judged WHERE length(text) >= 40 AND output IS NOT NULL UNION ALL
+ SELECT 's:' || doc_id || ':' || unit_idx || ':' || i, substr(s, 1, 2000) FROM (SELECT doc_id, unit_idx, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM
+ (SELECT doc_id, unit_idx, string_split(regexp_replace(regexp_replace(output, '</?(a[0-9]+|b|i|u)>', '', 'g'), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)) AS s FROM judged WHERE output IS NOT NULL)) WHERE length(s) >= 40""").split("WITH counts", 1)[1].rstrip()
+    + r""", hit AS (SELECT DISTINCT split_part(doc_id, ':', 1) AS kind, split_part(doc_id, ':', 2)::BIGINT AS doc_id, split_part(doc_id, ':', 3)::BIGINT AS unit_idx FROM found WHERE lang = 'en')
+ SELECT j.doc_id, j.unit_idx::INTEGER AS unit_idx, CASE WHEN output IS NULL OR (counts AND output = text) OR (length(text) >= 40 AND trim(output) = trim(text)) OR o.kind IS NOT NULL THEN 2 WHEN s.kind IS NOT NULL THEN 1 ELSE 0 END AS score
+ FROM judged j LEFT JOIN hit o ON o.kind = 'o' AND o.doc_id = j.doc_id AND o.unit_idx = j.unit_idx LEFT JOIN hit s ON s.kind = 's' AND s.doc_id = j.doc_id AND s.unit_idx = j.unit_idx""",
     "skip_target_language": c._GRAMS + "SELECT d.doc_id FROM documents d LEFT JOIN best b USING (doc_id) WHERE length(text) >= 40 AND coalesce(b.lang, '') <> 'en'",
 }
