@@ -178,6 +178,21 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+# each copy's share of its source's demand, inverted along the source's schedule
+_OP4_ORDER = (
+    _OP4.split("SELECT doc_id, size, source_size, target,\n")[0].replace("SELECT l.source, l.source_size,", "SELECT l.source, l.n, l.source_size,").replace("SELECT r.doc_id, r.size,", "SELECT r.doc_id, r.source, t.n, r.size,")
+    + r"""
+, copies AS (
+  SELECT *, [-0.5, 0.0, 0.5][n % 3 + 1]::DOUBLE AS slope, CASE WHEN target > 0 THEN source_size::DOUBLE / target ELSE 0 END AS pass_length,
+         least(1.0::DOUBLE, CASE WHEN target > 0 THEN start::DOUBLE / target ELSE 0 END) AS first_share,
+         unnest(range((whole + CASE WHEN 2 * start + size < 2 * (target - whole * source_size) THEN 1 ELSE 0 END)::BIGINT)) AS copy
+  FROM placed
+), shares AS (SELECT *, least(1.0::DOUBLE, first_share + copy * pass_length) AS share FROM copies)
+SELECT doc_id, source, CASE WHEN slope = 0 THEN share ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (-(1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) / (2 * slope))) END AS position
+FROM shares
+"""
+)
+
 _OP9 = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
@@ -288,4 +303,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op1_ball_tree_top_k": _OP1, "op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4, "op9_ngram_jaccard": _OP9, "op11_line_dedup": _OP11, "op12_impact_search": _OP12, "op13_importance_resampling": _OP13}
+ORACLES: dict[str, str] = {"op1_ball_tree_top_k": _OP1, "op2_substring_dedup": _OP2, "op4_curriculum_mix": _OP4, "op4_training_order": _OP4_ORDER, "op9_ngram_jaccard": _OP9, "op11_line_dedup": _OP11, "op12_impact_search": _OP12, "op13_importance_resampling": _OP13}
