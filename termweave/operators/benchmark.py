@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termweave.operators import language
+
 # The terms, sentences, heading and table of the document.
 TERMS = [
     ("Abklingbecken", "spent fuel pool"),
@@ -101,3 +103,19 @@ def results_table(results: DataFrame) -> DataFrame:
 def result_files(results: DataFrame) -> DataFrame:
     """model, file: each model's Markdown file, colons in its name replaced."""
     return results.select("model", F.concat(F.replace("model", F.lit(":"), F.lit("_")), F.lit(".md")).alias("file"))
+
+
+def untranslated(blocks: DataFrame, counts: DataFrame, source_lang: str) -> DataFrame:
+    """doc_id, untranslated for every document of ``blocks``: its texts and cells of 40 characters or more in the source language.
+
+    Each text is judged by its first 2,000 characters; blocks that aren't translated don't count, all cells do.
+    """
+    texts = F.concat(F.when(F.col("translate"), F.array("text")).otherwise(F.array().cast("array<string>")), F.flatten("rows"))
+    each = blocks.select("doc_id", F.explode(texts).alias("text")).where(F.length("text") >= language.MIN_CHARS)
+    found = language.detect_bayes(each, counts).where(F.col("lang") == source_lang).groupBy("doc_id").agg(F.count("*").alias("untranslated"))
+    return blocks.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("untranslated", F.lit(0)).alias("untranslated"))
+
+
+def to_run(models: DataFrame, installed: DataFrame) -> DataFrame:
+    """Of the ``models`` (tag) that are asked for those that are ``installed`` (tag), in any case."""
+    return models.join(installed.select(F.lower("tag").alias("_tag")).distinct(), F.lower("tag") == F.col("_tag"), "left_semi")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import inline
-from termweave.operators import glossary, job, units
+from termweave.functions import text as fn
+from termweave.operators import benchmark, glossary, job, results, units
 from termweave.operators._settled import new_folder
 from termweave.plans import catalogue as c
 from termweave.plans import translation
-from termweave.sources import files
+from termweave.sources import files, markdown
 from termweave.streaming import usage
 
 # Terms that words of the documents end with; longer ones claim a word before shorter ones.
@@ -91,13 +92,47 @@ def assemble_tables(s: SparkSession, d: str) -> DataFrame:
     return shown.select("doc_id", "block_idx", "text", F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n").alias("table"))
 
 
-QUERIES = {"usage_append": usage_append, "read_files": read_files, "plan_tables": plan_tables, "assemble_tables": assemble_tables, "inline_runs": inline_runs, "glossary_compound": glossary_compound, "term_misses_compound": term_misses_compound}
+def _items(s: SparkSession, d: str) -> DataFrame:
+    """Blocks of document lines: items of lists three deep, ordered or not by their length, with a paragraph here and there."""
+    item = F.char_length("text") % 7 != 0
+    return c.line_blocks(c._docs(s, d)).select("doc_id", "block_idx", F.when(item, "list_item").otherwise("paragraph").alias("kind"), F.when(item, F.char_length("text") % 3).otherwise(0).alias("depth"), (item & (F.char_length("text") % 5 != 0)).alias("ordered"))
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    outputs = translation._outputs(s, d)
+    return outputs.where("failed").select("doc_id", F.lit("failed").alias("kind"), F.col("unit_idx").alias("place"), F.substring(fn.without_tags(F.col("text")), 1, 80).alias("detail"))
+
+
+def models_to_run(s: SparkSession, d: str) -> DataFrame:
+    nations = c._read(s, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("tag"))
+    rich = c._read(s, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("key"))
+    return benchmark.to_run(nations, nations.join(rich, "key").select(F.lower("tag").alias("tag")))
+
+
+QUERIES = {
+    "list_numbers": lambda s, d: markdown.numbered(_items(s, d)).select("doc_id", "block_idx", "depth", "number"),
+    "report_notices": lambda s, d: results.notices(_report(s, d)),
+    "upload_language": lambda s, d: results.inspected(c.line_blocks(c._docs(s, d)), translation._counts(s, d)),
+    "untranslated_texts": lambda s, d: benchmark.untranslated(_tables(s, d), translation._counts(s, d), "en"),
+    "models_to_run": models_to_run,
+} | {"usage_append": usage_append, "read_files": read_files, "plan_tables": plan_tables, "assemble_tables": assemble_tables, "inline_runs": inline_runs, "glossary_compound": glossary_compound, "term_misses_compound": term_misses_compound}
 
 _ENDED = ", ".join(f"({row}, '{term}')" for row, term in ENDINGS)
 _CELLS = c._BLOCKS + r""", b AS (SELECT doc_id, block_idx, block_idx % 2 = 1 AS is_table, text, block_idx % 2 = 1 OR block_idx % 3 <> 0 AS translate FROM blocks),
 cells AS (SELECT doc_id, block_idx, translate, is_table, unnest(CASE WHEN is_table THEN string_split(text, ' ') ELSE [text] END) AS text, unnest(range(len(CASE WHEN is_table THEN string_split(text, ' ') ELSE [text] END))) AS cell FROM b),
 planned AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx, cell) - 1 AS unit_idx FROM cells WHERE translate AND regexp_matches(text, '\p{L}')) """
 ORACLES = {
+    # each item counts the ordered ones of its depth since the last block that ended such a list
+    "list_numbers": c._BLOCKS + """, b AS (SELECT doc_id, block_idx, length(text) % 7 <> 0 AS item, CASE WHEN length(text) % 7 <> 0 THEN length(text) % 3 ELSE 0 END AS depth, length(text) % 7 <> 0 AND length(text) % 5 <> 0 AS ordered FROM blocks),
+ends AS (SELECT *, """ + ", ".join(f"max(CASE WHEN NOT item OR depth < {n} OR (depth = {n} AND NOT ordered) THEN block_idx END) OVER (PARTITION BY doc_id ORDER BY block_idx) AS e{n}" for n in range(3)) + """ FROM b),
+mine AS (SELECT *, coalesce(CASE depth WHEN 0 THEN e0 WHEN 1 THEN e1 ELSE e2 END, -1) AS since FROM ends)
+SELECT doc_id, block_idx::INTEGER AS block_idx, depth::INTEGER AS depth, CASE WHEN item AND ordered THEN (SELECT count(*) FROM mine o WHERE o.doc_id = m.doc_id AND o.item AND o.ordered AND o.depth = m.depth AND o.block_idx > m.since AND o.block_idx <= m.block_idx)::INTEGER END AS number FROM mine m""",
+    "report_notices": c._UNITS + translation._OUT + """, r AS (SELECT doc_id, substr(text, 1, 80) AS detail, row_number() OVER (PARTITION BY doc_id ORDER BY unit_idx) AS at FROM judged WHERE failed)
+ SELECT doc_id, 'failed' AS kind, count(*) AS n, string_agg('- ' || detail, chr(10) ORDER BY "at") FILTER ("at" <= 10) AS listed, greatest(count(*) - 10, 0) AS more FROM r GROUP BY doc_id""".replace(" AS at ", ' AS "at" '),
+    "upload_language": translation._BAYES.format(asked="SELECT doc_id, substr(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''), ' '), 1, 2000) AS t FROM documents") + "SELECT d.doc_id, f.lang FROM documents d LEFT JOIN found f USING (doc_id)",
+    "untranslated_texts": _CELLS + ", counts" + translation._BAYES.format(asked="SELECT doc_id || ':' || block_idx || ':' || cell AS doc_id, substr(text, 1, 2000) AS t FROM cells WHERE translate AND length(text) >= 40").split("WITH counts", 1)[1]
+    + ", n AS (SELECT split_part(doc_id, ':', 1)::BIGINT AS doc_id, count(*) AS n FROM found WHERE lang = 'en' GROUP BY 1) SELECT d.doc_id, coalesce(n, 0) AS untranslated FROM documents d LEFT JOIN n USING (doc_id)",
+    "models_to_run": "SELECT n_nationkey AS key, n_name AS tag FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900)",
     "usage_append": c._EV + 'SELECT pos, ts, event, "user", status, duration_s, ts[:10] AS day FROM ev',
     "read_files": r"""WITH p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(coalesce(html, ''), '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM pages)
 SELECT page_id, unnest(range(len(parts)))::INTEGER AS block_idx, 'paragraph' AS kind, unnest(parts) AS text, NULL::VARCHAR AS error FROM p
