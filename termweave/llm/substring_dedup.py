@@ -64,7 +64,7 @@ def phrases(docs: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
             columns = [pa.array(to_signed(key)), binary, pa.array(doc), pa.array(variant), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(doc[lead], mask=~repeat), pa.array(variant[lead], mask=~repeat), pa.array(start[lead].astype(np.int32), mask=~repeat)]
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "checks", "doc", "variant", "start", "windows", "ref_doc", "ref_variant", "ref_start"])
 
-    found = docs.mapInArrow(cut, "anchor bigint, checks binary, doc bigint, variant int, start int, windows int, ref_doc bigint, ref_variant int, ref_start int")
+    found = docs.mapInArrow(cut, "anchor bigint, checks binary, doc bigint, variant bigint, start int, windows int, ref_doc bigint, ref_variant bigint, ref_start int")
     return found.select("anchor", F.when(F.col("ref_doc").isNull(), F.col("checks")).alias("checks"), "doc", "variant", "start", "windows", F.when(F.col("ref_doc").isNotNull(), F.struct(F.col("ref_doc").alias("doc"), F.col("ref_variant").alias("variant"), F.col("ref_start").alias("start"))).alias("ref"))
 
 

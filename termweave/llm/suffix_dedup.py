@@ -105,7 +105,7 @@ def _phrases(docs: DataFrame, length: int, gram: int) -> DataFrame:
             columns = [to_signed(grams[anchor]), to_signed(content), batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc], start.astype(np.int32), size.astype(np.int16)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "content", "doc", "variant", "start", "size"])
 
-    return docs.mapInArrow(cut, "anchor bigint, content bigint, doc bigint, variant int, start int, size short")
+    return docs.mapInArrow(cut, "anchor bigint, content bigint, doc bigint, variant bigint, start int, size short")
 
 
 def _merged(texts: DataFrame, length: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _merged(texts: DataFrame, length: int) -> DataFrame:
         size = np.array([r[4] for r in held])[piece]
         real = offset < size
         doc = np.array([r[1] for r in held], np.int64)[piece][real]
-        variant = np.array([r[2] for r in held], np.int32)[piece][real]
+        variant = np.array([r[2] for r in held], np.int64)[piece][real]
         start = np.array([r[3] for r in held], np.int64)[piece][real] + offset[real]
         order = np.lexsort((start, variant, doc, interval[real]))
         doc, variant, start, interval = doc[order], variant[order], start[order], interval[real][order]
@@ -156,7 +156,7 @@ def _merged(texts: DataFrame, length: int) -> DataFrame:
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc", "variant", "start")
-    return dealt.select("anchor", "doc", "variant", "start", "size", "piece").mapInArrow(buckets, "doc bigint, variant int, start int, size short")
+    return dealt.select("anchor", "doc", "variant", "start", "size", "piece").mapInArrow(buckets, "doc bigint, variant bigint, start int, size short")
 
 
 def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
@@ -184,9 +184,9 @@ def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFra
         for batch, texts in chunks(batches):
             rows = [(a["anchor"], doc, variant, a["start"], a["size"], text[a["start"] : a["start"] + a["size"] + length - 1]) for doc, variant, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3), strict=True) for a in asked.as_py()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary()), strict=True)], ["anchor", "doc", "variant", "start", "size", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()), strict=True)], ["anchor", "doc", "variant", "start", "size", "piece"])
 
-    pieces = source.join(asked, ["doc", "variant"]).select("doc", "variant", "text", "asked").mapInArrow(gathered, "anchor bigint, doc bigint, variant int, start int, size short, piece binary")
+    pieces = source.join(asked, ["doc", "variant"]).select("doc", "variant", "text", "asked").mapInArrow(gathered, "anchor bigint, doc bigint, variant bigint, start int, size short, piece binary")
     single = _merged(pieces, length)
     spans = found.where("repeats").select("doc", "variant", "start", "size").unionByName(single)
     runs = spans.groupBy("doc", "variant").agg(F.collect_list(F.struct("start", "size")).alias("runs"))

@@ -156,3 +156,21 @@ def test_names_without_title(spark):
     two = got[2].replace(";", "").replace(".", "").split()
     assert two[1] == two[4] == two[7].split("-")[0] != "Müller" and len(two[7].split("-")) == 2
     assert all("Ͱ" <= c <= "Ͽ" for c in got[3].replace(" ", "").lower())
+
+
+def test_rows_whose_hashes_share_31_bits_lose_nothing(spark):
+    """Without ids rows are told apart by their texts: two whose hashes agree in 31 bits, one of them repeated by others."""
+    from pyspark.sql import functions as F
+
+    from termweave.llm import substring_dedup, suffix_dedup
+
+    texts = spark.range(150_000).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("w"), F.hex(F.xxhash64("id", i)))), " ").alias("text"))
+    meet = texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("h")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()
+    assert meet, "two of so many texts meet"
+    a, b = meet["t"][:2]
+    docs = spark.createDataFrame([(None, a), (None, b), (None, a + " and a tail that is its own"), (1, a), (2, b)], "doc_id long, text string")
+    words = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(docs).collect()]
+    # of the two texts, however often they come, one copy stays, and the tail
+    assert sum(n - gone for _, n, gone in words) == 40 + 40 + 7
+    kept = sum(r.n_bytes - r.n_removed for r in suffix_dedup.dedup_bytes(docs).collect())
+    assert kept >= len(a) + len(b)
