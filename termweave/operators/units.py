@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from termweave.functions import text as fn
 
 
+def _by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by ``keys`` in which a null is a key like others; ``right`` adds its other columns."""
+    other = right.select(*[F.col(k).alias(f"_by_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    return left.join(other, same, how).drop(*[f"_by_{k}" for k in keys])
+
+
 def _cells(blocks: DataFrame) -> Column:
     """A block's texts: a table's cells in order of rows (``rows``, else its text cut at bars), other blocks' whole text."""
     cells = F.flatten("rows") if "rows" in blocks.columns else F.split("text", r" \| ")
@@ -36,7 +45,7 @@ def planned(blocks: DataFrame, limit: int = 3000, reads_as_target=None) -> DataF
         bare = fn.without_tags(F.col("text"))
         found = found.where(~((F.length(bare) >= 40) & F.coalesce(reads_as_target(bare), F.lit(False))))
     pieces = sentence_pieces(found, limit).withColumnRenamed("text", "_text")
-    each = found.drop("text").join(pieces, ["doc_id", "unit_idx"])
+    each = _by(found.drop("text"), pieces, ["doc_id", "unit_idx"])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_idx", "piece")) - 1
     return each.select("doc_id", place.alias("unit_idx"), "block_idx", "cell", "piece", F.col("_text").alias("text"))
 
@@ -58,7 +67,7 @@ def segments(units: DataFrame, limit: int = 3000) -> DataFrame:
     rows = units.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("unit_idx", F.length("text").alias("size")))).alias("rows"))
     bins = rows.withColumn("bins", _packing(F.transform("rows", lambda r: r["size"]), limit, 0))
     zipped = bins.select("doc_id", F.explode(F.arrays_zip(F.col("rows.unit_idx").alias("unit_idx"), F.col("bins").alias("segment"))).alias("z"))
-    return units.join(zipped.select("doc_id", "z.unit_idx", "z.segment"), ["doc_id", "unit_idx"])
+    return _by(units, zipped.select("doc_id", "z.unit_idx", "z.segment"), ["doc_id", "unit_idx"])
 
 
 def sentence_pieces(units: DataFrame, limit: int = 1500) -> DataFrame:
@@ -101,12 +110,12 @@ def assemble(blocks: DataFrame, outputs: DataFrame) -> DataFrame:
     """
     shaped = "rows" in blocks.columns
     each = blocks.select("doc_id", "block_idx", "kind", F.posexplode(_cells(blocks)).alias("cell", "source"))
-    joined = each.join(outputs.select("doc_id", "block_idx", "cell", F.col("text").alias("translated")), ["doc_id", "block_idx", "cell"], "left")
+    joined = _by(each, outputs.select("doc_id", "block_idx", "cell", F.col("text").alias("translated")), ["doc_id", "block_idx", "cell"], "left")
     texts = F.transform(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("translated", "source").alias("text")))), lambda c: c["text"])
     if not shaped:
         return joined.groupBy("doc_id", "block_idx", "kind").agg(F.array_join(texts, " | ").alias("text"))
     said = joined.groupBy("doc_id", "block_idx").agg(texts.alias("_texts"))
-    whole = blocks.join(said, ["doc_id", "block_idx"], "left")
+    whole = _by(blocks, said, ["doc_id", "block_idx"], "left")
     table = F.col("kind") == "table"
     before = F.transform("rows", lambda _, i: F.aggregate(F.slice("rows", F.lit(1), i), F.lit(0), lambda n, r: n + F.size(r)))
     row = lambda r, n: F.slice("_texts", n + 1, F.size(r))

@@ -33,7 +33,7 @@ MD = "# Titel der Anlage\n\nSiehe `code` bei 5 mm. Zweiter Satz hier.\n\n| Name
 
 def test_job_from_blocks_to_blocks(spark):
     """Code and HTML stay, a table's cells are translated each, a long text is cut at sentences and joined again."""
-    docs = spark.createDataFrame([(1, MD), (2, "Nur ein Satz."), (3, "kaputt hier"), (4, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, MD), (2, "Nur ein Satz."), (3, "kaputt hier"), (4, None), (None, "Ohne Nummer.\n\n| a | b |\n|---|---|\n")], "doc_id long, text string")
     blocks = markdown.markdown_blocks(docs)
     planned = units.planned(blocks, 25)
     got = [(r.unit_idx, r.block_idx, r.cell, r.piece, r.text) for r in planned.where("doc_id = 1").orderBy("unit_idx").collect()]
@@ -55,4 +55,5 @@ def test_job_from_blocks_to_blocks(spark):
     assert rows[1, 2].rows == [["NAME", "WERT"], ["HAUS", "3"]]
     assert rows[1, 3] == before[1, 3] and rows[1, 4] == before[1, 4] and not rows[1, 4].translate
     assert rows[2, 0].text == "NUR EIN SATZ." and rows[3, 0].text == "kaputt hier"
+    assert rows[None, 0].text == "OHNE NUMMER." and rows[None, 1].rows == [["A", "B"]]
     assert run.figures.counts["failed_units"] == 1
