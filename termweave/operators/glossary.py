@@ -136,6 +136,21 @@ def _first_words(units: DataFrame, forms: DataFrame, compound: bool) -> DataFram
     return ended.join(_small(forms, forms.count()), "token").unionByName(whole, allowMissingColumns=True)
 
 
+def _ended(tokens: DataFrame, forms: DataFrame) -> DataFrame:
+    """``tokens`` (doc_id, unit_idx, all) that ``forms`` begin at, also at the end of a longer word: doc_id, unit_idx, at, row, chars, rest.
+
+    Each token gives its endings of only those lengths that first words have, where it stands; they meet the forms, which
+    are sent to all tasks. So nothing grows with the distinct words of the texts, and no place is shuffled.
+    """
+    lengths = F.array(*[F.lit(r["n"]) for r in forms.select(F.char_length("token").alias("n")).distinct().collect()]).cast("array<int>")
+    placed = tokens.select("doc_id", "unit_idx", "all", F.posexplode("all").alias("at", "word"))
+    sized = placed.withColumn("size", F.char_length("word")).withColumn("is_word", F.col("word").rlike(r"^[\p{L}\p{N}_]"))
+    # what stands between words must be a term's mark as a whole
+    ends = sized.withColumn("n", F.explode(lengths)).where((F.col("n") == F.col("size")) | ((F.col("n") < F.col("size")) & F.col("is_word")))
+    met = ends.withColumn("token", F.expr("right(word, n)")).join(F.broadcast(forms), "token")
+    return met.where(F.slice("all", F.col("at") + 2, F.size("rest")) == F.col("rest")).select("doc_id", "unit_idx", "at", "row", "chars", "rest")
+
+
 def match_terms(units: DataFrame, terms: DataFrame, compound: bool = False) -> DataFrame:
     """doc_id, unit_idx, row, n: occurrences of ``terms`` (row, source) of one or more words in ``units``, longer ones first.
 
@@ -147,11 +162,14 @@ def match_terms(units: DataFrame, terms: DataFrame, compound: bool = False) -> D
     forms = word_forms(terms.where("length(source) > 0").select("row", "source")).distinct().join(terms.select("row", F.char_length("source").alias("chars")), "row")
     forms = settled(forms.withColumn("want", _cut(F.col("form"))).select("row", "chars", F.element_at("want", 1).alias("token"), F.slice("want", F.lit(2), F.size("want")).alias("rest")).distinct())
     longest = forms.agg(F.coalesce(F.max(F.size("rest")), F.lit(0)).alias("n")).first()["n"]
-    begins = settled(_first_words(units, forms, compound).select("word", "row", "chars", "rest"))
     tokens = units.select("doc_id", "unit_idx", _cut(F.col("text")).alias("all"))
-    place = F.transform("all", lambda t, i: F.struct(i.alias("at"), t.alias("word"), F.slice("all", i + 2, F.lit(longest)).alias("next")))
-    places = tokens.select("doc_id", "unit_idx", F.explode(place).alias("p"))
-    met = places.select("doc_id", "unit_idx", "p.at", "p.word", "p.next").join(_small(begins, begins.count()), "word").where(F.slice("next", F.lit(1), F.size("rest")) == F.col("rest"))
+    if compound and forms.count() <= BROADCAST_TERMS:
+        met = _ended(tokens, forms)
+    else:
+        begins = settled(_first_words(units, forms, compound).select("word", "row", "chars", "rest"))
+        place = F.transform("all", lambda t, i: F.struct(i.alias("at"), t.alias("word"), F.slice("all", i + 2, F.lit(longest)).alias("next")))
+        places = tokens.select("doc_id", "unit_idx", F.explode(place).alias("p"))
+        met = places.select("doc_id", "unit_idx", "p.at", "p.word", "p.next").join(_small(begins, begins.count()), "word").where(F.slice("next", F.lit(1), F.size("rest")) == F.col("rest"))
     find = F.struct("at", (F.col("at") + F.size("rest") + 1).alias("end"), "chars", "row")
     finds = met.groupBy("doc_id", "unit_idx").agg(F.collect_set(find).alias("finds"))
     kinds = [f"{c} {units.schema[c].dataType.simpleString()}" for c in ("doc_id", "unit_idx")]
