@@ -72,10 +72,9 @@ def read_files(s: SparkSession, d: str) -> DataFrame:
 
 def _tables(s: SparkSession, d: str) -> DataFrame:
     """Blocks of document lines: every second line is a table of three words a row, every third of the others isn't translated."""
-    words = F.split("line", " ")
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(3))
+    three = lambda words: F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(3)), lambda at: F.slice(words, at + 1, 3))
     table = F.col("block_idx") % 2 == 1
-    rows = F.when(table, F.transform(starts, lambda at: F.slice(words, at + 1, 3))).otherwise(F.array().cast("array<array<string>>"))
+    rows = F.when(table, fn.let(F.split("line", " "), three)).otherwise(F.array().cast("array<array<string>>"))
     lines = c.line_blocks(c._docs(s, d)).withColumnRenamed("text", "line")
     return lines.select("doc_id", "block_idx", F.when(table, "table").otherwise("paragraph").alias("kind"), F.when(table, "").otherwise(F.col("line")).alias("text"), rows.alias("rows"), (table | (F.col("block_idx") % 3 != 0)).alias("translate"))
 

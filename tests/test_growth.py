@@ -1,6 +1,8 @@
 """What a job moves grows with its texts, not with distinct words, cells or joins between them."""
 
-from termweave.operators import glossary
+from pyspark.sql import functions as F
+
+from termweave.operators import glossary, job, units
 
 
 def _exchanged(df) -> int:
@@ -20,3 +22,23 @@ def test_compounds_meet_terms_without_a_table_of_words(spark, monkeypatch):
     monkeypatch.setattr(glossary, "BROADCAST_TERMS", 1)
     assert got == sorted(tuple(r) for r in glossary.match_terms(units, terms, compound=True).collect())
     assert got == sorted([(1, n, row, 1) for n in range(20) for row in (2, 3, 6)] + [(2, 0, 4, 1), (2, 0, 5, 1)])
+
+
+BLOCKS = "doc_id long, block_idx int, kind string, text string, rows array<array<string>>, translate boolean"
+
+
+def test_units_are_planned_and_put_back_without_joins_of_cells(spark):
+    blocks = spark.createDataFrame(
+        [(1, 0, "paragraph", "One two. Three four. Five", [], True), (1, 1, "table", "", [["a", "b"], ["7", "c d. e f"]], True), (1, 2, "paragraph", "code", [], False), (2, 0, "table", "", [], True), (None, 0, "paragraph", "x", [], True)],
+        BLOCKS,
+    )
+    planned = units.planned(blocks, 10)
+    assert _exchanged(planned) == 1
+    got = sorted((tuple(r) for r in planned.select("doc_id", "unit_idx", "block_idx", "cell", "piece", "text").collect()), key=str)
+    assert got == sorted([(1, 0, 0, 0, 0, "One two."), (1, 1, 0, 0, 1, "Three four."), (1, 2, 0, 0, 2, "Five"), (1, 3, 1, 0, 0, "a"), (1, 4, 1, 1, 0, "b"), (1, 5, 1, 3, 0, "c d. e f"), (None, 0, 0, 0, 0, "x")], key=str)
+    outputs = planned.withColumn("failed", F.col("unit_idx") == 4).withColumn("output", F.upper("text"))
+    back = job.translated_blocks(blocks, outputs)
+    # the plan's one, and one for each side of the join by block
+    assert _exchanged(back) == 3
+    shown = {(r.doc_id, r.block_idx): (r.text, r.rows) for r in back.collect()}
+    assert shown == {(1, 0): ("ONE TWO. THREE FOUR. FIVE", []), (1, 1): ("", [["A", "b"], ["7", "C D. E F"]]), (1, 2): ("code", []), (2, 0): ("", []), (None, 0): ("X", [])}
