@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from termweave.functions import text as fn
 from termweave.operators import glossary, job, units
 
 
@@ -42,3 +43,15 @@ def test_units_are_planned_and_put_back_without_joins_of_cells(spark):
     assert _exchanged(back) == 3
     shown = {(r.doc_id, r.block_idx): (r.text, r.rows) for r in back.collect()}
     assert shown == {(1, 0): ("ONE TWO. THREE FOUR. FIVE", []), (1, 1): ("", [["A", "b"], ["7", "C D. E F"]]), (1, 2): ("code", []), (2, 0): ("", []), (None, 0): ("X", [])}
+
+
+def test_protected_spans_of_long_words(spark):
+    import time
+
+    texts = ["5 mm-foo@x.de, a.b@c.de", "x" * 200_000 + " @", "plain", "see https://a.de/b@c. or {x}`y`z@w.org", "٣ kg", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    begun = time.time()
+    got = [(tuple(r.spans) if r.spans is not None else None, r.masked) for r in rows.select(fn.protected(F.col("text"))[1].alias("spans"), fn.protected(F.col("text"))[0].alias("masked")).collect()]
+    assert time.time() - begun < 15
+    assert [g[0] for g in got] == [("5 mm", "-foo@x.de", "a.b@c.de"), (), (), ("https://a.de/b@c", "{x}", "`y`", "z@w.org"), ("٣ kg",), None]
+    assert [g[1] for g in got] == ["⟦P1⟧⟦P2⟧, ⟦P3⟧", texts[1], "plain", "see ⟦P1⟧. or ⟦P2⟧⟦P3⟧⟦P4⟧", "⟦P1⟧", None]
