@@ -55,3 +55,11 @@ def test_protected_spans_of_long_words(spark):
     assert time.time() - begun < 15
     assert [g[0] for g in got] == [("5 mm", "-foo@x.de", "a.b@c.de"), (), (), ("https://a.de/b@c", "{x}", "`y`", "z@w.org"), ("٣ kg",), None]
     assert [g[1] for g in got] == ["⟦P1⟧⟦P2⟧, ⟦P3⟧", texts[1], "plain", "see ⟦P1⟧. or ⟦P2⟧⟦P3⟧⟦P4⟧", "⟦P1⟧", None]
+
+
+def test_segments_read_their_units_once(spark):
+    rows = spark.createDataFrame([(1, 0, 0, "a" * 6), (1, 1, 1, "b" * 4), (1, 2, 2, "c"), (2, 0, 0, "d" * 20), (None, 0, 0, "e")], "doc_id long, unit_idx int, block_idx int, text string")
+    packed = units.segments(rows, 10)
+    assert packed.columns == ["doc_id", "unit_idx", "block_idx", "text", "segment"]
+    assert _exchanged(packed) == 1
+    assert sorted((tuple(r) for r in packed.collect()), key=str) == sorted([(1, 0, 0, "a" * 6, 0), (1, 1, 1, "b" * 4, 0), (1, 2, 2, "c", 1), (2, 0, 0, "d" * 20, 0), (None, 0, 0, "e", 0)], key=str)
