@@ -63,3 +63,21 @@ def test_segments_read_their_units_once(spark):
     assert packed.columns == ["doc_id", "unit_idx", "block_idx", "text", "segment"]
     assert _exchanged(packed) == 1
     assert sorted((tuple(r) for r in packed.collect()), key=str) == sorted([(1, 0, 0, "a" * 6, 0), (1, 1, 1, "b" * 4, 0), (1, 2, 2, "c", 1), (2, 0, 0, "d" * 20, 0), (None, 0, 0, "e", 0)], key=str)
+
+
+def test_blocks_leave_a_worker_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    from termweave.sources import markdown
+
+    monkeypatch.setattr(markdown, "_HELD", 10)
+    taken = []
+
+    def rows():
+        for n in range(5):
+            taken.append(n)
+            yield 6, {"doc_id": n, "md": "x" * 6}
+
+    batches = markdown._gathered(rows(), pa.schema([("doc_id", pa.int64()), ("md", pa.string())]))
+    assert next(batches).num_rows == 2 and taken == [0, 1]
+    assert [b.num_rows for b in batches] == [2, 1]
