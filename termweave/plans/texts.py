@@ -63,9 +63,11 @@ def usage_append(s: SparkSession, d: str) -> DataFrame:
 
 def read_files(s: SparkSession, d: str) -> DataFrame:
     """A text file for each page, and one of a type that isn't read, read back as paragraphs and errors."""
-    pages, folder = c._read(s, d, "pages"), new_folder(s, "pages")
-    pages.select("page_id", "html").write.partitionBy("page_id").text(f"{folder}/plain")
-    pages.select("page_id", "url").write.partitionBy("page_id").json(f"{folder}/other")
+    # one folder for both files of a page; all tasks write, and put their own files in place: none waits for the driver to move them
+    pages, folder = c._read(s, d, "pages").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page_id"), new_folder(s, "pages")
+    placed = lambda column: pages.select("page_id", column).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id")
+    placed("html").text(folder)
+    placed("url").json(folder)
     read = files.read_files(s, folder)
     return read.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "block_idx", "kind", "text", "error")
 

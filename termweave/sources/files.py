@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.operators.results import suffix
 from termweave.sources import markdown
-from termweave.sources.documents import decoded, text_paragraphs
+from termweave.sources.documents import decoded, paragraphs
 
 #: Types that are read, by their readers.
 TYPES = ("md", "txt")
@@ -36,10 +36,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     unknown = _errors(others, F.concat(F.lit("file type '"), suffix(F.col("path")), F.lit("' is not supported")))
     known = scan.option("pathGlobFilter", "*.{" + ",".join(map(_any_case, TYPES)) + "}").load(path)
     texts = known.select(F.col("path").alias("doc_id"), decoded(F.col("content")).alias("text"), kind.alias("kind"))
-    plain = text_paragraphs(texts.where("kind = 'txt'")).withColumn("kind", F.lit("paragraph"))
-    paragraphs = plain.select("doc_id", *[(F.col(name) if name in ("block_idx", "kind", "text") else F.lit({"level": 0, "depth": 0, "ordered": False, "info": "", "translate": True}.get(name, None)) if name != "rows" else F.array()).cast(kind).alias(name) for name, kind in _BLOCK])
-    blocks = markdown.markdown_blocks(texts.where("kind = 'md'")).unionByName(paragraphs)
-    filled = markdown.has_text(blocks).where("has_text").select("doc_id")
-    empty = known.select("path").join(filled, F.col("path") == F.col("doc_id"), "left_anti")
-    found = blocks.join(filled, "doc_id", "left_semi").select(F.col("doc_id").alias("path"), *[name for name, _ in _BLOCK], F.lit(None).cast("string").alias("error"))
-    return found.unionByName(_errors(empty, F.lit("the file has no text"))).unionByName(unknown)
+    paragraph = lambda p, i: F.struct(*[_given(name, i, p).cast(kind).alias(name) for name, kind in _BLOCK])
+    plain = texts.where("kind = 'txt'").select("doc_id", F.transform(paragraphs(F.col("text")), paragraph).alias("blocks"))
+    # a file is one row until here, so none has to be read or met again for those without text
+    listed = markdown.block_lists(texts.where("kind = 'md'")).unionByName(plain)
+    row = lambda b, error: F.struct(*[(b[name] if error is None else F.lit(None).cast(kind)).alias(name) for name, kind in _BLOCK], F.lit(error).cast("string").alias("error"))
+    found = F.when(markdown.list_has_text(F.col("blocks")), F.transform("blocks", lambda b: row(b, None))).otherwise(F.array(row(None, "the file has no text")))
+    return listed.select(F.col("doc_id").alias("path"), F.inline(found)).unionByName(unknown)
+
+
+def _given(name: str, at: Column, text: Column) -> Column:
+    """A paragraph's columns."""
+    return {"block_idx": at, "text": text, "rows": F.array()}.get(name, F.lit({"kind": "paragraph", "level": 0, "depth": 0, "ordered": False, "info": "", "translate": True}.get(name)))

@@ -81,3 +81,18 @@ def test_blocks_leave_a_worker_in_small_batches(monkeypatch):
     batches = markdown._gathered(rows(), pa.schema([("doc_id", pa.int64()), ("md", pa.string())]))
     assert next(batches).num_rows == 2 and taken == [0, 1]
     assert [b.num_rows for b in batches] == [2, 1]
+
+
+def test_files_are_read_once_by_type(spark, tmp_path):
+    from termweave.sources import files
+
+    (tmp_path / "a.md").write_text("# t\n\ntext\n")
+    (tmp_path / "b.txt").write_text("x\n\ny\n")
+    (tmp_path / "c.txt").write_text("\n")
+    (tmp_path / "d.json").write_text("{}")
+    read = files.read_files(spark, str(tmp_path))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    # one scan for each type and one that lists the others; nothing is joined or grouped
+    assert plan.count("FileScan binaryFile") == 3 and _exchanged(read) == 0
+    assert sorted((r.path.rsplit("/", 1)[1], r.block_idx, r.text) for r in read.collect() if r.error is None) == [("a.md", 0, "t"), ("a.md", 1, "text"), ("b.txt", 0, "x"), ("b.txt", 1, "y")]
+    assert sorted(r.error for r in read.collect() if r.error) == ["file type '.json' is not supported", "the file has no text"]
