@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Trigrams of a language that its profile keeps: the most frequent ones.
 PROFILE = 300
 #: Trigrams up to which a table of them is sent to all tasks; with more, texts meet it by a join.
 SENT_GRAMS = 300_000
 #: Characters that are cut at once.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def _lowered(prefix: int | None) -> Column:
@@ -28,7 +30,7 @@ def _lowered(prefix: int | None) -> Column:
     return F.lower(whole if prefix is None else F.substring(whole, 1, prefix))
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chunks(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of texts: each trigram as a number of three code points, and the place of its text, in parts of some ``_CHUNK``."""
     held: list[tuple[int, str]] = []
     size = 0
@@ -79,40 +81,72 @@ def profiles(docs: DataFrame) -> DataFrame:
     return gram_counts(docs).withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "gram", "n", "rank")
 
 
-def _judged(docs: DataFrame, prefix: int | None, langs: list[str], grams: dict[str, list[float]], each: list[float], seen: bool) -> DataFrame:
-    """doc_id, lang for every row: the language of the highest score, ties to the least code.
+class Sent(NamedTuple):
+    """What judges texts in a task: a language's score sums its column of ``weights`` over a text's trigrams, and ``each`` for every trigram."""
 
-    A language's score sums its column of ``grams`` over a text's trigrams, and ``each`` for every trigram. Texts without
-    trigrams have none, nor, if ``seen``, those none of whose trigrams is in ``grams``.
-    """
+    langs: list[str]
+    #: Known trigrams in order, and a row of weights for each.
+    known: np.ndarray
+    weights: np.ndarray
+    each: list[float]
+    #: Whether texts none of whose trigrams is known have no language.
+    seen: bool
+
+
+def _to_send(langs: list[str], grams: dict[str, list[float]], each: list[float], seen: bool) -> Sent:
     numbers = np.array([_number(g) for g in grams], np.int64)
     order = np.argsort(numbers)
-    weights = np.array(list(grams.values()), float).reshape(len(numbers), len(langs))[order]
-    table = docs.sparkSession.sparkContext.broadcast((numbers[order], weights))
+    return Sent(langs, numbers[order], np.array(list(grams.values()), float).reshape(len(numbers), len(langs))[order], each, seen)
+
+
+def _found(texts: Iterable[str], size: int, sent: Sent) -> list[str | None]:
+    """The language of the highest score of each of ``size`` texts, ties to the least code; those without trigrams have none."""
+    langs, known, weights, each, seen = sent
+    scores, n, hits = np.zeros((size, len(langs))), np.zeros(size), np.zeros(size)
+    for found, owner in _chunks(texts):
+        n += np.bincount(owner, minlength=size)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            here = known[at] == found
+            at, owner = at[here], owner[here]
+            hits += np.bincount(owner, minlength=size)
+            for i in range(len(langs)):
+                scores[:, i] += np.bincount(owner, weights=weights[at, i], minlength=size)
+    total = np.round(scores + n[:, None] * np.array(each), 6)
+    judged = (hits if seen else n) > 0
+    return [langs[i] if ok else None for i, ok in zip(total.argmax(axis=1), judged)] if langs else [None] * size
+
+
+def _judged(docs: DataFrame, prefix: int | None, sent: Sent) -> DataFrame:
+    """doc_id, lang for every row."""
+    table = docs.sparkSession.sparkContext.broadcast(sent)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weigh = table.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores, n, hits = np.zeros((len(texts), len(langs))), np.zeros(len(texts)), np.zeros(len(texts))
-            for found, owner in _chunks(texts):
-                n += np.bincount(owner, minlength=len(texts))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    here = known[at] == found
-                    at, owner = at[here], owner[here]
-                    hits += np.bincount(owner, minlength=len(texts))
-                    for i in range(len(langs)):
-                        scores[:, i] += np.bincount(owner, weights=weigh[at, i], minlength=len(texts))
-            total = np.round(scores + n[:, None] * np.array(each), 6)
-            judged = (hits if seen else n) > 0
-            best = [langs[i] if ok else None for i, ok in zip(total.argmax(axis=1), judged)] if langs else [None] * len(texts)
+            # texts become strings one at a time, and go with their chunk
+            best = _found((text.as_py() for text in batch.column(1)), batch.num_rows, table.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string())], ["doc_id", "lang"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", _lowered(prefix).alias("text")).mapInArrow(task, f"doc_id {kind}, lang string")
 
 
+def judged_lists(rows: DataFrame, texts: Column, sent: Sent) -> DataFrame:
+    """``rows`` with langs: the language of each of ``texts`` (an array; of each the first 2,000 characters count), in place."""
+    table, names = rows.sparkSession.sparkContext.broadcast(sent), [*rows.columns, "langs"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten()
+            ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+            best = pa.array(_found((text.as_py() or "" for text in flat), len(flat), table.value), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), best)], names)
+
+    asked = F.transform(texts, lambda t: F.lower(F.substring(t, 1, 2000)))
+    return rows.withColumn("_asked", asked).mapInArrow(task, T.StructType([*rows.schema.fields, T.StructField("langs", T.ArrayType(T.StringType()))]))
+
+
 def detect(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """doc_id, lang for every row: the language whose profile's grams a text uses most often (ties: least code), null if none.
 
@@ -123,7 +157,7 @@ def detect(docs: DataFrame, profile: DataFrame) -> DataFrame:
     grams: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(langs))
     for r in rows:
         grams[r["gram"]][langs.index(r["lang"])] = 1.0
-    return _judged(docs, 2000, langs, grams, [0.0] * len(langs), True)
+    return _judged(docs, 2000, _to_send(langs, grams, [0.0] * len(langs), True))
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -135,7 +169,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, code = np.unique(batch.column(0).to_pylist(), return_inverse=True)
-            for found, owner in _chunks(batch.column(1).to_pylist()):
+            for found, owner in _chunks(text.as_py() for text in batch.column(1)):
                 for i, lang in enumerate(langs):
                     grams, n = np.unique(found[code[owner] == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(grams), pa.string()), pa.array([_gram(g) for g in grams.tolist()], pa.string()), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
@@ -150,16 +184,22 @@ def detect_bayes(docs: DataFrame, counts: DataFrame, prefix: int | None = 2000)
     Ties go to the least code; a text without trigrams has none. Of a text the first ``prefix`` characters are judged.
     A language's score is that of unseen trigrams alone, and what each trigram that it has seen adds to it.
     """
+    sent = sent_counts(counts)
+    return _joined_bayes(docs, counts, prefix) if sent is None else _judged(docs, prefix, sent)
+
+
+def sent_counts(counts: DataFrame) -> Sent | None:
+    """``counts`` as they are sent to all tasks; None where they are too many."""
     rows = counts.select("lang", "gram", "n").limit(SENT_GRAMS + 1).collect()
-    if len(rows) <= SENT_GRAMS:
-        langs = sorted({r["lang"] for r in rows})
-        grams: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(langs))
-        totals = dict.fromkeys(langs, 0)
-        for r in rows:
-            grams[r["gram"]][langs.index(r["lang"])] = math.log(2 * r["n"] + 1)
-            totals[r["lang"]] += r["n"]
-        return _judged(docs, prefix, langs, grams, [math.log(0.5 / (totals[x] + len(grams) / 2)) for x in langs], False)
-    return _joined_bayes(docs, counts, prefix)
+    if len(rows) > SENT_GRAMS:
+        return None
+    langs = sorted({r["lang"] for r in rows})
+    grams: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(langs))
+    totals = dict.fromkeys(langs, 0)
+    for r in rows:
+        grams[r["gram"]][langs.index(r["lang"])] = math.log(2 * r["n"] + 1)
+        totals[r["lang"]] += r["n"]
+    return _to_send(langs, grams, [math.log(0.5 / (totals[x] + len(grams) / 2)) for x in langs], False)
 
 
 def _joined_bayes(docs: DataFrame, counts: DataFrame, prefix: int | None) -> DataFrame:
@@ -196,16 +236,28 @@ def looks_untranslated(pairs: DataFrame, counts: DataFrame, source_lang: str, ta
         return pairs.select("doc_id", F.lit(False).alias("untranslated"))
     long = F.length("source") >= MIN_CHARS
     found = detect_bayes(pairs.where(long).select("doc_id", F.col("output").alias("text")), counts).select("doc_id", F.col("lang").alias("found"))
-    plain = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-    same = plain(F.col("source")) == plain(F.col("output"))
-    untranslated = long & (same | F.coalesce(F.col("found") == source_lang, F.lit(False)))
+    untranslated = long & (same_words(F.col("source"), F.col("output")) | F.coalesce(F.col("found") == source_lang, F.lit(False)))
     return pairs.join(found, "doc_id", "left").select("doc_id", F.coalesce(untranslated, F.lit(False)).alias("untranslated"))
 
 
+def same_words(source: Column, output: Column) -> Column:
+    """Whether two texts are the same but for white space."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return plain(source) == plain(output)
+
+
+def _sentences(text: Column) -> Column:
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"</?(?:a[0-9]+|b|i|u)>", ""), r"(?<=[.!?])\s+|\n+")
+
+
+def long_sentences(text: Column) -> Column:
+    """Sentences of 40 characters or more."""
+    return F.filter(_sentences(text), lambda s: F.length(s) >= MIN_CHARS)
+
+
 def has_source_sentence(texts: DataFrame, counts: DataFrame, lang: str) -> DataFrame:
     """doc_id, has_sentence for texts (doc_id, text; a row for each doc_id): a sentence of 40 characters or more in ``lang``."""
-    sentences = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"</?(?:a[0-9]+|b|i|u)>", ""), r"(?<=[.!?])\s+|\n+")
-    each = texts.select("doc_id", F.posexplode(sentences).alias("at", "text")).where(F.length("text") >= MIN_CHARS)
+    each = texts.select("doc_id", F.posexplode(_sentences(F.col("text"))).alias("at", "text")).where(F.length("text") >= MIN_CHARS)
     found = detect_bayes(each.select(F.struct("doc_id", "at").alias("doc_id"), "text"), counts).where(F.col("lang") == lang)
     hits = found.select(F.col("doc_id.doc_id").alias("doc_id")).distinct().withColumn("has_sentence", F.lit(True))
     return texts.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("has_sentence", F.lit(False)).alias("has_sentence"))

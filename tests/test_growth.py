@@ -96,3 +96,34 @@ def test_files_are_read_once_by_type(spark, tmp_path):
     assert plan.count("FileScan binaryFile") == 3 and _exchanged(read) == 0
     assert sorted((r.path.rsplit("/", 1)[1], r.block_idx, r.text) for r in read.collect() if r.error is None) == [("a.md", 0, "t"), ("a.md", 1, "text"), ("b.txt", 0, "x"), ("b.txt", 1, "y")]
     assert sorted(r.error for r in read.collect() if r.error) == ["file type '.json' is not supported", "the file has no text"]
+
+
+def test_outputs_are_scored_in_their_rows(spark, monkeypatch):
+    from termweave.operators import language, translation
+
+    english, german = "the cat sat on the mat and the dog ran to the house", "der hund lief in das haus und die katze sass auf der matte"
+    counts = language.gram_counts(spark.createDataFrame([(english * 3, "en"), (german * 3, "de")], "text string, lang string")).cache()
+    rows = [(1, 0, english, german), (1, 1, english, english), (1, 2, english, f"{german * 3}.\n{english}"), (1, 3, "short", "other"), (1, 4, english, None), (2, 0, german, ""), (2, 1, english, f" {english}\n"), (2, 2, None, english)]
+    outputs = spark.createDataFrame(rows, "doc_id long, unit_idx int, text string, output string")
+    scored = translation.scores(outputs, counts, "en", "de")
+    assert _exchanged(scored) == 0
+    got = sorted((r.doc_id, r.unit_idx, r.score) for r in scored.collect())
+    assert got == [(1, 0, 0), (1, 1, 2), (1, 2, 1), (1, 3, 0), (1, 4, 2), (2, 0, 0), (2, 1, 2), (2, 2, 1)]
+    monkeypatch.setattr(language, "SENT_GRAMS", 1)
+    assert got == sorted((r.doc_id, r.unit_idx, r.score) for r in translation.scores(outputs, counts, "en", "de").collect())
+
+
+def test_texts_are_cut_as_they_come(monkeypatch):
+    from termweave.operators import language
+
+    monkeypatch.setattr(language, "_CHUNK", 10)
+    taken = []
+
+    def texts():
+        for n in range(4):
+            taken.append(n)
+            yield "abcdef"
+
+    chunks = language._chunks(texts())
+    assert len(next(chunks)[0]) == 8 and taken == [0, 1]
+    assert [sorted(set(owner.tolist())) for _, owner in chunks] == [[2, 3]]
