@@ -71,10 +71,12 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     ``trusted`` has doc_id of good documents; the target counts all of them, raw counts all documents.
     """
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
-    good = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    grams = _grams(docs.select("text", F.lit(None).cast("int").alias("good")), "good").unionByName(_grams(good.select("text", F.lit(1).alias("good")), "good"))
-    counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count_if(F.col("good").isNull()).alias("raw"), F.count("good").alias("target"))
+    ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("_key")).distinct().withColumn("good", F.lit(1))
+    # texts move once, at any size, and are cut once for both counts; rows without an id are dealt by their text and meet none
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_key"))
+    marked = keyed.join(ids.hint("shuffle_hash"), "_key", "left").select("text", F.when(F.col("doc_id").isNotNull(), F.col("good")).alias("good"))
+    grams = _grams(marked, "good")
+    counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     kind = counts.withColumn("pair", F.col("bucket") >= BUCKETS)
     totals = kind.groupBy("pair").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     share = F.col("raw") / F.col("all_raw")

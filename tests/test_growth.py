@@ -127,3 +127,14 @@ def test_texts_are_cut_as_they_come(monkeypatch):
     chunks = language._chunks(texts())
     assert len(next(chunks)[0]) == 8 and taken == [0, 1]
     assert [sorted(set(owner.tolist())) for _, owner in chunks] == [[2, 3]]
+
+
+def test_texts_of_trusted_documents_move_once_at_any_size(spark):
+    from termweave.llm import quality_rules
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (None, "d")], "doc_id long, text string")
+    weights = quality_rules.ratio_weights(docs, docs.where("doc_id = 1").select("doc_id"))
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin [_key" not in plan
+    # texts are cut once for both counts; the totals' branch is the same exchange
+    assert plan.count("Generate explode(_grams") == 2
