@@ -138,3 +138,15 @@ def test_texts_of_trusted_documents_move_once_at_any_size(spark):
     assert "ShuffledHashJoin" in plan and "BroadcastHashJoin [_key" not in plan
     # texts are cut once for both counts; the totals' branch is the same exchange
     assert plan.count("Generate explode(_grams") == 2
+
+
+def test_answers_are_parted_in_their_rows(spark):
+    from termweave.operators import translation
+
+    raws = ["lead\n[[1]] a\n[[2]] b", "[[1]] a\n[[1]]  x \n[[2]] b\nc", "[[1]] a", "[[2]] b\n[[1]] a", "", None, "[[01]] a\n[[x]]\n[[2]]b", "[[1]] a\n[[2]] b\n[[1]] c"]
+    segments = spark.createDataFrame([(n, 0, 2, [], [0, 0]) for n in range(len(raws))], "doc_id long, segment int, n_units long, spans array<string>, of_line array<int>")
+    answers = spark.createDataFrame(list(enumerate(raws)), "doc_id long, raw string").withColumn("segment", F.lit(0))
+    read = translation.decoded(segments, answers)
+    # one for each side of the join
+    assert _exchanged(read) == 2 and "Window" not in read._jdf.queryExecution().executedPlan().toString()
+    assert [r.texts for r in read.orderBy("doc_id").collect()] == [["a", "b"], ["x", "b\nc"], None, None, None, None, ["a\n[[x]]", "b"], None]
