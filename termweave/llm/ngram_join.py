@@ -36,6 +36,8 @@ GATHER = 2_000_000
 KEPT_BYTES = 6
 #: Sets of one gathering that share a signature from which on it is dealt apart from its bucket.
 HOT = 128
+#: Sets of a hot signature that travel as one part.
+PART = 256
 #: Rounds, after the first, that pair the sets of a signature with a leader before all that are still apart are paired.
 STAR_ROUNDS = 1
 #: Bits of a set's sketch.
@@ -81,8 +83,8 @@ def _nodes(source: DataFrame, size: int) -> DataFrame:
 def _signatures(source: DataFrame, size: int, buckets: int) -> DataFrame:
     """bucket, hot, packed: the sets that have signatures in a bucket, and (signature, which set) for each.
 
-    A signature of ``HOT`` or more sets gathered at once goes to any bucket, marked as hot; in its own bucket stands one
-    row of no set, so that it isn't taken for a signature that only one set has.
+    A signature of ``HOT`` or more sets gathered at once goes to any buckets, in parts of ``PART`` sets marked as hot; in
+    its own bucket stands one row of no set, so that it isn't taken for a signature that only one set has.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,8 @@ def _signatures(source: DataFrame, size: int, buckets: int) -> DataFrame:
             if hot.any():
                 own, theirs = signature[hot], owner[hot]
                 edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                for i, (a, b) in enumerate(zip(edges, np.r_[edges[1:], len(own)], strict=True)):
+                parts = [(c, min(c + PART, b)) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True) for c in range(a, b, PART)]
+                for i, (a, b) in enumerate(parts):
                     own_bucket = int(((own[a] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32))
                     rows.append(_whole(own[a : a + 1].view(np.uint8).reshape(1, 8)[:, :KEPT_BYTES], own_bucket).tobytes() + packed(own[a:b], theirs[a:b], about))
                     keys.append(int(mix(own[a : a + 1] + np.uint64(about[0, 0] & 0xFFFF) + np.uint64(i))[0] % np.uint64(buckets)))
@@ -159,27 +162,48 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(packed: DataFrame) -> DataFrame:
-    """signature, node, n, members: sets of every signature that two or more have; members is null for hot ones."""
-    names = ["signature", "node", "n", "members"]
+    """signature, node, n, members, sets: sets of every signature that two or more have.
+
+    A row is a set, but for hot signatures: there it is a part of the sets, as ``sets`` (node, n), and members counts it.
+    """
+    pairs = pa.struct([("node", pa.int64()), ("n", pa.int64())])
+    columns = {"signature": pa.int64(), "node": pa.int64(), "n": pa.int64(), "members": pa.int64(), "sets": pa.list_(pairs)}
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, held, hot_parts, total = None, [], [], 0
         for batch in batches:
             for own, hot, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if hot:
                     data = raw.as_py()
-                    about = _unpacked(data[8:])[1]
-                    yield rows(np.repeat(np.frombuffer(data, np.uint64, 1), len(about)), about, None)
+                    hot_parts.append((np.frombuffer(data, np.uint64, 1), _unpacked(data[8:])[1]))
+                    total += len(hot_parts[-1][1])
+                    if total >= 100 * PART:
+                        yield parts(*zip(*hot_parts, strict=True))
+                        hot_parts, total = [], 0
                     continue
                 if own != bucket:
                     yield from found(bucket, held)
                     bucket, held = own, []
                 held.append(raw.as_py())
         yield from found(bucket, held)
+        if hot_parts:
+            yield parts(*zip(*hot_parts, strict=True))
+
+    def batch(**given: pa.Array) -> pa.RecordBatch:
+        size = len(given["signature"])
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(size, kind)) for c, kind in columns.items()], list(columns))
+
+    def numbers(about: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.ascontiguousarray(c)) for c in about.T]
+
+    def rows(signature: np.ndarray, about: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+        node, n = numbers(about)
+        return batch(signature=pa.array(to_signed(signature)), node=node, n=n, members=pa.array(members, pa.int64()))
 
-    def rows(signature: np.ndarray, about: np.ndarray, members: np.ndarray | None) -> pa.RecordBatch:
-        count = pa.nulls(len(signature), pa.int64()) if members is None else pa.array(members, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(to_signed(signature)), *(pa.array(np.ascontiguousarray(c)) for c in about.T), count], names)
+    def parts(signatures: tuple[np.ndarray, ...], abouts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in abouts], np.int64)
+        sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays(numbers(np.concatenate(abouts)), fields=list(pairs)))
+        return batch(signature=pa.array(to_signed(np.concatenate(signatures))), members=pa.array(sizes), sets=sets)
 
     def found(bucket: int | None, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -204,11 +228,28 @@ def _groups(packed: DataFrame) -> DataFrame:
         size = np.diff(first, append=len(signature))
         marked = np.repeat(np.add.reduceat(about[:, 1] == 0, first) > 0, size)
         size = np.repeat(size, size)
-        for keep, members in ((~marked & (size > 1), size), (marked & (about[:, 1] > 0), None)):
-            if keep.any():
-                yield rows(signature[keep], about[keep], None if members is None else members[keep])
+        keep = ~marked & (size > 1)
+        if keep.any():
+            yield rows(signature[keep], about[keep], size[keep])
+        keep = marked & (about[:, 1] > 0)
+        if keep.any():
+            signature, about = signature[keep], about[keep]
+            at = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
+            cuts = [c for a, b in zip(at.tolist(), [*at[1:].tolist(), len(signature)], strict=True) for c in range(a, b, PART)]
+            for k in range(0, len(cuts), 100):
+                edges = [*cuts[k : k + 101], len(signature)][: min(100, len(cuts) - k) + 1]
+                yield parts(tuple(signature[a : a + 1] for a in edges[:-1]), tuple(about[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)))
 
-    return packed.mapInArrow(gathered, "signature bigint, node bigint, n bigint, members bigint")
+    return packed.mapInArrow(gathered, "signature bigint, node bigint, n bigint, members bigint, sets array<struct<node: bigint, n: bigint>>")
+
+
+def _counted(groups: DataFrame) -> DataFrame:
+    """signature, members, sets: the parts of hot signatures, each with the count of its signature over all parts.
+
+    A set that was gathered more than once counts so often: the count orders signatures alike for all sets, no more.
+    """
+    hot = groups.where("node is null").select("signature", "members", "sets")
+    return hot.drop("members").join(hot.groupBy("signature").agg(F.sum("members").alias("members")), "signature")
 
 
 def _open_sets(groups: DataFrame, percent: int) -> DataFrame:
@@ -216,9 +257,8 @@ def _open_sets(groups: DataFrame, percent: int) -> DataFrame:
 
     ``own`` are the signatures that other sets have too, ``common`` their number, ``weight`` how common they are.
     """
-    hot = groups.where("members is null").select("signature", "node", "n").distinct()
-    counts = hot.groupBy("signature").agg(F.count("*").alias("members")).where("members > 1")
-    known = groups.where("members is not null").unionByName(hot.join(counts, "signature"))
+    hot = _counted(groups).select("signature", "members", F.inline("sets")).distinct()
+    known = groups.where("node is not null").drop("sets").unionByName(hot)
     weight = F.sum(F.log2(F.col("members").cast("double"))) / F.first("n")
     own = known.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common"), weight.alias("weight"), F.collect_list(F.struct("members", "signature")).alias("own"))
     return own.where(F.col("common") * 100 >= percent * F.col("n")).withColumn("own", F.sort_array("own"))

@@ -92,6 +92,29 @@ def test_join_links_rows_without_id(spark):
     assert sorted(groups.values()) == [1, 3, 4]
 
 
+def test_join_counts_hot_signatures_by_parts(spark):
+    # a passage of 36 shingles that many sets share: its count meets parts of the sets, not each set
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    found = {}
+    for sets in (600, 1200):
+        rows = [(i, " ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(60)])) for i in range(sets)]
+        rows += [(10_000 + i, f"{t} more") for i, t in rows[:50]]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        packed = ngram_join._signatures(docs, 5, 4).repartitionById(4, "bucket").sortWithinPartitions("bucket")
+        groups = ngram_join._groups(packed).cache()
+        counted = ngram_join._counted(groups).select("signature", "members", F.size("sets").alias("size")).collect()
+        assert {(r.signature, r.members) for r in counted} == {(s, sets + 50) for s in {r.signature for r in counted}}
+        assert len({r.signature for r in counted}) == 36 and sum(r.size for r in counted) == 36 * (sets + 50)
+        assert len(counted) <= 36 * ((sets + 50) / ngram_join.PART + 4)
+        whole = ngram_join._open_sets(groups, 75).collect()
+        assert sorted(r.common for r in whole) == [96] * 100
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(docs).collect()}
+        assert got == {i: i % 10_000 for i, _ in rows}
+        found[sets] = len(counted)
+    assert found[1200] <= 2 * found[600]
+
+
 def test_near_duplicates_decide_by_row(spark):
     a, near, _ = chain(1)
     d, e, f = chain(2)
