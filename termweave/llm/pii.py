@@ -50,6 +50,11 @@ _DRAWS_IN_FORMAT = 8
 _ENDINGS = r"(?:na|n|r|на|н|ва|в|να|ν|ρ)$"
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out and stands in the plan once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _name_of(mention: Column) -> Column:
     """A mention's name without titles and greeting."""
     return F.regexp_replace(mention, rf"^(?:{_LEAD}|(?:{'|'.join(GREETINGS)}) )", "")
@@ -75,13 +80,15 @@ def _name_norm(word: Column, gender: Column) -> Column:
 
 def _name_parts(mention: Column) -> Column:
     """Given names and surnames of a name with title: with two words the first is given; hyphens part a word."""
-    words, gender = F.split(_name_of(mention), " "), _gender(mention)
 
-    def of_word(word: Column, i: Column) -> Column:
-        kind = F.when((F.size(words) > 1) & (i == 0), "given").otherwise("surname")
-        return F.transform(F.split(word, "-"), lambda w: _part(kind, F.when(kind == "surname", _name_norm(w, gender)).otherwise(F.lower(w)), w, gender))
+    def of_words(words: Column, gender: Column) -> Column:
+        def of_word(word: Column, i: Column) -> Column:
+            kind = F.when((F.size(words) > 1) & (i == 0), "given").otherwise("surname")
+            return F.transform(F.split(word, "-"), lambda w: _part(kind, F.when(kind == "surname", _name_norm(w, gender)).otherwise(F.lower(w)), w, gender))
+
+        return F.flatten(F.transform(words, of_word))
 
-    return F.flatten(F.transform(words, of_word))
+    return _let(F.split(_name_of(mention), " "), lambda words: _let(_gender(mention), lambda gender: of_words(words, gender)))
 
 
 def _names(text: Column) -> Column:
@@ -93,9 +100,8 @@ def _names(text: Column) -> Column:
 def _pattern(names: Column) -> Column:
     """The pattern of a text's mentions: all types, and its known names (three letters or more) without a title."""
     long = F.array_distinct(F.transform(F.filter(names, lambda n: F.length(n["shown"]) > 2), lambda n: n["shown"]))
-    one = F.concat(F.lit("(?:"), F.array_join(long, "|"), F.lit(")"))
-    several = F.concat(F.lit(rf"{_ANY}|(?<![\p{{L}}\p{{N}}-])"), one, F.lit("(?:[ -]"), one, F.lit(r")*(?![\p{L}\p{N}])"))
-    return F.when(F.size(long) > 0, several).otherwise(F.lit(_ANY))
+    several = lambda one: F.concat(F.lit(rf"{_ANY}|(?<![\p{{L}}\p{{N}}-])"), one, F.lit("(?:[ -]"), one, F.lit(r")*(?![\p{L}\p{N}])"))
+    return _let(F.array_join(long, "|"), lambda found: F.when(found != "", several(F.concat(F.lit("(?:"), found, F.lit(")")))).otherwise(F.lit(_ANY)))
 
 
 def mentions(text: Column, pattern: Column) -> Column:
@@ -115,12 +121,14 @@ def parts(mention: Column, names: Column) -> Column:
 
     ``names`` are the parts of the text's names; they tell what a name without title is.
     """
-    kind = _type_of(mention)
+    return _let(_type_of(mention), lambda kind: _parts_of(mention, names, kind))
 
+
+def _parts_of(mention: Column, names: Column, kind: Column) -> Column:
     def known(word: Column) -> Column:
         same = F.filter(names, lambda n: n["shown"] == word)
-        surname = F.filter(same, lambda n: n["type"] == "surname")
-        return F.coalesce(F.get(surname, F.lit(0)), F.get(same, F.lit(0)))
+        surname = lambda found: F.get(F.filter(found, lambda n: n["type"] == "surname"), F.lit(0))
+        return _let(same, lambda found: F.coalesce(surname(found), F.get(found, F.lit(0))))
 
     value = F.when(kind == "password", F.regexp_extract(mention, "=(.*)$", 1)).when(kind == "token", F.regexp_extract(mention, '"(.*)"', 1)).otherwise(mention)
     norm = (
@@ -164,27 +172,41 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate's normal form: characters replaced within their class, types' fixed parts kept."""
     seed = F.concat_ws("\x1f", kind, norm, attempt.cast("string"))
     stream = F.concat(*[_hmac(F.concat_ws("\x1f", seed, F.lit(str(k))), key) for k in range(4)])
+    return _let(stream, lambda bytes_: _drawn(kind, norm, attempt, bytes_))
+
+
+def _drawn(kind: Column, norm: Column, attempt: Column, stream: Column) -> Column:
+    """The surrogate that a stream of bytes draws."""
     size = F.length(norm)
     head = F.when(kind == "phone", F.when(norm.startswith("+"), 2).otherwise(0)).when(kind == "card", 1).when(kind == "accesskey", 4).when(kind == "iban", 2).otherwise(0)
     tail = F.when(kind == "email", F.length(F.regexp_extract(norm, r"\.[^.]*$", 0))).otherwise(0)
     is_hex = norm.rlike("^[0-9a-f]+$")
 
     def replaced(i: Column) -> Column:
-        c, b = F.substr(norm, i, F.lit(1)), _byte(stream, i)
+        return _let(F.substr(norm, i, F.lit(1)), lambda c: _let(_byte(stream, i), lambda b: other(i, c, b)))
+
+    def other(i: Column, c: Column, b: Column) -> Column:
         letter = F.when(is_hex, _pick("abcdef", b)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", b))
         digit = F.when(kind == "accesskey", _pick("234567", b)).when((kind == "phone") & (i == head + 1), _pick("23456789", b)).otherwise(_pick("0123456789", b))
         return F.when((i <= head) | (i > size - tail), c).when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).otherwise(c)
 
     chars = F.array_join(F.transform(F.sequence(F.lit(1), size), replaced), "")
-    body = F.substr(chars, F.lit(1), size - 1)
-    check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    card = F.when(F.pmod(_luhn_sum(norm), F.lit(10)) == 0, F.concat(body, check)).otherwise(chars)
+
+    def card(chars: Column) -> Column:
+        body = F.substr(chars, F.lit(1), size - 1)
+        check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+        return F.when(F.pmod(_luhn_sum(norm), F.lit(10)) == 0, F.concat(body, check)).otherwise(chars)
+
     octets = F.transform(F.split(norm, r"\."), lambda o, i: F.when(F.length(o) == 1, 1 + F.pmod(_byte(stream, i), F.lit(9))).when(F.length(o) == 2, 10 + F.pmod(_byte(stream, i), F.lit(90))).otherwise(100 + F.pmod(_byte(stream, i), F.lit(155))).cast("string"))
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
     stem = F.when(cyrillic, _syllables(stream, "бвгдзклмнпрст", "аеиоу", 3)).when(norm.rlike(r"\p{IsGreek}"), _syllables(stream, "βγδζθκλμνπρτφ", "αειου", 3)).otherwise(_syllables(stream, "bdfgklmnprstv", "aeiou", 3))
-    own = F.when(kind == "card", card).when(kind == "ip", F.array_join(octets, ".")).when(kind.isin("given", "surname"), stem).otherwise(chars)
-    longer = F.when(kind.isin("phone", "card", "ssn", "ip"), F.concat(own, F.translate(F.substr(stream, F.lit(1), F.lit(6)), "abcdef", "012345"))).when(kind == "email", F.concat(F.substr(stream, F.lit(1), F.lit(8)), own)).when(kind.isin("given", "surname"), F.concat(own, F.translate(F.substr(stream, F.lit(1), F.lit(8)), "0123456789", "ghijklmnop"))).otherwise(F.concat(own, F.substr(stream, F.lit(1), F.lit(8))))
-    return F.when(attempt < _DRAWS_IN_FORMAT, own).otherwise(longer)
+    own = F.when(kind == "card", _let(chars, card)).when(kind == "ip", F.array_join(octets, ".")).when(kind.isin("given", "surname"), stem).otherwise(chars)
+    return _let(own, lambda own: F.when(attempt < _DRAWS_IN_FORMAT, own).otherwise(_longer(kind, own, stream)))
+
+
+def _longer(kind: Column, own: Column, stream: Column) -> Column:
+    """A surrogate with more characters than its format has."""
+    return F.when(kind.isin("phone", "card", "ssn", "ip"), F.concat(own, F.translate(F.substr(stream, F.lit(1), F.lit(6)), "abcdef", "012345"))).when(kind == "email", F.concat(F.substr(stream, F.lit(1), F.lit(8)), own)).when(kind.isin("given", "surname"), F.concat(own, F.translate(F.substr(stream, F.lit(1), F.lit(8)), "0123456789", "ghijklmnop"))).otherwise(F.concat(own, F.substr(stream, F.lit(1), F.lit(8))))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -237,7 +259,7 @@ def _shown(part: Column, norm: Column) -> Column:
     surname = F.concat(norm, F.when(female & (F.lower(shown) != part["norm"]), "ва").otherwise(ending("r", "в", "ρ")))
     named = F.when(kind == "given", given).otherwise(surname)
     cased = F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: F.when(F.substr(shown, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substr(norm, i, F.lit(1)))).otherwise(F.substr(norm, i, F.lit(1))))
-    name = F.when((shown == F.upper(shown)) & (F.length(shown) > 1), F.upper(named)).otherwise(F.initcap(named))
+    name = _let(named, lambda named: F.when((shown == F.upper(shown)) & (F.length(shown) > 1), F.upper(named)).otherwise(F.initcap(named)))
     return F.when(spaced, laid).when(kind == "email", F.array_join(cased, "")).when(kind.isin("given", "surname"), name).otherwise(norm)
 
 
@@ -262,21 +284,23 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     joined = marked.join(books, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left")
 
     def new(mention: Column) -> Column:
-        replaced = F.transform(parts(mention, F.col("names")), lambda p: _shown(p, F.element_at(F.col("book"), F.concat_ws("\x1f", p["type"], p["norm"]))))
-        kind = _type_of(mention)
+        value = lambda p: F.element_at(F.col("book"), F.concat_ws("\x1f", p["type"], p["norm"]))
+        replaced = lambda kind: F.transform(_parts_of(mention, F.col("names"), kind), lambda p: _let(value(p), lambda norm: _shown(p, norm)))
+        return _let(_type_of(mention), lambda kind: _let(replaced(kind), lambda shown: laid(mention, kind, shown)))
+
+    def laid(mention: Column, kind: Column, replaced: Column) -> Column:
         one = F.get(replaced, F.lit(0))
         # between the parts of a name stand spaces and hyphens
         between = F.concat(F.regexp_extract_all(F.when(kind == "name", _name_of(mention)).otherwise(mention), F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
         name = F.array_join(F.zip_with(replaced, between, lambda a, b: F.concat(a, b)), "")
         return (
-            F.when(kind == "name", F.concat(_lead_of(mention), name))
-            .when(kind == "known", name)
+            F.when(kind.isin("name", "known"), F.concat(F.when(kind == "name", _lead_of(mention)).otherwise(""), name))
             .when(kind == "password", F.concat(F.regexp_extract(mention, "^[^=]*=", 0), one))
             .when(kind == "token", F.concat(F.regexp_extract(mention, '^[^"]*"', 0), one, F.lit('"')))
             .otherwise(one)
         )
 
-    pieces = F.split("text", F.col("pattern"), -1)
-    replaced = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("mentions")), F.transform("mentions", new), lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
-    text = F.when(F.size("mentions") == 0, F.col("text")).otherwise(replaced)
+    # a text is cut once
+    replaced = lambda pieces: F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("mentions")), F.transform("mentions", new), lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
+    text = F.when(F.size("mentions") == 0, F.col("text")).otherwise(_let(F.split("text", F.col("pattern"), -1), replaced))
     return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_mentions"], F.size("mentions").alias("n_mentions"))

@@ -115,6 +115,15 @@ def test_join_counts_hot_signatures_by_parts(spark):
     assert found[1200] <= 2 * found[600]
 
 
+def test_surrogates_stand_in_the_plan_once(spark):
+    # the plan had 178,000 characters, each value written out wherever it was used
+    docs = spark.createDataFrame([(1, "Frau Müller-Lüdenscheid, call +49 30 1234 5678 or Müller", "de")], "doc_id long, text string, lang string")
+    replaced = pii.replace_pii(docs, "k")
+    assert len(replaced._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    drawn = spark.range(1).select(pii.surrogate(F.lit("card"), F.concat(F.lit("4111111111111111"), F.lit("")), F.col("id").cast("int"), "k").alias("s"))
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("sha2(") <= 16
+
+
 def test_near_duplicates_decide_by_row(spark):
     a, near, _ = chain(1)
     d, e, f = chain(2)
