@@ -34,6 +34,8 @@ _TOKENS = {
 _ALL = "|".join(f"(?<{kind}>{pattern})" for kind, pattern in _TOKENS.items() if kind != "code")
 # the code span's own group has to be the first, for its back reference
 _PATTERN = f"(?:{_TOKENS['code']})|{_ALL}"
+#: Tokens that look together for the links and spans that reach them.
+_BLOCK = 64
 
 
 def _let(value: Column, use) -> Column:
@@ -43,7 +45,8 @@ def _let(value: Column, use) -> Column:
 def _kind(token: Column) -> Column:
     first = F.left(token, F.lit(1))
     return (
-        F.when(token.rlike(r"\A`+\z"), "ticks")
+        F.when(~first.isin("`", "\\", "<", "!", "[", "]", "*", "_", "\n", " "), "text")
+        .when(token.rlike(r"\A`+\z"), "ticks")
         .when(first == "`", "code")
         .when(token.rlike(r"\A(?: {2,}|\\)\n"), "hard")
         .when(token.rlike(r"\A ?\n"), "soft")
@@ -87,14 +90,16 @@ def _emphasis(tokens: Column, links: Column) -> Column:
         def step(acc: Column, _: Column) -> Column:
             odd = lambda o: (o["closes"] | t["opens"]) & ((o["whole"] + t["whole"]) % 3 == 0) & ~((o["whole"] % 3 == 0) & (t["whole"] % 3 == 0))
             fits = lambda o: (o["ch"] == t["ch"]) & (o["at"] > floor) & ~odd(o)
-            opener = F.try_element_at(F.filter(acc["open"], fits), F.lit(-1))
+            found = F.when(acc["left"] > 0, F.try_element_at(F.filter(acc["open"], fits), F.lit(-1)))
+            return _let(found, lambda opener: F.when(opener.isNotNull(), paired(acc, opener)).otherwise(acc))
+
+        def paired(acc: Column, opener: Column) -> Column:
             n = F.when((opener["n"] >= 2) & (acc["left"] >= 2), 2).otherwise(1)
             kept = F.filter(acc["open"], lambda o: o["at"] < opener["at"])
             shorter = F.struct(opener["at"].alias("at"), opener["ch"].alias("ch"), (opener["n"] - n).alias("n"), opener["whole"].alias("whole"), opener["closes"].alias("closes"))
             after = F.when(opener["n"] > n, F.concat(kept, F.array(shorter))).otherwise(kept)
             span = F.array(F.struct(opener["at"].alias("from"), t["at"].alias("to"), n.alias("n")))
-            done = F.struct(after.alias("open"), F.concat(acc["spans"], span).alias("spans"), (acc["left"] - n).alias("left"))
-            return F.when((acc["left"] > 0) & opener.isNotNull(), done).otherwise(acc)
+            return F.struct(after.alias("open"), F.concat(acc["spans"], span).alias("spans"), (acc["left"] - n).alias("left"))
 
         return step
 
@@ -102,13 +107,14 @@ def _emphasis(tokens: Column, links: Column) -> Column:
         inside = F.filter(links, lambda x: (x["from"] < t["at"]) & (t["at"] < x["to"]))
         floor = F.coalesce(F.array_max(F.transform(inside, lambda x: x["from"])), F.lit(-1))
         fresh = F.struct(acc["open"].alias("open"), acc["spans"].alias("spans"), t["whole"].alias("left"))
-        closed = F.when(t["closes"], F.aggregate(F.sequence(F.lit(1), t["whole"]), fresh, match(t, floor))).otherwise(fresh)
+        closed = F.when(t["closes"] & (F.size(acc["open"]) > 0), _let(floor, lambda floor: F.aggregate(F.sequence(F.lit(1), t["whole"]), fresh, match(t, floor)))).otherwise(fresh)
         opener = lambda c: F.struct(t["at"].alias("at"), t["ch"].alias("ch"), c["left"].alias("n"), t["whole"].alias("whole"), t["closes"].alias("closes"))
         opened = _let(closed, lambda c: F.struct(F.when(t["opens"] & (c["left"] > 0), F.concat(c["open"], F.array(opener(c)))).otherwise(c["open"]).alias("open"), c["spans"].alias("spans"), c["left"].alias("left")))
         # what a link holds pairs with nothing after it
         ended = F.array_max(F.transform(F.filter(links, lambda x: x["to"] == t["at"]), lambda x: x["from"]))
         dropped = F.struct(F.filter(acc["open"], lambda o: o["at"] < ended).alias("open"), acc["spans"].alias("spans"), acc["left"].alias("left"))
-        return F.when(t["kind"] == "run", opened).when(ended.isNotNull(), dropped).otherwise(acc)
+        # only such tokens end a link
+        return F.when(t["kind"] == "run", opened).when((t["kind"] == "link") & (F.size(acc["open"]) > 0), F.when(ended.isNotNull(), dropped).otherwise(acc)).otherwise(acc)
 
     return F.aggregate(tokens, start, step, lambda acc: acc["spans"])
 
@@ -123,15 +129,21 @@ def _tokens(text: Column) -> Column:
             left = ~space(after) & (~mark(after) | space(before) | mark(before))
             right = ~space(before) & (~mark(before) | space(after) | mark(after))
             star = F.left(token, F.lit(1)) == "*"
-            return F.struct(
-                at.alias("at"),
-                token.alias("raw"),
-                _kind(token).alias("kind"),
-                F.left(token, F.lit(1)).alias("ch"),
-                F.length(token).alias("whole"),
-                F.when(star, left).otherwise(left & (~right | mark(before))).alias("opens"),
-                F.when(star, right).otherwise(right & (~left | mark(after))).alias("closes"),
-            )
+            opens, closes = F.when(star, left).otherwise(left & (~right | mark(before))), F.when(star, right).otherwise(right & (~left | mark(after)))
+
+            def known(kind: Column) -> Column:
+                run = kind == "run"
+                return F.struct(
+                    at.alias("at"),
+                    token.alias("raw"),
+                    kind.alias("kind"),
+                    F.left(token, F.lit(1)).alias("ch"),
+                    F.length(token).alias("whole"),
+                    (run & opens).alias("opens"),
+                    (run & closes).alias("closes"),
+                )
+
+            return _let(_kind(token), known)
 
         return F.transform(raw, one)
 
@@ -172,11 +184,14 @@ def runs(text: Column) -> Column:
     none = F.array().cast("array<struct<text string, bold boolean, italic boolean, code boolean, href string>>")
 
     def built(tokens: Column, links: Column, spans: Column) -> Column:
-        def piece(t: Column) -> Column:
+        def piece(t: Column, links: Column, spans: Column) -> Column:
+            around = F.filter(links, lambda x: (x["from"] < t["at"]) & (t["at"] < x["to"]))
+            ends = F.get(F.filter(links, lambda x: x["to"] == t["at"]), F.lit(0))
+            return _let(around, lambda around: _let(ends, lambda ends: shaped(t, links, spans, around, ends)))
+
+        def shaped(t: Column, links: Column, spans: Column, around: Column, ends: Column) -> Column:
             covers = lambda s: (s["from"] < t["at"]) & (t["at"] < s["to"])
             used = F.aggregate(F.filter(spans, lambda s: (s["from"] == t["at"]) | (s["to"] == t["at"])), F.lit(0), lambda n, s: n + s["n"])
-            around = F.filter(links, covers)
-            ends = F.get(F.filter(links, lambda x: x["to"] == t["at"]), F.lit(0))
             starts = F.exists(links, lambda x: x["from"] == t["at"])
             alt = F.array_join(F.transform(F.slice(tokens, ends["from"] + 2, t["at"] - ends["from"] - 1), lambda x: x["raw"]), "")
             outer = F.get(F.filter(around, lambda x: ~x["image"]), F.lit(0))
@@ -189,9 +204,13 @@ def runs(text: Column) -> Column:
             )
             mail = ~F.contains(t["raw"], F.lit(":")) | t["raw"].rlike("^<[^:]*@")
             own = F.concat(F.when(mail, "mailto:").otherwise(""), _shown(t))
-            href = F.when(outer.isNotNull(), _address(F.get(tokens, outer["to"])["raw"])).when(t["kind"] == "auto", own).otherwise("")
+            address = lambda outer: F.when(outer.isNotNull(), _address(F.get(tokens, outer["to"])["raw"])).when(t["kind"] == "auto", own).otherwise("")
             inside = lambda n: F.exists(spans, lambda s: covers(s) & (s["n"] == n))
-            return F.struct(shown.alias("text"), inside(2).alias("bold"), inside(1).alias("italic"), (t["kind"] == "code").alias("code"), href.alias("href"))
+            return F.struct(shown.alias("text"), inside(2).alias("bold"), inside(1).alias("italic"), (t["kind"] == "code").alias("code"), _let(outer, address).alias("href"))
+
+        def block(start: Column) -> Column:
+            near = lambda pairs: F.filter(pairs, lambda x: (x["from"] < start + _BLOCK) & (x["to"] >= start))
+            return _let(near(links), lambda ls: _let(near(spans), lambda ss: F.transform(F.slice(tokens, start + 1, F.lit(_BLOCK)), lambda t: piece(t, ls, ss))))
 
         def join(acc: Column, p: Column) -> Column:
             last, init = F.try_element_at(acc, F.lit(-1)), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
@@ -199,6 +218,10 @@ def runs(text: Column) -> Column:
             longer = F.struct(F.concat(last["text"], p["text"]).alias("text"), p["bold"].alias("bold"), p["italic"].alias("italic"), p["code"].alias("code"), p["href"].alias("href"))
             return F.when(p["text"] == "", acc).when(F.coalesce(alike, F.lit(False)), F.concat(init, F.array(longer))).otherwise(F.concat(acc, F.array(p)))
 
-        return F.aggregate(F.transform(tokens, piece), none, join)
+        def append(acc: Column, own: Column) -> Column:
+            return F.when(F.size(own) == 0, acc).otherwise(F.concat(join(acc, F.get(own, F.lit(0))), F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))))
+
+        starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(_BLOCK))
+        return F.aggregate(F.transform(starts, lambda start: F.aggregate(block(start), none, join)), none, append)
 
     return _let(_tokens(text), lambda ts: _let(_links(ts), lambda ls: _let(_emphasis(ts, ls), lambda ss: built(ts, ls, ss))))

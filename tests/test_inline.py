@@ -33,6 +33,10 @@ CASES = {
     "": [],
     None: None,
     "wort " * 20_000: [("wort " * 20_000, "", "")],
+    # longer than the blocks in which tokens look for links and spans
+    "**" + "a *b* " * 200 + "c** d": [("a ", "b", "")] + [(x, f, "") for k in range(200) for x, f in (("b", "bi"), (" a " if k < 199 else " c", "b"))] + [(" d", "", "")],
+    "[x " + "*y* " * 150 + "](u)": [("x ", "", "u")] + [(x, f, "u") for _ in range(150) for x, f in (("y", "i"), (" ", ""))],
+    "![" + r"\* " * 150 + "z](u)": [("[Bild: " + r"\* " * 150 + "z]", "", "")],
     "[a](" + "x" * 50_000 + ")": [("a", "", "x" * 50_000)],
 }
 
