@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,13 +84,14 @@ def _nodes(source: DataFrame, size: int) -> DataFrame:
 def _signatures(source: DataFrame, size: int, buckets: int) -> DataFrame:
     """bucket, hot, packed: the sets that have signatures in a bucket, and (signature, which set) for each.
 
-    A signature of ``HOT`` or more sets gathered at once goes to any buckets, in parts of ``PART`` sets marked as hot; in
-    its own bucket stands one row of no set, so that it isn't taken for a signature that only one set has.
+    A signature of ``HOT`` or more sets gathered at once goes to any buckets, in parts of ``PART`` sets marked as hot, with
+    the number of the gathering; in its own bucket stands one row of no set, with the count of these sets as negative n.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         total = 0
+        gather = TaskContext.get().partitionId() << 32
 
         def packed(signature: np.ndarray, owner: np.ndarray, about: np.ndarray) -> bytes:
             here, which = np.unique(owner, return_inverse=True)
@@ -98,8 +100,7 @@ def _signatures(source: DataFrame, size: int, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             sets = list(held.values())
-            # the last entry is the row of no set
-            about = np.array([*((node, len(s)) for node, s in held.items()), (0, 0)], np.int64)
+            about = np.array([(node, len(s)) for node, s in held.items()], np.int64)
             signature = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
             order = np.argsort(signature)
@@ -115,10 +116,13 @@ def _signatures(source: DataFrame, size: int, buckets: int) -> DataFrame:
                 parts = [(c, min(c + PART, b)) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True) for c in range(a, b, PART)]
                 for i, (a, b) in enumerate(parts):
                     own_bucket = int(((own[a] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32))
-                    rows.append(_whole(own[a : a + 1].view(np.uint8).reshape(1, 8)[:, :KEPT_BYTES], own_bucket).tobytes() + packed(own[a:b], theirs[a:b], about))
+                    rows.append(np.int64(gather).tobytes() + _whole(own[a : a + 1].view(np.uint8).reshape(1, 8)[:, :KEPT_BYTES], own_bucket).tobytes() + packed(own[a:b], theirs[a:b], about))
                     keys.append(int(mix(own[a : a + 1] + np.uint64(about[0, 0] & 0xFFFF) + np.uint64(i))[0] % np.uint64(buckets)))
                     is_hot.append(True)
-                signature, owner = np.r_[signature[~hot], own[edges]], np.r_[owner[~hot], np.full(len(edges), len(sets), np.uint32)]
+                # the rows of no set, one entry for each count
+                counts, which = np.unique(np.diff(edges, append=len(own)), return_inverse=True)
+                about = np.concatenate((about, np.stack((np.zeros_like(counts), -counts), 1)))
+                signature, owner = np.r_[signature[~hot], own[edges]], np.r_[owner[~hot], (len(sets) + which).astype(np.uint32)]
             bucket = ((signature >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
             bucket, signature, owner = bucket[order], signature[order], owner[order]
@@ -139,6 +143,7 @@ def _signatures(source: DataFrame, size: int, buckets: int) -> DataFrame:
             if total >= GATHER:
                 yield flush()
                 total = 0
+                gather += 1
         if held:
             yield flush()
 
@@ -162,12 +167,14 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(packed: DataFrame) -> DataFrame:
-    """signature, node, n, members, sets: sets of every signature that two or more have.
+    """signature, node, n, members, total, gather, sets: signatures that two or more sets have, in three kinds of rows.
 
-    A row is a set, but for hot signatures: there it is a part of the sets, as ``sets`` (node, n), and members counts it.
+    One is a set and the signature's members. For hot signatures, one has the ``total`` of members over all gatherings (a
+    set that was gathered more than once counts so often: the count orders signatures alike for all sets, no more), and
+    one a part of the ``sets`` (node, n) of one gathering.
     """
-    pairs = pa.struct([("node", pa.int64()), ("n", pa.int64())])
-    columns = {"signature": pa.int64(), "node": pa.int64(), "n": pa.int64(), "members": pa.int64(), "sets": pa.list_(pairs)}
+    pair = pa.struct([("node", pa.int64()), ("n", pa.int64())])
+    columns = {"signature": pa.int64(), "node": pa.int64(), "n": pa.int64(), "members": pa.int64(), "total": pa.int64(), "gather": pa.int64(), "sets": pa.list_(pair)}
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, hot_parts, total = None, [], [], 0
@@ -175,8 +182,8 @@ def _groups(packed: DataFrame) -> DataFrame:
             for own, hot, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if hot:
                     data = raw.as_py()
-                    hot_parts.append((np.frombuffer(data, np.uint64, 1), _unpacked(data[8:])[1]))
-                    total += len(hot_parts[-1][1])
+                    hot_parts.append((*np.frombuffer(data, np.int64, 2).tolist(), _unpacked(data[16:])[1]))
+                    total += len(hot_parts[-1][2])
                     if total >= 100 * PART:
                         yield parts(*zip(*hot_parts, strict=True))
                         hot_parts, total = [], 0
@@ -190,66 +197,81 @@ def _groups(packed: DataFrame) -> DataFrame:
             yield parts(*zip(*hot_parts, strict=True))
 
     def batch(**given: pa.Array) -> pa.RecordBatch:
-        size = len(given["signature"])
+        size = len(next(iter(given.values())))
         return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(size, kind)) for c, kind in columns.items()], list(columns))
 
     def numbers(about: np.ndarray) -> list[pa.Array]:
         return [pa.array(np.ascontiguousarray(c)) for c in about.T]
 
-    def rows(signature: np.ndarray, about: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
-        node, n = numbers(about)
-        return batch(signature=pa.array(to_signed(signature)), node=node, n=n, members=pa.array(members, pa.int64()))
-
-    def parts(signatures: tuple[np.ndarray, ...], abouts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        sizes = np.array([len(x) for x in abouts], np.int64)
-        sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays(numbers(np.concatenate(abouts)), fields=list(pairs)))
-        return batch(signature=pa.array(to_signed(np.concatenate(signatures))), members=pa.array(sizes), sets=sets)
+    def parts(gathers: tuple[int, ...], signatures: tuple[int, ...], abouts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, abouts)])
+        sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(numbers(np.concatenate(abouts)), fields=list(pair)))
+        return batch(gather=pa.array(gathers, pa.int64()), signature=pa.array(signatures, pa.int64()), sets=sets)
 
     def found(bucket: int | None, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         lows, abouts = zip(*map(_unpacked, held), strict=True)
         signature, about = _whole(np.concatenate(lows), bucket), np.concatenate(abouts)
+        mark = about[:, 1] < 0
+        marked, which = np.unique(signature[mark], return_inverse=True)
+        elsewhere = np.zeros(len(marked), np.int64)
+        np.add.at(elsewhere, which, -about[mark, 1])
         order = np.argsort(signature)
+        # a hot signature's row of no set makes it repeated
         signature = signature[order]
         same = signature[1:] == signature[:-1]
         repeated = np.zeros(len(signature), bool)
         repeated[1:] |= same
         repeated[:-1] |= same
+        repeated &= ~mark[order]
         signature, about = signature[repeated], about[order[repeated]]
         order = np.lexsort((about[:, 0], signature))
         signature, about = signature[order], about[order]
         fresh = np.ones(len(signature), bool)
         fresh[1:] = (signature[1:] != signature[:-1]) | (about[1:, 0] != about[:-1, 0])
         signature, about = signature[fresh], about[fresh]
-        if not len(signature):
-            return
-        first = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
-        size = np.diff(first, append=len(signature))
-        marked = np.repeat(np.add.reduceat(about[:, 1] == 0, first) > 0, size)
-        size = np.repeat(size, size)
-        keep = ~marked & (size > 1)
+        first = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]][: len(signature)])
+        here = np.diff(first, append=len(signature))
+        size = here.copy()
+        if len(marked):
+            _, a, b = np.intersect1d(signature[first], marked, assume_unique=True, return_indices=True)
+            size[a] += elsewhere[b]
+            elsewhere[b] += here[a]
+            yield batch(signature=pa.array(to_signed(marked)), total=pa.array(elsewhere))
+        members = np.repeat(size, here)
+        keep = members > 1
         if keep.any():
-            yield rows(signature[keep], about[keep], size[keep])
-        keep = marked & (about[:, 1] > 0)
-        if keep.any():
-            signature, about = signature[keep], about[keep]
-            at = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
-            cuts = [c for a, b in zip(at.tolist(), [*at[1:].tolist(), len(signature)], strict=True) for c in range(a, b, PART)]
-            for k in range(0, len(cuts), 100):
-                edges = [*cuts[k : k + 101], len(signature)][: min(100, len(cuts) - k) + 1]
-                yield parts(tuple(signature[a : a + 1] for a in edges[:-1]), tuple(about[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)))
+            node, n = numbers(about[keep])
+            yield batch(signature=pa.array(to_signed(signature[keep])), node=node, n=n, members=pa.array(members[keep]))
 
-    return packed.mapInArrow(gathered, "signature bigint, node bigint, n bigint, members bigint, sets array<struct<node: bigint, n: bigint>>")
+    return packed.mapInArrow(gathered, "signature bigint, node bigint, n bigint, members bigint, total bigint, gather bigint, sets array<struct<node: bigint, n: bigint>>")
 
 
 def _counted(groups: DataFrame) -> DataFrame:
-    """signature, members, sets: the parts of hot signatures, each with the count of its signature over all parts.
+    """gather, signature, members, sets: the parts of hot signatures, each with the count of its signature over all."""
+    counts = groups.where("total is not null").select("signature", F.col("total").alias("members"))
+    return groups.where("gather is not null").select("gather", "signature", "sets").join(counts, "signature")
+
 
-    A set that was gathered more than once counts so often: the count orders signatures alike for all sets, no more.
+def _hot_lists(groups: DataFrame) -> DataFrame:
+    """node, n, hot (members, signature): the hot signatures of each set of a gathering, from its parts.
+
+    A gathering has ``GATHER`` entries and those of one chunk of texts more, so a group has a bound.
     """
-    hot = groups.where("node is null").select("signature", "members", "sets")
-    return hot.drop("members").join(hot.groupBy("signature").agg(F.sum("members").alias("members")), "signature")
+
+    def listed(parts: pa.Table) -> pa.Table:
+        sets = parts["sets"].combine_chunks()
+        size, entries = sets.value_lengths().to_numpy(), sets.flatten()
+        node, n = (entries.field(c).to_numpy() for c in ("node", "n"))
+        order = np.argsort(node, kind="stable")
+        node, n = node[order], n[order]
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        own = [pa.array(np.repeat(parts[c].to_numpy(), size)[order]) for c in ("members", "signature")]
+        hot = pa.ListArray.from_arrays(pa.array(np.r_[first, len(node)], pa.int32()), pa.StructArray.from_arrays(own, ["members", "signature"]))
+        return pa.table({"node": node[first], "n": n[first], "hot": hot})
+
+    return _counted(groups).groupBy("gather").applyInArrow(listed, "node bigint, n bigint, hot array<struct<members: bigint, signature: bigint>>")
 
 
 def _open_sets(groups: DataFrame, percent: int) -> DataFrame:
@@ -257,11 +279,14 @@ def _open_sets(groups: DataFrame, percent: int) -> DataFrame:
 
     ``own`` are the signatures that other sets have too, ``common`` their number, ``weight`` how common they are.
     """
-    hot = _counted(groups).select("signature", "members", F.inline("sets")).distinct()
-    known = groups.where("node is not null").drop("sets").unionByName(hot)
-    weight = F.sum(F.log2(F.col("members").cast("double"))) / F.first("n")
-    own = known.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("common"), weight.alias("weight"), F.collect_list(F.struct("members", "signature")).alias("own"))
-    return own.where(F.col("common") * 100 >= percent * F.col("n")).withColumn("own", F.sort_array("own"))
+    known = groups.where("node is not null").select("node", "n", F.struct("members", "signature").alias("one"))
+    known = known.unionByName(_hot_lists(groups), allowMissingColumns=True)
+    own = F.sort_array(F.concat(F.collect_list("one"), F.flatten(F.collect_list("hot"))))
+    own = known.groupBy("node").agg(F.first("n").alias("n"), own.alias("own"))
+    # what a set has from several gatherings stands side by side
+    own = own.withColumn("own", F.filter("own", lambda x, i: (i == 0) | (x["signature"] != F.get("own", i - 1)["signature"])))
+    weight = F.aggregate("own", F.lit(0.0), lambda total, x: total + F.log2(x["members"].cast("double"))) / F.col("n")
+    return own.select("node", "n", F.size("own").cast("long").alias("common"), weight.alias("weight"), "own").where(F.col("common") * 100 >= percent * F.col("n"))
 
 
 def _allotted(sets: DataFrame, percent: int) -> DataFrame:

@@ -115,6 +115,36 @@ def test_join_counts_hot_signatures_by_parts(spark):
     assert found[1200] <= 2 * found[600]
 
 
+def test_join_lists_hot_signatures_by_set(spark):
+    # a passage that is hot in two gatherings of three; 140 sets are gathered by both, 20 by the third too
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(8)]) for _ in range(400)]
+    texts += [f"{t} more" for t in texts[:30]]
+    dealt = [texts[:300], texts[160:300] + texts[400:], texts[:20] + texts[300:400]]
+    docs = spark.createDataFrame([(k, t) for k, own in enumerate(dealt) for t in own], "part int, text string").repartitionById(3, "part")
+    packed = ngram_join._signatures(docs, 5, 4).repartitionById(4, "bucket").sortWithinPartitions("bucket")
+    groups = ngram_join._groups(packed).cache()
+    sets = {ngram_join._fingerprint(s): set(s.tolist()) for s in ngram_join.shingle_sets([t.encode() for t in texts], 5)}
+    held = Counter(x for s in sets.values() for x in s)
+    opened = ngram_join._open_sets(groups, 75)
+    # a set has its hot signatures as one list, a row for each of them is never made
+    assert "Generate" not in opened._jdf.queryExecution().executedPlan().toString()
+    got = {r.node: r for r in opened.collect()}
+    shared = {node: sum(held[x] > 1 for x in s) for node, s in sets.items()}
+    assert {node: r.common for node, r in got.items()} == {node: k for node, k in shared.items() if 100 * k >= 75 * len(sets[node])}
+    members = {}
+    for node, r in got.items():
+        own = [(x.members, x.signature) for x in r.own]
+        assert own == sorted(set(own)) and r.n == len(sets[node]) and len({x for _, x in own}) == len(own) == r.common
+        assert math.isclose(r.weight, sum(math.log2(k) for k, _ in own) / r.n)
+        for k, x in own:
+            assert members.setdefault(x, k) == k
+    # in the own bucket a set counts once, in each gathering where the signature is hot once more
+    assert Counter(members.values())[300 + 170 + 120] == 36
+    assert ngram_join._hot_lists(groups).count() == 300 + 170
+
+
 def test_surrogates_stand_in_the_plan_once(spark):
     # the plan had 178,000 characters, each value written out wherever it was used
     docs = spark.createDataFrame([(1, "Frau Müller-Lüdenscheid, call +49 30 1234 5678 or Müller", "de")], "doc_id long, text string, lang string")
