@@ -1,9 +1,11 @@
 """Exact top-k inner-product search: a ball tree for each shard, searched by branch and bound.
 
-Vectors are dealt to shards by a hash of their id, so that equal or clustered vectors never gather in one. Queries come
-in blocks; every block meets every shard, which is the stated query set against all rows. In a tree, nodes are visited
-in the order of the largest inner product that their ball allows, q.c + |q| r, and left out once that is below the k-th
-score. That score is shared: each query searches one shard first, and carries what it found there to all the others.
+Vectors are dealt to shards by a hash of their id, so that equal or clustered vectors never gather in one. A shard's tree
+stands in one task, and the queries pass it in blocks: all of them, which is the stated query set against all rows. In a
+tree, nodes are visited in the order of the largest inner product that their ball allows, q.c + |q| r, and left out once
+that is below the k-th score. That score is shared: each query searches one shard first, and carries what it found there
+to all the others. So trees are moved twice whatever the number of queries, and a query once for each shard; shards grow
+with the table, to a bound, before their number does.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import written
 
-SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 1024, 128
+BLOCK_QUERIES, LEAF_ROWS = 1024, 512
+#: Shards, while each has rows within these bounds.
+SHARDS, LEAST_ROWS, MOST_ROWS = 64, 8192, 65_536
 #: Scores below this are exact sums of doubles.
 _EXACT = float(1 << 53)
 
@@ -111,15 +115,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     ready = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_quantised, "vec_id bigint, dim int, vector binary"), "vectors")
     asked = ready.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))
     asked = asked.groupBy("vec_id").agg(F.min(F.struct("dim", "vector")).alias("v")).select(F.col("vec_id").alias("query_id"), "v.dim", "v.vector")
-    shards = max(1, -(-ready.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    n = ready.count()
+    shards = max(1, -(-n // min(MOST_ROWS, max(LEAST_ROWS, -(-n // SHARDS)))))
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, rows = None, [], []
 
         def tree() -> pa.RecordBatch:
             made = BallTree(np.array(ids, np.int64), np.frombuffer(b"".join(rows), np.float64).reshape(len(ids), -1))
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["shard", "dim", "tree"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["shard", "dim", "tree"])
 
         for batch in batches:
             for shard, dim, vec_id, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -132,34 +136,43 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         if ids:
             yield tree()
 
-    dealt = ready.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards))).select("shard", "dim", "vec_id", "vector")
-    trees = written(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "dim", "vec_id").mapInArrow(grown, "shard bigint, dim int, tree binary"), "trees")
+    dealt = ready.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int")).select("shard", "dim", "vec_id", "vector")
+    trees = written(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "vec_id").mapInArrow(grown, "shard int, dim int, tree binary"), "trees")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, held = None, None, []
+
+        def found() -> pa.RecordBatch:
+            ids, vectors, least = zip(*held, strict=True)
+            rows = np.frombuffer(b"".join(vectors), np.float64).reshape(len(ids), -1)
+            best = list(tree.search(np.array(ids, np.int64), rows, np.array([-np.inf if x is None else x for x in least]), k))
+            columns = zip(*best, strict=True) if best else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for raw, block in zip(batch.column(0), batch.column(1), strict=True):
-                queries = block.as_py()
-                ids = np.array([q["query_id"] for q in queries], np.int64)
-                least = np.array([-np.inf if q["least"] is None else q["least"] for q in queries])
-                rows = np.stack([np.frombuffer(q["vector"], np.float64) for q in queries])
-                found = list(pickle.loads(raw.as_py()).search(ids, rows, least, k))
-                columns = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-
-    def search(queries: DataFrame, home: bool) -> DataFrame:
-        gathered = queries.groupBy(block_of, "dim").agg(F.collect_list(F.struct("query_id", "vector", "least")).alias("queries"))
-        is_home = F.pmod(F.col("block"), F.lit(shards)) == F.col("shard")
-        left = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        right = gathered.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        met = left.join(right, ["shard", "block", "dim"]).where(is_home if home else ~is_home)
-        # the trees' bytes go to as many tasks as there are pairs, not as small bytes would
-        return met.select("tree", "queries").repartition(min(2048, shards * blocks)).mapInArrow(searched, "query_id bigint, vec_id bigint, score bigint")
+            for shard, dim, raw, *query in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if held and ((shard, dim) != key or len(held) == BLOCK_QUERIES):
+                    yield found()
+                    held = []
+                if raw is not None:
+                    key, tree = (shard, dim), pickle.loads(raw)
+                elif (shard, dim) == key:  # else the shard has no vector of this length
+                    held.append(query)
+        if held:
+            yield found()
+
+    home = F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int")
+
+    def search(queries: DataFrame, shard: Column) -> DataFrame:
+        # a tree comes before the queries of its length
+        sent = queries.select(shard.alias("shard"), "dim", F.lit(None).cast("binary").alias("tree"), "query_id", "vector", "least")
+        stands = trees.select("*", F.lit(None).cast("bigint").alias("query_id"), F.lit(None).cast("binary").alias("vector"), F.lit(None).cast("double").alias("least"))
+        met = stands.unionByName(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", F.col("tree").isNull())
+        return met.mapInArrow(searched, "query_id bigint, vec_id bigint, score bigint")
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    first = written(search(asked.withColumn("least", F.lit(None).cast("double")), True), "home-scores")
+    first = written(search(asked.withColumn("least", F.lit(None).cast("double")), home), "home-scores")
     kth = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
-    others = search(asked.join(kth, "query_id", "left"), False)
+    others = search(asked.join(kth.hint("merge"), "query_id", "left"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x != home)))
     ranked = first.unionByName(others).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

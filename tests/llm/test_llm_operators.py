@@ -67,6 +67,20 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_trees_stand_while_queries_pass(spark, monkeypatch):
+    """No tree is repeated for blocks of queries, whatever their number; the results are those of one shard and block."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 900, [float(x) for x in rng.normal(size=3 + i % 2)]) for i in range(1000)] + [(1000 + i, [0.25] * 4) for i in range(50)] + [(2000, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, topk.top_k(vectors, every=5).collect()))
+    for name, value in (("BLOCK_QUERIES", 7), ("LEAF_ROWS", 4), ("SHARDS", 9), ("LEAST_ROWS", 1), ("MOST_ROWS", 200)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    found = topk.top_k(vectors, every=5)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not [line for line in plan if ("Generate" in line or "Join" in line) and "tree#" in line]
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) > 800
+
+
 def test_substring_dedup(docs, empty):
     got = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs).collect()}
     seen = set()
