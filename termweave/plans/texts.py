@@ -63,13 +63,17 @@ def usage_append(s: SparkSession, d: str) -> DataFrame:
 
 def read_files(s: SparkSession, d: str) -> DataFrame:
     """A text file for each page, and one of a type that isn't read, read back as paragraphs and errors."""
-    # one folder for both files of a page; all tasks write, and put their own files in place: none waits for the driver to move them
-    pages, folder = c._read(s, d, "pages").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page_id"), new_folder(s, "pages")
-    placed = lambda column: pages.select("page_id", column).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id")
+    # a folder for each page would cost more than its files, so all lie in one: a task's nth file has its nth row, which its
+    # name tells. All tasks write, and put their own files in place: none waits for the driver to move them
+    pages = c._read(s, d, "pages").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page_id").sortWithinPartitions("page_id", "url", "html")
+    folder = new_folder(s, "pages")
+    placed = lambda column: pages.select(column).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("maxRecordsPerFile", 1)
     placed("html").text(folder)
     placed("url").json(folder)
-    read = files.read_files(s, folder)
-    return read.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "block_idx", "kind", "text", "error")
+    part = lambda n: F.regexp_extract("path", r"/part-([0-9]+)-[^/]*-c([0-9]+)\.[^/]*$", n).cast("long")
+    read = files.read_files(s, folder).withColumn("file", F.shiftleft(part(1), 33) + part(2))
+    named = pages.select("page_id", F.monotonically_increasing_id().alias("file"))
+    return read.join(named, "file").select("page_id", "block_idx", "kind", "text", "error")
 
 
 def _tables(s: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,8 @@ from termweave.sources.documents import decoded, paragraphs
 
 #: Types that are read, by their readers.
 TYPES = ("md", "txt")
+#: Tasks for each core that read the files of one type: Spark counts a file as 4 MB, so small ones would get a task for a few.
+_TASKS = 32
 _BLOCK = [c.split(" ", 1) for c in markdown.BLOCK_SCHEMA.split(", ")][1:]
 
 
@@ -30,16 +32,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     others are listed without their content. Names' case doesn't matter; hidden files, and files of no bytes, which
     Spark doesn't list, are left out.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    scan, tasks = spark.read.format("binaryFile").option("recursiveFileLookup", "true"), _TASKS * spark.sparkContext.defaultParallelism
     kind = F.lower(F.substring(suffix(F.col("path")), 2, 20))
-    others = scan.load(path).select("path").where(~kind.isin(*TYPES))
+    others = scan.load(path).select("path").coalesce(tasks).where(~kind.isin(*TYPES))
     unknown = _errors(others, F.concat(F.lit("file type '"), suffix(F.col("path")), F.lit("' is not supported")))
-    known = scan.option("pathGlobFilter", "*.{" + ",".join(map(_any_case, TYPES)) + "}").load(path)
-    texts = known.select(F.col("path").alias("doc_id"), decoded(F.col("content")).alias("text"), kind.alias("kind"))
+
+    def texts(name: str) -> DataFrame:
+        # a scan lists the files of its type alone: one that filters them afterwards would read the others, too
+        known = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{_any_case(name)}").load(path).select("path", "content").coalesce(tasks)
+        return known.where(kind == name).select(F.col("path").alias("doc_id"), decoded(F.col("content")).alias("text"))
+
     paragraph = lambda p, i: F.struct(*[_given(name, i, p).cast(kind).alias(name) for name, kind in _BLOCK])
-    plain = texts.where("kind = 'txt'").select("doc_id", F.transform(paragraphs(F.col("text")), paragraph).alias("blocks"))
+    plain = texts("txt").select("doc_id", F.transform(paragraphs(F.col("text")), paragraph).alias("blocks"))
     # a file is one row until here, so none has to be read or met again for those without text
-    listed = markdown.block_lists(texts.where("kind = 'md'")).unionByName(plain)
+    listed = markdown.block_lists(texts("md")).unionByName(plain)
     row = lambda b, error: F.struct(*[(b[name] if error is None else F.lit(None).cast(kind)).alias(name) for name, kind in _BLOCK], F.lit(error).cast("string").alias("error"))
     found = F.when(markdown.list_has_text(F.col("blocks")), F.transform("blocks", lambda b: row(b, None))).otherwise(F.array(row(None, "the file has no text")))
     return listed.select(F.col("doc_id").alias("path"), F.inline(found)).unionByName(unknown)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from termweave.operators import job, units
+from termweave.plans import texts as plans
 from termweave.sources import files, markdown
 
 
@@ -28,6 +29,34 @@ def test_read_files(spark, tmp_path):
     ]
 
 
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    """A task reads many small files, whatever Spark counts for each, and no file is read for a type that isn't its own."""
+    for n in range(40):
+        (tmp_path / f"{n}.txt").write_text(f"text {n}\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(files, "_TASKS", 1, raising=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        read = files.read_files(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+        assert sorted(r.text for r in read.collect()) == sorted(f"text {n}" for n in range(40))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_each_page_has_its_files(spark, tmp_path):
+    """Pages that share an id, or have none, keep a file each."""
+    texts = ["eins\n\nzwei", None, " \n", "drei"] + [f"text {n}" for n in range(20)]
+    ids = [1, 1, None, 2] + [10 + n // 2 for n in range(20)]
+    spark.createDataFrame([(i, f"u{n}", t) for n, (i, t) in enumerate(zip(ids, texts))], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id, r.block_idx, r.text, r.error) for r in plans.read_files(spark, str(tmp_path)).collect()), key=str)
+    want = [(i, None, None, "file type '.json' is not supported") for i in ids]
+    for i, t in zip(ids, texts):
+        parts = [x.strip() for x in (t or "").split("\n\n") if x.strip()]
+        want += [(i, n, x, None) for n, x in enumerate(parts)] or [(i, None, None, "the file has no text")]
+    assert got == sorted(want, key=str)
+
+
 MD = "# Titel der Anlage\n\nSiehe `code` bei 5 mm. Zweiter Satz hier.\n\n| Name | Wert |\n|---|---|\n| Haus | 3 |\n\n```py\nprint('x')\n```\n\n<div>\nroh\n</div>\n\n- Punkt eins\n"
 
 
